@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymart.llm.common import table
 
 
+def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.ngram_join import jaccard_join
 
