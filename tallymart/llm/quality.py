@@ -64,12 +64,14 @@ class Sizes:
         return np.array([(len(x), len(self.by[0].compress(x)), len(self.by[1].compress(x))) for x in texts], dtype=float).reshape(-1, 3)
 
 
-def evidence(sizes: np.ndarray) -> np.ndarray:
-    """The normalised difference, the compressed share, the length, and their products."""
+def evidence(sizes: np.ndarray, raw: bool) -> np.ndarray:
+    """The normalised difference, the compressed share, the length, and (unless few texts were there) their products."""
     n, good, bad = sizes.T
     d = (bad - good) / np.maximum(1, np.maximum(good, bad))
     share = np.log((np.minimum(good, bad) + 8) / (n + 8))
     length = np.log1p(n)
+    if raw:
+        return np.column_stack([d, share, length])
     return np.column_stack([d, share, length, d * d, share * share, length * length, d * share, d * length, share * length])
 
 
@@ -86,7 +88,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: in
     model = Model(_dictionary(texts[1][::2], raw), _dictionary(texts[0][::2], raw), raw, None, prior)
     size = Sizes(model)
     rest = {k: texts[k][1::2] or texts[k] for k in (0, 1)}
-    x = evidence(np.concatenate([size(rest[0]), size(rest[1])]))
+    x = evidence(np.concatenate([size(rest[0]), size(rest[1])]), raw)
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     share = np.where(y == 1, prior, 1 - prior) / np.where(y == 1, y.mean(), 1 - y.mean())
     return model._replace(fit=Logistic(x, y, share))
@@ -108,7 +110,7 @@ def score_quality(docs: DataFrame, model: Model, folds: int = 4, held_out: int =
         for b in batches:
             at, data = T.string_parts(b.column("text"))
             sizes = size(data[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1))
-            p = m.fit(evidence(sizes)) if m.fit is not None else np.full(len(sizes), m.prior)
+            p = m.fit(evidence(sizes, m.raw)) if m.fit is not None else np.full(len(sizes), m.prior)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
 
     rows = documents(docs).select("doc_id", "text", (fold(folds) == held_out).alias("held_out"))
@@ -125,7 +127,7 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataF
         for b in batches:
             at, data = T.string_parts(b.column("text"))
             sizes = size(data[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1))
-            p = m.fit(evidence(sizes)) if m.fit is not None else np.full(len(sizes), m.prior)
+            p = m.fit(evidence(sizes, m.raw)) if m.fit is not None else np.full(len(sizes), m.prior)
             yield b.filter(pa.array(p >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

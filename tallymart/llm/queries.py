@@ -15,6 +15,12 @@ def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.quality import fit_quality, score_quality
 
