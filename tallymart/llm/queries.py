@@ -34,6 +34,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents"), limit=1 << 20)
+
+
 def op10_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -46,4 +52,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallymart.llm import sharding
+
+    return {"op8_extendible_hashing": sharding.ORACLE}
