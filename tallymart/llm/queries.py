@@ -40,6 +40,12 @@ def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), limit=1 << 20)
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.warc_zip import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -52,6 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallymart.llm import sharding
+    from tallymart.llm import sharding, warc_zip
 
-    return {"op8_extendible_hashing": sharding.ORACLE}
+    return {"op8_extendible_hashing": sharding.ORACLE, "op9_warc_zip": warc_zip.ORACLE}
