@@ -34,6 +34,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op7_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.media import stored_media
+
+    return stored_media(table(spark, sf_dir, "documents"))
+
+
 def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.sharding import sharded
 
