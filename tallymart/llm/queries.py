@@ -15,6 +15,12 @@ def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.html_extract import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.decontaminate import overlaps
 
