@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallymart.llm.common import table
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.lm_scoring import lm_scores
+
+    found = lm_scores(table(spark, sf_dir, "documents"))
+    return found.withColumn("log_score", F.round("log_score", 4)).withColumn("mean_score", F.round("mean_score", 6))
+
+
 def op2_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymart.llm.bpe import round_trip
 
@@ -70,6 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallymart.llm import sharding, warc_zip
+    from tallymart.llm import lm_scoring, sharding, warc_zip
 
-    return {"op8_extendible_hashing": sharding.ORACLE, "op9_warc_zip": warc_zip.ORACLE}
+    return {"op1_stupid_backoff": lm_scoring.ORACLE, "op8_extendible_hashing": sharding.ORACLE, "op9_warc_zip": warc_zip.ORACLE}
