@@ -189,17 +189,87 @@ def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     met = met.select("rep", "shingle", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block")
     met = met.join(reps.select("rep", "n_shingles", "bits"), "rep")
 
-    def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(rows))
-        ids = t.column("rep").to_numpy()
-        side = t.column("block").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        bits = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in t.column("bits")]
-        forest = _plausible(bits, t.column("n_shingles").to_numpy(), side, num, den)
-        roots = np.array([forest.root(i) for i in range(len(ids))])
-        on = roots != np.arange(len(ids))
-        yield pa.record_batch({"u": pa.array(ids[on], pa.int64()), "v": pa.array(ids[roots[on]], pa.int64())})
+    # groups stay whole: rows of one lie together in a partition, and a task carries the last group of a batch on
+    met = met.repartition("shingle", "b1", "b2").sortWithinPartitions("shingle", "b1", "b2")
 
-    return met.groupBy("shingle", "b1", "b2").applyInArrow(run, "u long, v long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            new = pa.Table.from_batches([b])
+            start = _last_group(new)
+            if waiting and (start or _key(waiting[-1], -1) != _key(new, 0)):
+                yield _group_edges(pa.concat_tables([*waiting, new.slice(0, start)]), num, den)
+                waiting = []
+            elif start:
+                yield _group_edges(new.slice(0, start), num, den)
+            waiting.append(new.slice(start))
+        if waiting:
+            yield _group_edges(pa.concat_tables(waiting), num, den)
+
+    return met.mapInArrow(run, "u long, v long")
+
+
+def _key(t: pa.Table, i: int) -> tuple:
+    i %= t.num_rows
+    return tuple(t.column(k)[i].as_py() for k in ("shingle", "b1", "b2"))
+
+
+def _borders(t: pa.Table) -> np.ndarray:
+    """The rows where groups begin."""
+    new = np.zeros(t.num_rows, dtype=bool)
+    new[:1] = True
+    for k in ("shingle", "b1", "b2"):
+        x = t.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _last_group(t: pa.Table) -> int:
+    return int(_borders(t)[-1])
+
+
+#: Groups up to this size are compared all at once, without a forest of each.
+SMALL = 8
+
+
+def _group_edges(t: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """Edges (u, v) of all groups of a table that is sorted by group."""
+    ids, sizes = t.column("rep").to_numpy(), t.column("n_shingles").to_numpy()
+    cross, block = (t.column("b1").to_numpy() != t.column("b2").to_numpy()), t.column("block").to_numpy()
+    bits = t.column("bits").combine_chunks()
+    begins = _borders(t)
+    ends = np.append(begins[1:], t.num_rows)
+    group = np.repeat(np.arange(len(begins)), ends - begins)
+    small = (ends - begins <= SMALL)[group]
+    found = []
+    for k in range(1, SMALL):
+        i = np.flatnonzero(small[:-k] & (group[:-k] == group[k:])) if len(group) > k else np.zeros(0, dtype=np.int64)
+        j = i + k
+        ok = (den * np.minimum(sizes[i], sizes[j]) >= num * np.maximum(sizes[i], sizes[j])) & (ids[i] != ids[j]) & (~cross[i] | (block[i] != block[j]))
+        found.append((i[ok], j[ok]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    near = np.fromiter((_near(bits[int(x)], bits[int(y)], int(sizes[x] + sizes[y]), num, den) for x, y in zip(i, j, strict=True)), dtype=bool, count=len(i))
+    u, v = [ids[i[near]]], [ids[j[near]]]
+    for g in np.flatnonzero(ends - begins > SMALL):
+        rows = slice(int(begins[g]), int(ends[g]))
+        own = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in bits[rows]]
+        forest = _plausible(own, sizes[rows], block[rows] if cross[begins[g]] else None, num, den)
+        roots = np.array([forest.root(x) for x in range(len(own))])
+        on = np.flatnonzero(roots != np.arange(len(own)))
+        u.append(ids[rows][on])
+        v.append(ids[rows][roots[on]])
+    pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+    return pa.record_batch({"u": pa.array(pairs[0], pa.int64()), "v": pa.array(pairs[1], pa.int64())})
+
+
+def _near(x: pa.Scalar, y: pa.Scalar, both: int, num: int, den: int) -> bool:
+    """Whether the bitmaps of two sets, of ``both`` shingles together, allow a link."""
+    a, b = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+    width = min(len(a), len(b))
+    a, b = (z if len(z) == width else np.bitwise_xor.reduce(z.reshape(-1, width), axis=0) for z in (a, b))
+    return (den + num) * int(np.bitwise_count(a ^ b).sum()) <= (den - num) * both
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -297,3 +367,19 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     some = some.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
     none = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
+
+
+def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one of each component: that with the least doc_id.
+
+    Of rows that repeat this doc_id one is kept, the first by its text's hash.
+    Rows with a null doc_id stay unless their component has one that isn't null.
+    """
+    joined = jaccard_join(docs, n, num, den).select(F.col("doc_id").alias("own_id"), "component_id").distinct()
+    keep = joined.where("own_id IS NULL AND component_id IS NULL OR own_id = component_id").select("own_id").distinct()
+    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("own_id")), "left_semi")
+    again = rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again"))
+    once = rows.join(again, rows["doc_id"] == again["again"], "left_anti")
+    many = rows.join(again, rows["doc_id"] == again["again"], "left_semi")
+    first = many.withColumn("_rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_rank = 1").drop("_rank")
+    return once.unionByName(first)
