@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from tallymart.llm.common import documents, tokenizer_path
 
 #: Pieces kept by a worker before it starts anew; bytes of one longer than this aren't kept.
-KEPT, KEPT_PIECE = 200_000, 64
+KEPT, KEPT_PIECE = 400_000, 64
 #: Pieces of a text taken at a time, so that a very long text is never held as a list.
 STEP = 1 << 15
 
@@ -74,16 +75,19 @@ class PairIndexCodec:
         vocabulary = {raw(k): v for k, v in spec["model"]["vocab"].items() if all(c in symbols for c in k)}
         self.bytes_of = {v: k for k, v in vocabulary.items()}
         self.first = [vocabulary[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}  # pair: its rank and the symbol it becomes
+        self.ranks: dict[int, int] = {}  # left symbol << 32 | right symbol: rank
+        self.rules: list[tuple[int, int, int]] = []  # by rank: left, right, what they become
         for rank, m in enumerate(spec["model"]["merges"]):
             left, right = (raw(x) for x in (m.split(" ") if isinstance(m, str) else m))
-            self.merges[vocabulary[left], vocabulary[right]] = rank, vocabulary[left + right]
+            self.rules.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+            self.ranks[vocabulary[left] << 32 | vocabulary[right]] = rank
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
         self.pattern = regex.compile(pattern)
         newer = newer_characters()
         self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.first_newer = int(newer[2:10], 16) if newer else 0  # ranges ascend, each is \\Uxxxxxxxx-\\Uxxxxxxxx
         narrow = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|[" + newer + "])")
         for kind in (r"\p{L}", r"\p{N}"):
             narrow = narrow.replace(rf" ?{kind}+", rf" ?(?:(?![{newer}]){kind})+")
@@ -103,19 +107,21 @@ class PairIndexCodec:
             ids += [self.first[b] for b in p]
             before += [-1, *range(k, k + len(p) - 1)] if p else []
             after += [*range(k + 1, k + len(p)), -1] if p else []
-        merges = self.merges
-        index: dict[tuple[int, int], list[int]] = {}
+        rank_of = self.ranks.get
+        index: dict[int, list[int]] = {}  # rank of a pair: its positions
         for i, j in enumerate(after):
-            if j >= 0:
-                pair = ids[i], ids[j]
-                if pair in merges:
-                    index.setdefault(pair, []).append(i)
-        active = [(merges[p], p) for p in index]
+            if j >= 0 and (r := rank_of(ids[i] << 32 | ids[j])) is not None:
+                if r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
+        active = list(index)
         heapq.heapify(active)
+        push, pop = heapq.heappush, heapq.heappop
         while active:
-            (_, made), pair = heapq.heappop(active)
-            left, right = pair
-            where = index.pop(pair)
+            rank = pop(active)
+            left, right, made = self.rules[rank]
+            where = index.pop(rank)
             if left == right:
                 where.sort()  # overlapping occurrences merge from the left
             for i in where:
@@ -126,22 +132,19 @@ class PairIndexCodec:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    new = made, ids[k]
-                    if new in merges:
-                        if (have := index.get(new)) is None:
-                            index[new] = [i]
-                            heapq.heappush(active, (merges[new], new))
+                    if (r := rank_of(made << 32 | ids[k])) is not None:
+                        if r in index:
+                            index[r].append(i)
                         else:
-                            have.append(i)
+                            index[r] = [i]
+                            push(active, r)
                 h = before[i]
-                if h >= 0:
-                    new = ids[h], made
-                    if new in merges:
-                        if (have := index.get(new)) is None:
-                            index[new] = [h]
-                            heapq.heappush(active, (merges[new], new))
-                        else:
-                            have.append(h)
+                if h >= 0 and (r := rank_of(ids[h] << 32 | made)) is not None:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        push(active, r)
         out = []
         for p, i in zip(pieces, begins, strict=True):
             own = []
@@ -162,7 +165,7 @@ class PairIndexCodec:
         return found
 
     def _plain(self, text: str) -> Iterator[list[str]]:
-        pattern = self.narrow if self.newer and not text.isascii() and self.newer.search(text) else self.pattern
+        pattern = self.narrow if self._has_newer(text) else self.pattern
         if len(text) <= STEP:
             yield pattern.findall(text)
             return
@@ -170,6 +173,12 @@ class PairIndexCodec:
         while step := list(islice(found, STEP)):
             yield step
 
+    def _has_newer(self, text: str) -> bool:
+        if not self.newer or text.isascii():
+            return False
+        units = np.frombuffer(text.encode("utf-16-le"), dtype="<u2")
+        return bool(units.max() >= self.first_newer) and self.newer.search(text) is not None
+
     def _steps(self, text: str) -> Iterator[list[str] | int]:
         """Lists of pieces, and the ids of added tokens between them."""
         at = 0
@@ -181,23 +190,20 @@ class PairIndexCodec:
         if at < len(text):
             yield from self._plain(text[at:] if at else text)
 
-    def encoded(self, text: str) -> Iterator[Piece]:
-        """The pieces of a text with their ids, in order."""
-        for step in self._steps(text):
-            if isinstance(step, int):
-                yield Piece((step,), str(step))
-                continue
-            known = self.pieces
-            try:
-                yield from [known[p] for p in step]
-            except KeyError:
-                found = [p for p in dict.fromkeys(step) if p in known]
-                have = {p: known[p] for p in found}
-                have |= self.learn(p for p in dict.fromkeys(step) if p not in have)
-                yield from [have[p] for p in step]
+    def pieces_of(self, step: list[str] | int) -> list[Piece]:
+        """The pieces of a step of a text with their ids, in order."""
+        if isinstance(step, int):
+            return [Piece((step,), str(step))]
+        known = self.pieces
+        try:
+            return [known[p] for p in step]
+        except KeyError:
+            have = {p: known[p] for p in step if p in known}
+            have |= self.learn(dict.fromkeys(p for p in step if p not in have))
+            return [have[p] for p in step]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(p.ids for p in self.encoded(text)))
+        return [i for step in self._steps(text) for p in self.pieces_of(step) for i in p.ids]
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -220,43 +226,60 @@ def codec(name: str, folder: str | None) -> PairIndexCodec:
     return _codecs[path, PATTERN]
 
 
-def _warmed(c: PairIndexCodec, texts: list[str]) -> None:
-    """Put the short new pieces of several texts through one index."""
+def _warmed(c: PairIndexCodec, texts: list[list[list[str] | int]]) -> None:
+    """Put the new pieces of several texts through one index."""
     new: dict[str, None] = {}
-    for t in texts:
-        for step in c._steps(t):
+    for steps in texts:
+        for step in steps:
             if not isinstance(step, int):
-                new.update((p, None) for p in step if p not in c.pieces)
-        if len(new) > KEPT // 4:
-            c.learn(new)
-            new = {}
+                new.update(dict.fromkeys(p for p in step if p not in c.pieces))
     c.learn(new)
 
 
-def _digests(c: PairIndexCodec, text: str) -> tuple[int, str, str]:
+def _incomplete(raw: bytes) -> int:
+    """Bytes at the end that begin a character which isn't complete."""
+    for back in range(1, min(4, len(raw)) + 1):
+        if raw[-back] >= 0xC0:
+            return back if back < (2 if raw[-back] < 0xE0 else 3 if raw[-back] < 0xF0 else 4) else 0
+        if raw[-back] < 0x80:
+            break
+    return 0
+
+
+def _digests(c: PairIndexCodec, steps: Iterable[list[str] | int]) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of the text decoded from them."""
     n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-    pieces = c.encoded(text)
     tail = b""
-    while step := list(islice(pieces, STEP)):
-        ids = list(chain.from_iterable([p.ids for p in step]))
-        of_ids.update((("," if n else "") + ",".join([p.text for p in step])).encode())
+    for step in steps:
+        pieces = c.pieces_of(step)
+        ids = list(chain.from_iterable([p.ids for p in pieces]))
+        of_ids.update((("," if n else "") + ",".join([p.text for p in pieces])).encode())
         n += len(ids)
         # a token may end within a character: what is incomplete waits for the next step
         whole = tail + c.decode_bytes(ids)
-        cut = len(whole)
-        for back in range(1, min(4, cut) + 1):
-            if whole[-back] >= 0xC0:
-                cut -= back if back < (2 if whole[-back] < 0xE0 else 3 if whole[-back] < 0xF0 else 4) else 0
-                break
-            if whole[-back] < 0x80:
-                break
+        cut = len(whole) - _incomplete(whole)
         of_text.update(whole[:cut].decode("utf-8", "replace").encode())
         tail = whole[cut:]
     of_text.update(tail.decode("utf-8", "replace").encode())
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
+#: Characters of short texts whose pieces are looked up and learned together.
+GROUP = 1 << 21
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    group: list[str] = []
+    total = 0
+    for t in texts:
+        group.append(t)
+        total += len(t)
+        if total >= GROUP:
+            yield group
+            group, total = [], 0
+    yield group
+
+
 def round_trip(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of the whole text, encoded and decoded again.
 
@@ -270,11 +293,10 @@ def round_trip(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | N
         c = codec(name, folder)
         for b in batches:
             out = []
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                group = texts[i : i + 256]
-                _warmed(c, [t for t in group if len(t) <= STEP])
-                out += [_digests(c, t) for t in group]
+            for group in _groups(b.column("text").to_pylist()):
+                parted = [list(c._steps(t)) if len(t) <= STEP else None for t in group]
+                _warmed(c, [x for x in parted if x])
+                out += [_digests(c, c._steps(t) if x is None else x) for t, x in zip(group, parted, strict=True)]
             n, ids, text = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(text, pa.string())})
 
