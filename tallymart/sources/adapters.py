@@ -56,6 +56,11 @@ SELECT listing_id AS id, site_id AS competitor_id, CASE WHEN part_id % 31 = 0 TH
 FROM (SELECT s.*, row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC, order_id DESC, line_no DESC, tie DESC) AS rn,
              min(captured_at) OVER (PARTITION BY listing_id) AS first_at FROM {price_snapshots} s) x
 WHERE rn = 1""",
+    "offers": """
+SELECT l.id, p.name || ' ' || p.category AS title, CASE WHEN l.part_id % 9 = 0 THEN NULL ELSE p.brand END AS brand,
+       CASE WHEN l.part_id % 8 < 3 THEN l.ean ELSE NULL END AS ean, CASE WHEN l.part_id % 7 = 0 THEN p.manufacturer_code ELSE NULL END AS manufacturer_code,
+       CASE WHEN l.part_id % 10 = 0 THEN p.model ELSE NULL END AS model, l.sku, p.storage AS spec_storage
+FROM {listings} l JOIN {products} p ON p.id = l.part_id""",
     "matches": """
 SELECT id AS listing_id, part_id AS product_id,
        CASE part_id * 3 % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'auto_matched' WHEN 2 THEN 'needs_review' WHEN 3 THEN 'low_confidence' ELSE 'rejected' END AS status,
