@@ -49,49 +49,68 @@ _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 
 
 class Trie:
-    """Lexicon trie; a node is its children by character, under "" the entry that ends there, and under "most" the edits that an entry below allows."""
+    """Lexicon tries by the parts of their entries.
+
+    Of k + 1 parts of an entry one is left whole by k edits, so a word needs
+    only the tries of the parts that it begins with, ends with, or holds. A node
+    is its children by character, under "" the entry that ends there, and under
+    "most" the edits that an entry below allows.
+    """
 
     def __init__(self, weights: dict[str, float], stems: dict[str, float]) -> None:
-        self.root: dict = {}
         self.weights, self.stems = weights, stems
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        self.middles: set[str] = set()
+        self.heads: dict[str, dict] = {}
+        self.tails: dict[str, dict] = {}
+        self.middles: dict[str, dict] = {}
+        self.stem_sizes = sorted({len(x) for x in stems})
+        lengths: set[int] = set()
         for w in weights:
             k = edits(len(w))
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-                node["most"] = max(k, node.get("most", 0))
-            node[""] = w
-            if k:  # of k + 1 parts of an entry one is left whole by k edits
-                part = len(w) // (k + 1)
-                self.heads.add(w[:part])
-                self.tails.add(w[k * part :])
-                if k == 2:
-                    self.middles.add(w[part : 2 * part])
+            if not k or any(w[:n] in stems for n in self.stem_sizes):
+                continue  # only itself is meant, or a stem stands for it
+            part = len(w) // (k + 1)
+            lengths.update(range(len(w) - k, len(w) + k + 1))
+            self._add(self.heads, w[:part], w, k)
+            self._add(self.tails, w[k * part :], w, k)
+            if k == 2:
+                self._add(self.middles, w[part : 2 * part], w, k)
+        self.lengths = frozenset(lengths)
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
-        self.heads2, self.tails2 = {x[:2] for x in self.heads}, {x[-2:] for x in self.tails}
-        self.stem_sizes = sorted({len(x) for x in stems})
 
-    def may_match(self, word: str) -> bool:
-        """False only if no entry lies within its edits of the word."""
-        if len(word) < TWO_EDITS - 2 and word[:2] not in self.heads2 and word[-2:] not in self.tails2:
-            return False
-        return any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes) or (len(word) >= TWO_EDITS - 2 and any(m in word for m in self.middles))
+    @staticmethod
+    def _add(tries: dict[str, dict], part: str, entry: str, k: int) -> None:
+        node = tries.setdefault(part, {})
+        for c in entry:
+            node = node.setdefault(c, {})
+            node["most"] = max(k, node.get("most", 0))
+        node[""] = entry
+
+    def roots(self, word: str) -> list[dict]:
+        """The tries of which an entry may lie within its edits of the word."""
+        if len(word) not in self.lengths:
+            return []
+        found = [r for k in self.head_sizes if (r := self.heads.get(word[:k]))]
+        found += [r for k in self.tail_sizes if (r := self.tails.get(word[-k:]))]
+        return found + [r for m, r in self.middles.items() if m in word]
 
     def nearest(self, word: str) -> tuple[int, str] | None:
-        """(distance, entry) of the least distance within the edits that the entry allows; ties go to the heavier, then the first entry."""
+        """(distance, entry) of the least distance within the edits that the entry allows; ties go to the heavier, then the first entry.
+
+        The Levenshtein automaton of the word runs through each trie: its state
+        is the row of distances between the beginnings of the word and the path.
+        """
         best: tuple[int, float, str] | None = None
-        rows = [(self.root, list(range(len(word) + 1)))]
+        first = list(range(len(word) + 1))
+        rows = [(root, first) for root in self.roots(word)]
         while rows:
             node, row = rows.pop()
-            entry = node.get("")
-            if entry is not None and row[-1] <= edits(len(entry)):
-                found = row[-1], -self.weights[entry], entry
-                best = found if best is None else min(best, found)
             for c, child in node.items():
+                if not c:
+                    if row[-1] <= edits(len(child)):
+                        found = row[-1], -self.weights[child], child
+                        best = found if best is None else min(best, found)
+                    continue
                 if len(c) != 1:
                     continue
                 left = row[0] + 1
@@ -146,7 +165,7 @@ class Matcher:
         for k in t.stem_sizes:
             if word[:k] in t.stems:
                 return STEMMED * t.stems[word[:k]]
-        if t.may_match(word) and (found := t.nearest(word)):
+        if found := t.nearest(word):
             return MISSPELT ** found[0] * t.weights[found[1]]
         return 0.0
 
