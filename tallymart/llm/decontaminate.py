@@ -201,4 +201,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap with no item; nulls as in :func:`overlaps`."""
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (own == F.col("bad_text")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (own == bad["bad_text"]), "left_anti")

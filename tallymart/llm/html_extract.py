@@ -33,6 +33,7 @@ PAGES = 8
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", regex.S)
 _ATTRIBUTE = regex.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = regex.compile(r"[^a-z]+")
+_DIGITS = regex.compile(r"\d+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
@@ -145,7 +146,9 @@ def blocks(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             stack.append(top._replace(tag=tag))
             continue
         flush()
-        node = _node(top.path[-1], tag, " ".join(sorted(own)))
+        # classes as they are; numbers in an id tell pages apart, not kinds of branches
+        mark = " ".join(sorted(attributes.get("class", "").lower().split())) + "#" + _DIGITS.sub("", attributes.get("id", "").lower())
+        node = _node(top.path[-1], tag, mark)
         children.setdefault(top.path[-1], []).append(tag)
         stack.append(_Open(tag, (*top.path, node), noise, inside))
     flush()

@@ -377,7 +377,7 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """
     joined = jaccard_join(docs, n, num, den).select(F.col("doc_id").alias("own_id"), "component_id").distinct()
     keep = joined.where("own_id IS NULL AND component_id IS NULL OR own_id = component_id").select("own_id").distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("own_id")), "left_semi")
+    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["own_id"]), "left_semi")
     again = rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again"))
     once = rows.join(again, rows["doc_id"] == again["again"], "left_anti")
     many = rows.join(again, rows["doc_id"] == again["again"], "left_semi")
