@@ -1,6 +1,6 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
-The lexicon holds words, and stems that stand for all words that begin so. It
+The lexicon holds words, and stems that match all words that begin so beside them. It
 is learned from labelled rows: a word or stem enters if it occurs in toxic
 texts so much more often than elsewhere that chance can't explain it among all
 that were tried. Every distinct word of a text is matched by running the
@@ -66,8 +66,8 @@ class Trie:
         lengths: set[int] = set()
         for w in weights:
             k = edits(len(w))
-            if not k or any(w[:n] in stems for n in self.stem_sizes):
-                continue  # only itself is meant, or a stem stands for it
+            if not k:
+                continue  # only itself is meant
             part = len(w) // (k + 1)
             lengths.update(range(len(w) - k, len(w) + k + 1))
             self._add(self.heads, w[:part], w, k)
