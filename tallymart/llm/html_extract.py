@@ -27,7 +27,7 @@ from tallymart.llm.common import stored
 CONTENT = 0.9
 #: Branches below these importances go: outside and inside an element that is marked as the article.
 LEAST, LEAST_INSIDE = 0.5, 0.25
-#: Pages of a host that must show a node before its entropy says anything.
+#: Pages of a host with different texts that must show a node before its entropy says anything.
 PAGES = 8
 
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", regex.S)
@@ -161,33 +161,41 @@ def host_of(url: str | None) -> str:
     return regex.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower().removeprefix("www.")
 
 
-def _nodes(page: str) -> dict[int, tuple[int, int]]:
-    """(child sequence, text below) of each node of a page, as hashes."""
+def _nodes(page: str) -> tuple[int, list[dict[str, int]]]:
+    """Digest of a page's text without noise; child sequence and text below of each of its nodes, as hashes, by node."""
     found, children = blocks(page)
     below: dict[int, list[str]] = {}
     for b in found:
         for node in dict.fromkeys(b.path[1:]):
             below.setdefault(node, []).append(b.text)
-    out = {}
-    for node, texts in below.items():
+    out = []
+    for node, texts in sorted(below.items()):
         tags = children.get(node, [])
         # repeats of one tag are one step of the sequence
         style = " ".join(t for k, t in enumerate(tags) if k == 0 or tags[k - 1] != t)
-        out[node] = xxhash.xxh64_intdigest(style) >> 1, xxhash.xxh64_intdigest("\n".join(texts)) >> 1
-    return out
+        out.append({"node": node, "style": xxhash.xxh64_intdigest(style) >> 1, "content": xxhash.xxh64_intdigest("\n".join(texts)) >> 1})
+    return xxhash.xxh64_intdigest("\n".join(b.text for b in found if not b.noise)) >> 1, out
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, n_pages, importance) of every node of every host's style tree."""
+    """(host, node, n_pages, importance) of every node of every host's style tree.
+
+    Pages of a host with the same text are one page, so that copies don't make
+    an article look like what the site repeats.
+    """
+    nodes = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(host_of(u), node, kind, value) for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True) for node, values in _nodes(h).items() for kind, value in enumerate(values)]
-            host, node, kind, value = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch({"host": pa.array(host, pa.string()), "node": pa.array(node, pa.int64()), "kind": pa.array(kind, pa.int32()), "value": pa.array(value, pa.int64())})
-
-    shown = pages.mapInArrow(run, "host string, node long, kind int, value long")
-    counts = shown.groupBy("host", "node", "kind", "value").count()
+            found = [_nodes(h) for h in b.column("html").to_pylist()]
+            hosts = [host_of(u) for u in b.column("url").to_pylist()]
+            yield pa.record_batch({"host": pa.array(hosts, pa.string()), "page": pa.array([p for p, _ in found], pa.int64()), "nodes": pa.array([x for _, x in found], nodes)})
+
+    shown = pages.mapInArrow(run, "host string, page long, nodes array<struct<node: long, style: long, content: long>>")
+    # the least of the copies stands for all, whatever the order of rows
+    distinct = shown.groupBy("host", "page").agg(F.min("nodes").alias("nodes")).select("host", F.explode("nodes").alias("n"))
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"n.{c}").alias("value")) for k, c in enumerate(("style", "content")))))
+    counts = distinct.select("host", F.col("n.node").alias("node"), values.alias("v")).groupBy("host", "node", "v.kind", "v.value").count()
     # -sum(p ln p) / ln m = (ln m - sum(c ln c) / m) / ln m
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.log("count")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
