@@ -224,7 +224,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null or empty html, and html without main text: empty text. Null url: pages
     without host share a style tree. Null page_id and repeated rows: each row
     has its result. Texts of any length are taken whole. An empty table gives an
-    empty table; other columns aren't read.
+    empty table; other columns aren't read. Nodes that fewer than ``PAGES`` pages
+    with different texts show aren't judged: what a small host repeats stays,
+    unless a tag or class tells.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     low = style_tree(rows.select("url", "html")).where((F.col("n_pages") >= PAGES) & (F.col("importance") < LEAST))
