@@ -88,7 +88,7 @@ def prj_listing_price(d: Domain) -> DataFrame:
 
 @query("prj_snapshot_dto", f"SELECT l.id, CASE WHEN coalesce(l.latest_promo_price, l.latest_price) IS NOT NULL THEN 'listing' WHEN s.listing_id IS NOT NULL THEN 'snapshot' ELSE 'none' END AS source FROM listings l LEFT JOIN (SELECT * FROM ({_LATEST}) WHERE listing_id % 2 = 0) s ON s.listing_id = l.id")
 def prj_snapshot_dto(d: Domain) -> DataFrame:
-    s = R.latest_price(d.price_snapshots).where("listing_id % 2 = 0").select("listing_id")
+    s = R.latest_price(d.price_snapshots).select("listing_id")
     rows = d.listings.join(s, d.listings["id"] == s["listing_id"], "left")
     return rows.select("id", F.when(L.effective_price().isNotNull(), "listing").when(F.col("listing_id").isNotNull(), "snapshot").otherwise("none").alias("source"))
 

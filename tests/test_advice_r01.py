@@ -1,0 +1,17 @@
+"""Whole jobs that the first round of advice found cut."""
+
+from tallymart.plans import relational
+from tallymart.sources.adapters import Domain
+
+
+def _domain(spark, **tables):
+    d = Domain(spark, "")
+    d._made.update(tables)
+    return d
+
+
+def test_snapshot_of_odd_and_even_listings(spark):
+    listings = spark.createDataFrame([(1, None, None), (2, None, None), (3, 5.0, None), (4, None, None), (5, None, None)], "id long, latest_price double, latest_promo_price double")
+    snapshots = spark.createDataFrame([(k, "1998-01-01", 1, 1, 1.0) for k in (1, 2, 3)], "listing_id long, captured_at string, order_id long, line_no int, tie double")
+    got = relational.prj_snapshot_dto(_domain(spark, listings=listings, price_snapshots=snapshots))
+    assert {r["id"]: r["source"] for r in got.collect()} == {1: "snapshot", 2: "snapshot", 3: "listing", 4: "none", 5: "none"}
