@@ -4,15 +4,18 @@ The DOMs of all pages of a host are merged: nodes with the same path of tags
 and classes are one node of the tree. Its presentation importance is the
 entropy of the child sequences that pages show there, its content importance
 the entropy of the texts below it, both to the base of its number of pages; a
-node that looks and reads the same everywhere has neither. Branches of low
-importance leave every page, as do elements that can't hold an article (scripts,
-forms, navigation and the like).
+node that looks and reads the same everywhere has neither. Few pages say little,
+so the entropy is drawn towards 1 by ``DOUBT`` pages. What a tag, role or class
+says of a branch, and whether it lies in the page's article, is the prior by
+which its importance is multiplied. Branches of low importance leave every page.
 """
 
 from __future__ import annotations
 
 import html
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,16 +24,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import stored
+from tallymart.llm.common import lean, stored
 
 #: Weight of content in a node's importance; the rest is presentation.
 CONTENT = 0.9
 #: Branches below these importances go: outside and inside an element that is marked as the article.
 LEAST, LEAST_INSIDE = 0.5, 0.25
-#: Pages of a host with different texts that must show a node before its entropy says anything.
-PAGES = 8
+#: Pages without repeats that are added to those that show a node.
+DOUBT = 2
+#: Priors: of a mark that tells noise, of one that may, and of what lies outside the article of a page that has one.
+NOISE, PERHAPS, OUTSIDE = 0.2, 0.55, 0.6
 
-_TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", regex.S)
+# Quotes count after "=" only and where they are closed; nothing is tried twice, so the time follows the length.
+_TOKEN = regex.compile(r"<!--.*?(-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?][^>]*+>", regex.S)
 _ATTRIBUTE = regex.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = regex.compile(r"[^a-z]+")
 _DIGITS = regex.compile(r"\d+")
@@ -40,9 +46,11 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that hold no article text.
 _NEVER = frozenset("head script style noscript template iframe nav footer aside form button select option textarea svg canvas object audio video map dialog menu title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in a class or id that mark what isn't the article.
-_NOISE = frozenset("nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations trending comment comments disqus respond reply replies breadcrumb breadcrumbs pagination pager toolbar widget masthead topbar copyright".split())
+#: Words in a class or id that mark what isn't the article, and those that do if they are all of it.
+_CLEAR = frozenset("nav navbar navigation footer sidebar ad ads advert adverts advertisement advertising adsense sponsored cookie cookies consent gdpr newsletter disqus comment comments respond breadcrumb breadcrumbs pagination pager masthead topbar".split())
+_NOISE = _CLEAR | frozenset("menu header aside sponsor promo promotion banner notice notices alert popup modal overlay subscribe subscription signup login form search share sharing social related recommended recommendations trending reply replies toolbar widget copyright".split())
 _INSIDE_FINE = frozenset(["header"])
+_HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|/|=|$)")
 #: Start tags that end an open element: by tag, those that they end and those that shield it.
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -56,20 +64,51 @@ _CLOSES = {
 _P = (frozenset(["p"]), frozenset(["table", "td", "th", "button", "object"]))
 
 
+#: A style-tree node with the path above it; None at the root.
+Path = tuple["Path", int] | None
+
+
 class Block(NamedTuple):
-    path: tuple[int, ...]  # the style-tree nodes above the text, from the root
+    path: Path
     text: str
-    noise: bool
+    prior: float
     inside: bool  # of an element marked as the article
 
+    @property
+    def noise(self) -> bool:
+        return self.prior <= NOISE
+
 
 class _Open(NamedTuple):
     tag: str
-    path: tuple[int, ...]
-    noise: bool
+    path: Path
+    prior: float
     inside: bool
 
 
+def above(path: Path) -> Iterator[int]:
+    """The nodes of a path, the last first."""
+    while path is not None:
+        path, node = path
+        yield node
+
+
+def _prior(tag: str, attributes: dict[str, str], marks: str, inside: bool) -> float:
+    """What tag, role, class and id of an element say of it."""
+    if tag in _NEVER or (tag == "header" and not inside) or attributes.get("role") in _ROLES:
+        return NOISE
+    if marks and (_HIDDEN.search(marks) or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")):
+        return NOISE
+    out = 1.0
+    noise = _NOISE - _INSIDE_FINE if inside else _NOISE
+    for name in ("class", "id"):
+        for token in attributes.get(name, "").lower().split():
+            words = {w for w in _SPLIT.split(token) if w}
+            if words & noise:
+                out = min(out, NOISE if words & _CLEAR or words <= noise else PERHAPS)
+    return out
+
+
 def _node(parent: int, tag: str, mark: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}>{tag}.{mark}") >> 1
 
@@ -78,7 +117,8 @@ def blocks(page: str) -> tuple[list[Block], dict[int, list[str]]]:
     """The text blocks of a page in order, and the tags of the children of each of its style-tree nodes."""
     found: list[Block] = []
     children: dict[int, list[str]] = {}
-    stack = [_Open("", (0,), False, False)]
+    stack = [_Open("", None, 1.0, False)]
+    opened: Counter[str] = Counter()  # tags on the stack
     text: list[str] = []
 
     def flush() -> None:
@@ -87,28 +127,30 @@ def blocks(page: str) -> tuple[list[Block], dict[int, list[str]]]:
             text.clear()
             if words:
                 top = stack[-1]
-                found.append(Block(top.path, words, top.noise, top.inside))
+                found.append(Block(top.path, words, top.prior, top.inside))
 
     def close(at: int) -> None:
         """Close the open elements from ``at`` on."""
         if any(o.tag not in _INLINE for o in stack[at:]):
             flush()
+        opened.subtract(o.tag for o in stack[at:])
         del stack[at:]
 
-    at, n = 0, len(page)
+    # behind the last ">" there is no tag
+    at, n, last = 0, len(page), page.rfind(">") + 1
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last) if at < last else None
         if m is None:
-            text.append(page[at:])
+            text.append(page[at:].partition("<!--")[0])
             break
         if m.start() > at:
             text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        at = m.end() if m[1] != "" else n
+        if m[3] is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        tag = m[3].lower()
+        if m[2]:
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -121,40 +163,44 @@ def blocks(page: str) -> tuple[list[Block], dict[int, list[str]]]:
                 flush()
             continue
         if tag in _RAW:
-            end = regex.compile(rf"</{tag}\s*>", regex.I).search(page, at)
+            end = _end_of(tag).search(page, at)
             at = end.end() if end else n
             continue
         inline = tag in _INLINE
         ends, shields = _CLOSES.get(tag, (frozenset(), frozenset())) if inline or tag in _CLOSES else _P
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
             if stack[k].tag in ends:
                 close(k)
                 break
             if stack[k].tag in shields:
                 break
         top = stack[-1]
-        marks = m[3]
+        marks = m[4]
         attributes = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(marks)} if marks and "=" in marks else {}
-        own = {w for k in ("class", "id") for w in _SPLIT.split(attributes.get(k, "").lower()) if w}
-        inside = top.inside or (not top.noise and (tag in ("article", "main") or attributes.get("role") in ("main", "article")))
-        noise = top.noise or tag in _NEVER or (tag == "header" and not top.inside) or attributes.get("role") in _ROLES or bool(own & (_NOISE - _INSIDE_FINE if top.inside else _NOISE)) or attributes.get("aria-hidden") == "true" or bool(regex.search(r"(?:^|\s)hidden(?:\s|/|=|$)", marks or "")) or "display:none" in attributes.get("style", "").replace(" ", "")
+        inside = top.inside or (top.prior > NOISE and (tag in ("article", "main") or attributes.get("role") in ("main", "article")))
+        prior = min(top.prior, _prior(tag, attributes, marks, top.inside))
+        opened[tag] += 1
         if inline:
-            if noise != top.noise:
+            if prior != top.prior:
                 flush()
-                stack.append(_Open(tag, top.path, noise, inside))
-                continue
-            stack.append(top._replace(tag=tag))
+            stack.append(_Open(tag, top.path, prior, inside))
             continue
         flush()
         # classes as they are; numbers in an id tell pages apart, not kinds of branches
         mark = " ".join(sorted(attributes.get("class", "").lower().split())) + "#" + _DIGITS.sub("", attributes.get("id", "").lower())
-        node = _node(top.path[-1], tag, mark)
-        children.setdefault(top.path[-1], []).append(tag)
-        stack.append(_Open(tag, (*top.path, node), noise, inside))
+        parent = top.path[1] if top.path else 0
+        node = _node(parent, tag, mark)
+        children.setdefault(parent, []).append(tag)
+        stack.append(_Open(tag, (top.path, node), prior, inside))
     flush()
     return found, children
 
 
+@cache
+def _end_of(tag: str) -> regex.Pattern:
+    return regex.compile(rf"</{tag}\s*>", regex.I)
+
+
 def host_of(url: str | None) -> str:
     """The host of a URL without ``www.``; empty for null and for what has none."""
     rest = (url or "").partition("://")[2] or (url or "")
@@ -166,7 +212,7 @@ def _nodes(page: str) -> tuple[int, list[dict[str, int]]]:
     found, children = blocks(page)
     below: dict[int, list[str]] = {}
     for b in found:
-        for node in dict.fromkeys(b.path[1:]):
+        for node in above(b.path):
             below.setdefault(node, []).append(b.text)
     out = []
     for node, texts in sorted(below.items()):
@@ -191,7 +237,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             hosts = [host_of(u) for u in b.column("url").to_pylist()]
             yield pa.record_batch({"host": pa.array(hosts, pa.string()), "page": pa.array([p for p, _ in found], pa.int64()), "nodes": pa.array([x for _, x in found], nodes)})
 
-    shown = pages.mapInArrow(run, "host string, page long, nodes array<struct<node: long, style: long, content: long>>")
+    shown = pages.mapInArrow(lean(run), "host string, page long, nodes array<struct<node: long, style: long, content: long>>")
     # the least of the copies stands for all, whatever the order of rows
     distinct = shown.groupBy("host", "page").agg(F.min("nodes").alias("nodes")).select("host", F.explode("nodes").alias("n"))
     values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"n.{c}").alias("value")) for k, c in enumerate(("style", "content")))))
@@ -200,22 +246,26 @@ def style_tree(pages: DataFrame) -> DataFrame:
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.log("count")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
     weight = F.when(F.col("kind") == 1, F.lit(CONTENT)).otherwise(F.lit(1 - CONTENT))
-    return sums.groupBy("host", "node").agg(F.max("m").alias("n_pages"), F.sum(entropy * weight).alias("importance"))
+    found = sums.groupBy("host", "node").agg(F.max("m").alias("n_pages"), F.sum(entropy * weight).alias("entropy"))
+    return found.select("host", "node", "n_pages", ((DOUBT + F.col("n_pages") * F.col("entropy")) / (DOUBT + F.col("n_pages"))).alias("importance"))
 
 
 def main_text(page: str, low: dict[int, float]) -> str:
-    """The text of a page without noise and branches of low importance (node: importance)."""
+    """The text of a page without branches of low importance; ``low``: nodes whose entropy isn't high, and their importance."""
     found = [b for b in blocks(page)[0] if not b.noise]
-    if any(b.inside for b in found):
-        found = [b for b in found if b.inside]
+    outside = OUTSIDE if any(b.inside for b in found) else 1.0
     total = sum(len(b.text) for b in found)
     share: dict[int, int] = {}
     for b in found:
-        for node in dict.fromkeys(b.path[1:]):
+        for node in above(b.path):
             share[node] = share.get(node, 0) + len(b.text)
     # a branch with half of the text is the article, whatever other pages say
-    gone = {node for node, n in share.items() if 2 * n < total and node in low}
-    return " ".join(b.text for b in found if not any(node in gone and low[node] < (LEAST_INSIDE if b.inside else LEAST) for node in b.path[1:]))
+    judged = {node: low[node] for node, n in share.items() if 2 * n < total and node in low}
+
+    def importance(b: Block) -> float:
+        return b.prior * (1.0 if b.inside else outside) * min((judged.get(node, 1.0) for node in above(b.path)), default=1.0)
+
+    return " ".join(b.text for b in found if importance(b) >= (LEAST_INSIDE if b.inside else LEAST))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -224,12 +274,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null or empty html, and html without main text: empty text. Null url: pages
     without host share a style tree. Null page_id and repeated rows: each row
     has its result. Texts of any length are taken whole. An empty table gives an
-    empty table; other columns aren't read. Nodes that fewer than ``PAGES`` pages
-    with different texts show aren't judged: what a small host repeats stays,
-    unless a tag or class tells.
+    empty table; other columns aren't read. A host of two pages can't tell what it
+    repeats; there a tag or class must. A host with a large share of all pages
+    is split by adaptive execution where the trees aren't small enough to be
+    sent to all tasks.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    low = style_tree(rows.select("url", "html")).where((F.col("n_pages") >= PAGES) & (F.col("importance") < LEAST))
+    # what the highest prior that is in doubt could bring below its threshold
+    low = style_tree(rows.select("url", "html")).where(F.col("importance") < LEAST / min(PERHAPS, OUTSIDE))
     low = stored(low.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("low")), "style-trees")
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,4 +299,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.record_batch({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
 
     known = rows.mapInArrow(hosts, "page_id long, url string, html string, host string")
-    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
