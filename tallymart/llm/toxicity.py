@@ -1,11 +1,12 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
-The lexicon holds words, and stems that match all words that begin so beside them. It
+The lexicon holds words, and stems that also match the beginnings of words. It
 is learned from labelled rows: a word or stem enters if it occurs in toxic
 texts so much more often than elsewhere that chance can't explain it among all
 that were tried. Every distinct word of a text is matched by running the
-Levenshtein automaton of the word through the trie: states are rows of edit
+Levenshtein automaton of the word through the tries: states are rows of edit
 distances, and a branch is left as soon as all its distances exceed the limit.
+A word's entry is reached at the end of the row, a stem at any place of it.
 Hits in a context window of quotation or report weigh less than plain ones, and
 those beside an address weigh more. The weights add up to a calibrated score.
 """
@@ -22,23 +23,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import documents, stored
+from tallymart.llm.common import documents, lean, stored
 from tallymart.llm.labels import Logistic, fold, labelled_sample
 
 #: Bound of the training sample: rows of each class, bytes of a text.
 SAMPLE_ROWS, SAMPLE_TEXT = 12_000, 1 << 17
 #: Rows of each class of that sample on which the score is calibrated.
 CALIBRATION_ROWS = 1500
-#: Most entries of the lexicon, and most misspellings known to be harmless.
-LEXICON, HARMLESS = 4000, 50_000
 #: Stems have between so many characters.
 STEM = (4, 7)
-#: Edits allowed from so many characters of an entry on.
-ONE_EDIT, TWO_EDITS = 5, 9
-#: Words kept by a worker with their match, before it starts anew; words above LONGEST characters aren't matched.
-KEPT, LONGEST = 300_000, 40
+#: Edits allowed from so many characters of an entry on, and how many more a stem must have for them, as what follows it is free.
+ONE_EDIT, TWO_EDITS, FREE = 5, 9, 2
+#: Words kept by a worker with their match before it starts anew; longer ones than KEPT_WORD are matched each time.
+KEPT, KEPT_WORD = 100_000, 64
 #: Characters on either side of a hit that are its context, and what context and kind of match do to its weight.
-WINDOW, QUOTED, REPORTED, ADDRESSED, MISSPELT, STEMMED = 48, 0.3, 0.5, 1.25, 0.7, 1.0
+WINDOW, QUOTED, REPORTED, ADDRESSED, MISSPELT = 48, 0.3, 0.5, 1.25, 0.7
 
 #: Words with a prior: little evidence lets them in, and they serve where no toxic labels are there to learn from.
 PLAIN = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "bastard", "asshole", "bitch", "retard", "vermin", "filth", "dumbass")
@@ -62,7 +61,10 @@ class Trie:
         self.heads: dict[str, dict] = {}
         self.tails: dict[str, dict] = {}
         self.middles: dict[str, dict] = {}
-        self.stem_sizes = sorted({len(x) for x in stems})
+        self.starts: dict = {}
+        for s in stems:
+            self._add(self.starts, "", s, edits(len(s) - FREE))
+        self.longest_stem = max(map(len, stems), default=0)
         lengths: set[int] = set()
         for w in weights:
             k = edits(len(w))
@@ -113,21 +115,48 @@ class Trie:
                     continue
                 if len(c) != 1:
                     continue
-                left = row[0] + 1
-                new = [left]
-                for i, w in enumerate(word):
-                    x = row[i] if w == c else row[i] + 1
-                    if left + 1 < x:
-                        x = left + 1
-                    if row[i + 1] + 1 < x:
-                        x = row[i + 1] + 1
-                    new.append(x)
-                    left = x
+                new = _next(row, word, c)
                 if min(new) <= child["most"]:
                     rows.append((child, new))
         return (best[0], best[2]) if best else None
 
 
+    def beginning(self, word: str) -> tuple[int, str] | None:
+        """(distance, stem) of the stem that is nearest to a beginning of the word, within the edits that the stem allows; ties as in :meth:`nearest`."""
+        if not self.starts:
+            return None
+        start = word[: self.longest_stem + 2]
+        best: tuple[int, float, str] | None = None
+        rows = [(self.starts[""], list(range(len(start) + 1)))]
+        while rows:
+            node, row = rows.pop()
+            for c, child in node.items():
+                if not c:
+                    if (d := min(row)) <= edits(len(child) - FREE):
+                        found = d, -self.stems[child], child
+                        best = found if best is None else min(best, found)
+                elif len(c) == 1:
+                    new = _next(row, start, c)
+                    if min(new) <= child["most"]:
+                        rows.append((child, new))
+        return (best[0], best[2]) if best else None
+
+
+def _next(row: list[int], word: str, c: str) -> list[int]:
+    """The row of distances after one more character of the path."""
+    left = row[0] + 1
+    new = [left]
+    for i, w in enumerate(word):
+        x = row[i] if w == c else row[i] + 1
+        if left + 1 < x:
+            x = left + 1
+        if row[i + 1] + 1 < x:
+            x = row[i + 1] + 1
+        new.append(x)
+        left = x
+    return new
+
+
 def edits(length: int) -> int:
     """Edits allowed for an entry of so many characters."""
     return 2 if length >= TWO_EDITS else 1 if length >= ONE_EDIT else 0
@@ -151,23 +180,21 @@ class Matcher:
     def weight(self, word: str) -> float:
         """0 for a word that matches nothing."""
         if (w := self.known.get(word)) is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            w = self.known[word] = self._weight(word)
+            w = self._weight(word)
+            if len(word) <= KEPT_WORD:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                self.known[word] = w
         return w
 
     def _weight(self, word: str) -> float:
         t = self.trie
         if word in t.weights:
             return t.weights[word]
-        if len(word) > LONGEST or word in self.harmless:
+        if word in self.harmless:
             return 0.0
-        for k in t.stem_sizes:
-            if word[:k] in t.stems:
-                return STEMMED * t.stems[word[:k]]
-        if found := t.nearest(word):
-            return MISSPELT ** found[0] * t.weights[found[1]]
-        return 0.0
+        entry, stem = t.nearest(word), t.beginning(word)
+        return max(MISSPELT ** entry[0] * t.weights[entry[1]] if entry else 0.0, MISSPELT ** stem[0] * t.stems[stem[1]] if stem else 0.0)
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """Weighted hits in context, their share among the words, and the heaviest hit."""
@@ -206,7 +233,7 @@ def _words_of(sample: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 own, of = [], []
                 for text, label in zip(b.column("text")[i : i + 256].to_pylist(), b.column("label")[i : i + 256].to_pylist(), strict=True):
-                    found = [w for w in set(WORD.findall(text.lower())) if len(w) <= LONGEST]
+                    found = set(WORD.findall(text.lower()))
                     own += found
                     of += [label] * len(found)
                 yield pa.record_batch({"word": pa.array(own, pa.string()), "label": pa.array(of, pa.int32())})
@@ -226,7 +253,7 @@ def _surprising(counts: DataFrame, n1: int, n0: int, least: float) -> DataFrame:
     rate = ((F.col("a") + 0.5) / F.lit(n1 + 1.0)) / ((F.col("b") + 0.5) / F.lit(n0 + 1.0))
     found = counts.where("a > 0").withColumn("gain", gain).withColumn("rate", rate).where("rate > 20")
     found = found.where((F.col("gain") > least) | (F.col("word").isin(*PLAIN) & (F.col("gain") > 2)))
-    return found.select("word", F.log("rate").alias("weight"), "gain").orderBy(F.desc("gain"), "word").limit(LEXICON)
+    return found.select("word", F.log("rate").alias("weight"), "gain")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
@@ -247,7 +274,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     stems: dict[str, float] = {}
     # a text may hold several forms: three times the gain is asked for, and three forms
     for r in sorted(_surprising(starts.where("forms > 2"), n1, n0, 3 * least).collect(), key=lambda r: (len(r["word"]), r["word"])):
-        if not any(r["word"][:k] in stems for k in range(STEM[0], len(r["word"]))):
+        if not any(r["word"].startswith(s) for s in stems):
             stems[r["word"]] = r["weight"]
     weights = weights or ({} if stems else dict.fromkeys(PLAIN, 4.0))
     # words of clean texts that only look like entries
@@ -259,7 +286,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
             yield b.filter(pa.array([w not in m.trie.weights and m.weight(w) > 0 for w in b.column("word").to_pylist()], pa.bool_()))
 
     clean = counts.where("b > 0").select("word").mapInArrow(alike, "word string")
-    harmless = frozenset(r["word"] for r in clean.orderBy("word").limit(HARMLESS).collect())
+    harmless = frozenset(r["word"] for r in clean.collect())
     model = Model(weights, stems, harmless, None)
     rows = sample.where("label = 1").orderBy(F.xxhash64("doc_id"), "text").limit(CALIBRATION_ROWS).unionByName(sample.where("label = 0").orderBy(F.xxhash64("doc_id"), "text").limit(CALIBRATION_ROWS))
     seen = _evidence(rows.select("text", "label"), model).collect()
@@ -303,7 +330,7 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, held_out: int
     of both kinds the plain lexicon and an uncalibrated score serve. An empty
     table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON entries twice and HARMLESS words at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the bounded sample at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(shared.value)
@@ -312,7 +339,7 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, held_out: int
             yield pa.record_batch({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
 
     rows = documents(docs).select("doc_id", "text", (fold(folds) == held_out).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -324,4 +351,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for b in batches:
             yield b.filter(pa.array(_scores(m, shared.value, b.column("text").to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
