@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session leaves it at Spark's 10,000.
+ARROW_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[..., Batches]) -> Callable[..., Batches]:
+    """``run`` for a Python worker that lives on: what it has freed goes back to the system when its task ends."""
+
+    def freed() -> None:
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            freed()
+
+    def group_task(key: tuple[pa.Scalar, ...], batches: Batches) -> Batches:
+        try:
+            yield from run(key, batches)
+        finally:
+            freed()
+
+    # Spark tells the two apart by their arguments
+    chosen = task if len(inspect.signature(run).parameters) == 1 else group_task
+    chosen.__annotations__ = dict.fromkeys(("batches", "return"), Iterator[pa.RecordBatch]) | ({} if chosen is task else {"key": tuple[pa.Scalar, ...]})
+    return chosen
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) of each row, and the columns named in ``more``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)

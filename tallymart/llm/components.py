@@ -16,14 +16,17 @@ from tallymart.llm.common import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v) with u > v. ``large``: hang larger neighbours, else smaller ones, on the least."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    met = both.join(least, "u")
+    """One step over edges (u, v) with u > v. ``large``: hang larger neighbours, else smaller ones, on the least.
+
+    Only nodes with a smaller neighbour have a ``least``; the centre of a star
+    has none, so its edges pass as they are.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     if large:
-        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = least.select(F.col("u").alias("v"), "m")
+        out = edges.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
     else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 

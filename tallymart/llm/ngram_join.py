@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymart.llm import tokens as T
-from tallymart.llm.common import documents, stored
+from tallymart.llm.common import documents, lean, stored
 from tallymart.llm.components import components
 
 _U = np.uint64
@@ -75,7 +75,7 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer(), dtype="<u4")
         yield pa.record_batch({"piece": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "piece long, counts binary").groupBy("piece").applyInArrow(add, "piece long, counts binary").collect()
+    rows = docs.select("text").mapInArrow(lean(count), "piece long, counts binary").groupBy("piece").applyInArrow(add, "piece long, counts binary").collect()
     total = np.zeros(size, dtype=np.int64)
     for r in rows:
         total[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], dtype="<u4")
@@ -128,7 +128,7 @@ def features(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) ->
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, k1 long, k2 long, prefix array<long>, bits binary")
 
 
 class Forest:
@@ -182,7 +182,8 @@ def _plausible(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | Non
 def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (u, v) whose components hold every pair of classes that may link."""
     met = reps.select("rep", F.explode("prefix").alias("shingle"))
-    met = met.withColumn("c", F.count("*").over(W.partitionBy("shingle"))).where("c > 1")
+    # counted before the shuffle, so a common shingle isn't one task
+    met = met.join(met.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "shingle")
     # a group above GROUP goes to all pairs of its blocks; others are a single pair
     met = met.withColumn("nb", F.ceil(F.col("c") / F.lit(GROUP))).withColumn("block", F.pmod(F.xxhash64("rep"), "nb"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
@@ -208,7 +209,7 @@ def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
         if waiting:
             yield _group_edges(pa.concat_tables(waiting), num, den)
 
-    return met.mapInArrow(run, "u long, v long")
+    return met.mapInArrow(lean(run), "u long, v long")
 
 
 def _key(t: pa.Table, i: int) -> tuple:
@@ -295,12 +296,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def verified(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc, root, links) from ``members`` (component, rep, text, copies, n_shingles): exact links inside each component."""
-    order = W.partitionBy("component").orderBy("rep").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = members.withColumn("d", F.row_number().over(order) - 1).withColumn("s", F.sum("n_shingles").over(order) - F.col("n_shingles"))
-    # a new block after BLOCK_DOCS documents and after BLOCK_SHINGLES shingles
-    rows = rows.withColumn("block", F.floor(F.col("d") / BLOCK_DOCS) + F.floor(F.col("s") / BLOCK_SHINGLES)).drop("d", "s")
-    last = rows.groupBy("component").agg(F.max("block").alias("last"))
-    rows = rows.join(last, "component").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    # blocks by hash, of BLOCK_DOCS documents and BLOCK_SHINGLES shingles on average: no family is ordered in one task
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = members.groupBy("component").agg(blocks.alias("blocks"))
+    rows = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "text", "copies")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
