@@ -1,12 +1,14 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
-Each batch of documents sends its distinct n-grams (of orders 0 to ``ORDER``, as
-64-bit hashes with their counts) to the partitions of the count table, packed:
-one row for a batch and partition instead of one for every n-gram. A partition
-sums the counts of each n-gram over all batches and joins them back to the
-batches that asked, in their order. A batch then explodes its documents into
-n-grams again, looks each up, takes the document's own occurrences away, and
-sums the logarithms per document.
+The documents of a partition are taken in batches of consecutive rows. A batch sends
+its distinct n-grams (of orders 0 to ``ORDER``, as 64-bit hashes with their
+counts) to the partitions of the count table, packed: one row for a batch and
+partition, so never more rows than there are distinct n-grams in the batches.
+A partition sums the counts of each n-gram over all batches and joins them back
+to the batches that asked, in their order. There they meet the documents, packed
+as one row for each batch: they are exploded into n-grams again, each is looked
+up, the document's own occurrences are taken away, and the logarithms are summed
+per document.
 """
 
 from __future__ import annotations
@@ -16,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import tokens as T
-from tallymart.llm.common import documents
+from tallymart.llm.common import documents, lean
 
 _U = np.uint64
 ORDER, BACKOFF = 3, 0.4
 #: What a word counts that occurs in no other document.
 UNSEEN = 0.5
 #: Bytes of text in a batch, and n-grams (a batch and n-gram counts once) in a partition of the count table, on average.
-BATCH_BYTES, TABLE_ROWS = 4 << 20, 3_000_000
+BATCH_BYTES, TABLE_ROWS = 8 << 20, 3_000_000
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -122,23 +125,22 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     them and lose no factor for it.
 
     Null or empty text: no words, log_score 0, mean_score null. Null doc_id and
-    repeated rows: every row is a document of its own. An empty table gives an
-    empty table; other columns aren't read.
+    repeated rows: every row is a document of its own. Texts of any length are
+    taken whole; one above ``BATCH_BYTES`` is a batch by itself. An empty table
+    gives an empty table; other columns aren't read. ``docs`` is read twice and
+    must come in the same order, as a stored table does; otherwise the job fails.
     """
     docs = documents(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, -(-size // BATCH_BYTES))
     # words have six bytes or so, and each ends ORDER n-grams
-    parts = max(1, -(-size * ORDER // (6 * TABLE_ROWS)))
-    rows = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * ORDER // (6 * TABLE_ROWS)))
 
-    def send(key: tuple[pa.Scalar, ...], some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(some))
-        keys, counts = Grams(t.column("text")).distinct()
-        ends = _ends(keys, parts)
-        found = [(p, _pack_keys(keys[a:b]), _pack(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
-        p, k, c = zip(*found, strict=True)
-        yield pa.record_batch({"batch": pa.array([key[0].as_py()] * len(p), pa.int64()), "part": pa.array(p, pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
+    def send(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, docs in _batches(some):
+            keys, counts = Grams(docs.column("text")).distinct()
+            ends = _ends(keys, parts)
+            found = [(p, _pack_keys(keys[a:b]), _pack(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+            p, k, c = zip(*found, strict=True)
+            yield pa.record_batch({"batch": pa.array([batch] * len(p), pa.int64()), "part": pa.array(p, pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     def count(key: tuple[pa.Scalar, ...], some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = [(r["batch"], _unpack_keys(r["keys"]), _unpack(r["counts"], "<u4")) for b in some for r in b.to_pylist()]
@@ -149,18 +151,57 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"batch": pa.array([batch], pa.int64()), "part": pa.array([key[0].as_py()], pa.int64()), "totals": pa.array([_pack(totals[inverse[a:b]])], pa.binary())})
 
     def score(key: tuple[pa.Scalar, ...], own: pa.Table, counted: pa.Table) -> pa.Table:
-        g = Grams(own.column("text"))
-        keys, _ = g.distinct()
+        out = []
         order = np.argsort(counted.column("part").to_numpy())
         found = counted.column("totals").to_pylist()
         totals = np.concatenate([_unpack(found[i], "<u8") for i in order]).astype(np.int64)
-        sums = np.bincount(g.owner, weights=_scores(g, keys, totals), minlength=len(g.n_words)) if len(g.words) else np.zeros(len(g.n_words))
-        mean = pa.array(sums / np.maximum(g.n_words, 1), mask=g.n_words == 0)
-        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(g.n_words, pa.int64()), "log_score": pa.array(sums), "mean_score": mean})
-
-    sent = rows.groupBy("batch").applyInArrow(send, "batch long, part long, keys binary, counts binary")
-    table = sent.groupBy("part").applyInArrow(count, "batch long, part long, totals binary")
-    return rows.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_score double")
+        for packed_docs in own.column("docs"):  # one: a batch is one row
+            docs = _opened(packed_docs)
+            g = Grams(docs.column("text"))
+            keys, _ = g.distinct()
+            if len(keys) != len(totals):
+                raise ValueError("the documents were dealt otherwise when they were read again: store them first")
+            sums = np.bincount(g.owner, weights=_scores(g, keys, totals), minlength=len(g.n_words)) if len(g.words) else np.zeros(len(g.n_words))
+            mean = pa.array(sums / np.maximum(g.n_words, 1), mask=g.n_words == 0)
+            out.append(pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(g.n_words, pa.int64()), "log_score": pa.array(sums), "mean_score": mean}))
+        return pa.concat_tables(out)
+
+    sent = docs.mapInArrow(lean(send), "batch long, part long, keys binary, counts binary")
+    table = sent.groupBy("part").applyInArrow(lean(count), "batch long, part long, totals binary")
+    packed = docs.mapInArrow(lean(pack), "batch long, docs binary")
+    scored = packed.groupBy("batch").cogroup(table.groupBy("batch"))
+    return scored.applyInArrow(score, "doc_id long, n_words long, log_score double, mean_score double")
+
+
+def _batches(some: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Consecutive rows of a partition of about ``BATCH_BYTES`` of text, numbered over all partitions."""
+    batch = TaskContext.get().partitionId() << 33
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for b in some:
+        offsets, _ = T.string_parts(b.column("text"))
+        for i, j in T.slices(offsets, BATCH_BYTES):
+            new = int(offsets[j] - offsets[i])
+            if waiting and size + new > BATCH_BYTES:
+                yield batch, pa.Table.from_batches(waiting).combine_chunks()
+                batch, waiting, size = batch + 1, [], 0
+            waiting.append(b.slice(i, j - i))
+            size += new
+    if waiting:
+        yield batch, pa.Table.from_batches(waiting).combine_chunks()
+
+
+def pack(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, docs): each batch as a compressed Arrow table."""
+    for batch, docs in _batches(some):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        yield pa.record_batch({"batch": pa.array([batch], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _opened(docs: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(docs.as_buffer()).read_all()
 
 
 def _ends(keys: np.ndarray, parts: int) -> list[int]:
