@@ -40,6 +40,36 @@ def norm_ean(x: Column) -> Column:
     return F.when(F.length(digits) >= 8, digits)
 
 
+def spec_ean(x: Column) -> Column:
+    """Digits of a specification value; null unless there are eight to fourteen."""
+    digits = F.regexp_replace(x, "[^0-9]", "")
+    return F.when(F.length(digits).between(8, 14), digits)
+
+
+def first_group(x: Column, pattern: str) -> Column:
+    """The first group of a pattern in a text; null where it doesn't occur."""
+    return F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
+
+
+def variant_color(x: Column) -> Column:
+    """What is left of a variant's text without its size and a label before the colour."""
+    rest = F.regexp_replace(x, r"(?iu)\d+(?:[.,]\d+)?\s*(?:ml|мл|kg|кг|oz|гр|g|l|л)(?![\wа-я])\.?", "")
+    return F.nullif(stripped(F.regexp_replace(stripped(rest), r"(?iu)^(?:цвят|colou?r)\s*:?\s*", "")), F.lit(""))
+
+
+def category_name(x: Column) -> Column:
+    """Control characters as blanks, white space as one blank, at most 512 characters."""
+    return F.nullif(F.left(stripped(F.regexp_replace(x, r"(?U)[\s\p{Cntrl}]+", " ")), F.lit(512)), F.lit(""))
+
+
+def strip_html(x: Column) -> Column:
+    """Text without tags, the common character references decoded, white space as one blank."""
+    text = F.regexp_replace(x, r"<[^>]+>", " ")
+    for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(c))
+    return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def gtin_valid(x: Column) -> Column:
     """Whether a code has a GTIN length, not one digit alone, and the right check digit."""
     shape = x.rlike(r"^(\d{8}|\d{12,14})$") & ~x.rlike(r"^(\d)\1*$")

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymart.functions.codes import gtin_valid
+from tallymart.functions.codes import gtin_valid, strip_html
+from tallymart.functions.fields import spec_label
 from tallymart.functions.money import parse_decimal
 
 _OFFER = "struct<price:string,lowPrice:string,priceCurrency:string,availability:string>"
 _PRODUCT = f"struct<`@type`:string,name:string,gtin13:string,gtin14:string,gtin12:string,gtin8:string,gtin:string,mpn:string,image:string,brand:struct<name:string>,offers:{_OFFER}>"
 
 
-def sitemap_locations(xml: Column) -> Column:
-    """All locations of a sitemap or sitemap index; empty for what isn't XML."""
-    return F.when(xml.rlike(r"<(?:urlset|sitemapindex)\b"), F.transform(F.xpath(F.regexp_replace(xml, r"\sxmlns(?::\w+)?=\"[^\"]*\"", ""), F.lit("//loc/text()")), lambda u: F.trim(u))).otherwise(F.array().cast("array<string>"))
+def sitemap_locations(body: Column) -> Column:
+    """All locations of a sitemap, sitemap index, RSS or Atom feed, or of a plain list with a URL on each line."""
+    xml = F.regexp_replace(body, r"\sxmlns(?::\w+)?=\"[^\"]*\"", "")
+    found = lambda path: F.transform(F.xpath(xml, F.lit(path)), lambda u: F.trim(u))
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda u: F.trim(u)), lambda u: u.rlike("^https?://"))
+    return (
+        F.when(body.rlike(r"<(?:urlset|sitemapindex)\b"), found("//loc/text()"))
+        .when(body.rlike(r"<rss\b"), found("//item/link/text()"))
+        .when(body.rlike(r"<feed\b"), found("//entry/link/@href"))
+        .otherwise(F.coalesce(lines, F.array().cast("array<string>")))
+    )
 
 
 def is_sitemap_index(xml: Column) -> Column:
@@ -67,3 +76,85 @@ def feed_entries(item: Column) -> Column:
     many = F.transform(i["variants"], lambda v, k: F.struct(v["sku"].alias("sku"), i["url_key"].alias("url"), v["price"].alias("price"), F.when(fits, F.get(codes, k)).alias("ean")))
     one = F.array(F.struct(i["sku"].alias("sku"), i["url_key"].alias("url"), i["price"].alias("price"), F.nullif(F.get(codes, F.lit(0)), F.lit("")).alias("ean")))
     return F.when(F.coalesce(F.size(i["variants"]), F.lit(0)) > 0, many).otherwise(one)
+
+
+def title_of(html: Column) -> Column:
+    """The Open Graph title, else the first heading, else the page's title."""
+    by = lambda p: F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))
+    return F.coalesce(by(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"'), by(r"(?is)<h1[^>]*>(.*?)</h1>"), by(r"(?is)<title[^>]*>(.*?)</title>"))
+
+
+def image_of(html: Column) -> Column:
+    """The Open Graph image, else the first one of the page."""
+    by = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
+    return F.coalesce(by(r'(?is)<meta[^>]*property="og:image"[^>]*content="([^"]*)"'), by(r'(?is)<img[^>]*src="([^"]*)"'))
+
+
+def mpn_of(html: Column) -> Column:
+    """The manufacturer's number of the JSON-LD product, else that after a label."""
+    return F.coalesce(json_ld_product(html)["mpn"], F.nullif(F.regexp_extract(html, r"(?iu)(?:mpn|part number|код на производител)[\"'\s:>-]*([\w./-]*\d[\w./-]*)", 1), F.lit("")))
+
+
+#: Containers whose prices aren't the page's own: fixed values.
+NOISE_CONTAINERS = "related|similar|recommend|carousel|cart|mini|upsell|cross"
+
+
+def selector_prices(html: Column) -> Column:
+    """(price, old) at the price and old-price classes outside containers of other products."""
+    own = F.regexp_replace(html, rf"(?is)<div[^>]*class=\"[^\"]*(?:{NOISE_CONTAINERS})[^\"]*\"[^>]*>.*?</div>", "")
+    at = lambda c: parse_decimal(F.nullif(F.regexp_extract(own, rf'(?is)class="{c}"[^>]*>([^<]*)<', 1), F.lit("")))
+    price, old = at("price"), at("old-price")
+    return F.struct(price.alias("price"), F.when(old > price, old).alias("old"))
+
+
+def spec_pairs(html: Column) -> Column:
+    """(label, value) of the rows of specification tables and definition lists, tags stripped."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<(?:th|dt)[^>]*>(.*?)</(?:td|dd)>"), F.lit(1))
+    part = lambda r, k: strip_html(F.regexp_extract(r, r"(?is)^(.*?)</(?:th|dt)>\s*<(?:td|dd)[^>]*>(.*)$", k))
+    return F.transform(rows, lambda r: F.struct(part(r, 1).alias("label"), part(r, 2).alias("value")))
+
+
+def specs(html: Column) -> Column:
+    """Canonical key to value of a page's specifications; the first of each key stays, unknown labels are left out."""
+    known = F.filter(F.transform(spec_pairs(html), lambda p: F.struct(spec_label(p["label"]).alias("key"), p["value"].alias("value"))), lambda p: p["key"].isNotNull() & (p["value"] != ""))
+    keys = F.array_distinct(F.transform(known, lambda p: p["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.get(F.filter(known, lambda p: p["key"] == k), F.lit(0))["value"])))
+
+
+def breadcrumbs(html: Column, title: Column) -> Column:
+    """Texts of the links of the breadcrumb, without home and the product's own title."""
+    trail = F.regexp_extract(html, r'(?is)<(?:nav|ul|ol|div)[^>]*class="[^"]*breadcrumb[^"]*"[^>]*>(.*?)</(?:nav|ul|ol|div)>', 1)
+    names = F.transform(F.regexp_extract_all(trail, F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), strip_html)
+    return F.filter(names, lambda n: (n != "") & ~F.lower(n).isin("home", "начало") & ~n.eqNullSafe(title))
+
+
+def links(html: Column, base: Column) -> Column:
+    """Absolute URLs of all links of a page, in order, each once."""
+    found = F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*href="([^"#][^"]*)"'), F.lit(1))
+    root = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
+    return F.array_distinct(F.transform(found, lambda u: F.when(u.startswith("/"), F.concat(root, u)).otherwise(u)))
+
+
+def next_page(html: Column) -> Column:
+    return F.nullif(F.regexp_extract(html, r'(?is)<a[^>]*rel="next"[^>]*href="([^"]*)"', 1), F.lit(""))
+
+
+def page_fields(html: Column) -> Column:
+    """(title, price, old, currency, source): the selectors' price in leva before that of JSON-LD, that before the analytics event."""
+    own, ld, event = selector_prices(html), json_ld_product(html), event_price(html)
+    price = F.coalesce(own["price"].cast("double"), ld["price"], event.cast("double"))
+    source = F.when(own["price"].isNotNull(), "css").when(ld["price"].isNotNull(), "json_ld").when(event.isNotNull(), "analytics").otherwise("none")
+    currency = F.when(source == "css", "BGN").when(source == "json_ld", ld["currency"]).when(source == "analytics", "EUR")
+    return F.struct(F.coalesce(ld["title"], title_of(html)).alias("title"), price.alias("price"), own["old"].cast("double").alias("old"), currency.alias("currency"), source.alias("source"))
+
+
+def filled(parsed: Column, found: Column, names: tuple[str, ...]) -> Column:
+    """The fields of ``parsed``; what is null or unknown there comes from ``found``."""
+    return F.struct(*(F.coalesce(F.when(parsed[n].cast("string") != "unknown", parsed[n]), found[n]).alias(n) for n in names))
+
+
+def observation_of_entry(entry: Column, title: Column) -> Column:
+    """(sku, url, price, brand, status) of a feed entry: the brand is the title's first word; no price is a failure."""
+    brand = F.nullif(F.split_part(F.trim(title), F.lit(" "), F.lit(1)), F.lit(""))
+    status = F.when(entry["price"].isNull(), "failed").otherwise("success")
+    return F.struct(entry["sku"].alias("sku"), entry["url"].alias("url"), entry["price"].alias("price"), brand.alias("brand"), status.alias("status"))

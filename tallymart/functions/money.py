@@ -89,3 +89,26 @@ def regular_final(regular: Column, final: Column) -> Column:
     """(price, old, promo) from a regular and a final price."""
     lower = final < regular
     return F.struct(F.coalesce(regular, final).alias("price"), F.when(lower, regular).alias("old"), F.when(lower, final).alias("promo"))
+
+
+def price_candidates(x: Column) -> Column:
+    """All (amount, currency) in a text, amounts above 0."""
+    found = F.regexp_extract_all(x, F.lit(r"(?iu)(\d[\d\s.,]*\s*(?:лв\.?|BGN|EUR|€|USD|\$))"), F.lit(1))
+    one = lambda t: F.struct(parse_decimal(t).alias("amount"), currency_code(F.regexp_replace(t, r"[\d\s.,]", "")).alias("currency"))
+    return F.filter(F.transform(found, one), lambda c: c["amount"] > 0)
+
+
+def in_euro(x: Column, currency: Column) -> Column:
+    """The amount in euro if it is in leva, else as it is."""
+    return F.when(currency == "BGN", bgn_to_eur(x)).otherwise(x)
+
+
+def promo_of(price: Column, old: Column) -> Column:
+    """The price, if an old one above it is known."""
+    return F.when(old > price, price)
+
+
+def variant_price(price: Column, regular: Column) -> Column:
+    """(price, old, promo) of a variant: below its regular price the regular one is shown and the price is the promotion."""
+    lower = price < regular
+    return F.struct(F.when(lower, regular).otherwise(price).alias("price"), F.when(lower, regular).alias("old"), F.when(lower, price).alias("promo"))

@@ -95,3 +95,55 @@ def sku_of_slug(x: Column) -> Column:
     """``conf-`` and the final digits of a slug, padded to six."""
     digits = F.regexp_extract(x, r"(\d+)/?$", 1)
     return F.when(digits != "", F.concat(F.lit("conf-"), F.lpad(digits, 6, "0")))
+
+
+# Fixed values.
+NOT_PRODUCTS = r"/(?:cart|checkout|login|account|search|blog|sitemap[^/]*|[^/]*\.(?:css|js|png|jpg|xml))(?:/|$)"
+LISTING_HINTS = r"/(?:c|category|categories|catalog|collections|shop)(?:/|$)"
+NOT_CATEGORIES = r"/(?:p|cart|login|search|blog|help)(?:/|$)"
+
+
+def segments(x: Column) -> Column:
+    """The segments of a URL's path."""
+    return F.filter(F.split(path_of(x), "/"), lambda s: s != "")
+
+
+def is_product_url(x: Column) -> Column:
+    """Whether a URL looks like that of a product: ``/p/`` and digits, or a slug that ends in digits, below no excluded segment."""
+    path = path_of(x)
+    return F.coalesce(x.rlike("^https?://") & ~F.lower(path).rlike(NOT_PRODUCTS) & (path.rlike(r"/p/\d+") | path.rlike(r"[^/]*[a-z][^/]*-\d+/?$")), F.lit(False))
+
+
+def is_listing_url(x: Column) -> Column:
+    """Whether a URL looks like that of a listing page: a category hint, or at most two segments."""
+    path = path_of(x)
+    return F.coalesce(x.rlike("^https?://") & ~path.rlike(r"/p/\d+") & (F.lower(path).rlike(LISTING_HINTS) | (F.size(segments(x)) <= 2)), F.lit(False))
+
+
+def is_category_candidate(x: Column) -> Column:
+    """Whether a URL below ``/bg/`` may be a category: one to three segments more, none of them excluded."""
+    path = path_of(x)
+    return F.coalesce(path.rlike("^/bg/") & ~F.lower(path).rlike(NOT_CATEGORIES) & F.size(segments(x)).between(2, 4), F.lit(False))
+
+
+def redirect_target(x: Column) -> Column:
+    """The URL that a search result's redirect leads to; other URLs as they are."""
+    return F.coalesce(*(F.try_url_decode(F.nullif(F.regexp_extract(x, rf"[?&]{k}=([^&#]+)", 1), F.lit(""))) for k in ("uddg", "u", "url")), x)
+
+
+def has_term(x: Column, terms: Column) -> Column:
+    """Whether a decoded URL holds any word of three letters or more of a search."""
+    low = F.lower(F.coalesce(F.try_url_decode(x), x))
+    words = F.filter(F.split(F.lower(terms), r"\W+"), lambda t: F.length(t) >= 3)
+    return F.coalesce(F.exists(words, lambda t: low.contains(t)), F.lit(False))
+
+
+def page_urls(x: Column, page: int) -> Column:
+    """The URLs under which shops give a further page of a listing."""
+    base = F.regexp_replace(x, "[?#].*$|/+$", "")
+    return F.array(*(F.concat(base, F.lit(f"{mark}{page}{end}")) for mark, end in (("?page=", ""), ("?p=", ""), ("/page/", ""), ("/page/", "/"))))
+
+
+def slug_display(x: Column) -> Column:
+    """A slug as words with capitals."""
+    return F.initcap(F.regexp_replace(x, "[-_]+", " "))

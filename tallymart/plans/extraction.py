@@ -1,31 +1,91 @@
-"""Queries over extraction from markup and payloads."""
+"""Queries over extraction from markup, feeds and payloads."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions import markup
-from tallymart.operators.upserts import undiscovered
+from tallymart.functions import fields, markup, urls
+from tallymart.operators import upserts
+from tallymart.operators.ranking import first_of
 from tallymart.plans.registry import query
 from tallymart.plans.scalars import scalar
-from tallymart.functions.urls import product_url
-
-SITEMAPS = ('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> http://a/1 </loc></url><url><loc>http://a/2</loc></url></urlset>', "<sitemapindex><sitemap><loc>/s.xml</loc></sitemap></sitemapindex>", "plain", None)
-LD = ('<script type="application/ld+json">{"@type":"Product","name":"Phone","gtin13":"5901234123457","mpn":"M1","brand":{"name":"B"},"offers":{"price":"129.99","priceCurrency":"bgn","availability":"https://schema.org/InStock"}}</script>', '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","name":"x"},{"@type":"Product","name":"Watch","offers":{"lowPrice":"10,5","priceCurrency":"EUR"}}]}</script>', "<p>none</p>")
-scalar("src_sitemap", SITEMAPS, lambda x: F.concat_ws("|", F.when(markup.is_sitemap_index(x), "index").otherwise("urls"), F.array_join(markup.sitemap_locations(x), " ")), "CASE k WHEN 0 THEN 'urls|http://a/1 http://a/2' WHEN 1 THEN 'index|/s.xml' ELSE 'urls|' END")
-scalar("src_jsonld", LD, lambda x: F.size(markup.json_ld(x)), "CASE WHEN k < 2 THEN 1 ELSE 0 END")
-scalar("ex_jsonld_product", LD, lambda x: F.to_json(markup.json_ld_product(x)), """CASE k WHEN 0 THEN '{"title":"Phone","brand":"B","ean":"5901234123457","mpn":"M1","price":129.99,"currency":"BGN","availability":"in_stock"}' WHEN 1 THEN '{"title":"Watch","price":10.5,"currency":"EUR"}' ELSE '{}' END""")
-scalar("ex_gtag", ("gtag('event','view_item',{items:[{'price': '19.90'}]})", "view_item nothing", "'price': 5"), lambda x: markup.event_price(x).cast("double"), "CASE k WHEN 0 THEN 19.9 END::DOUBLE")
-scalar("ex_ean", ('<meta itemprop="gtin13" content="5901234123457">', '{"ean":"1111111111111","gtin":"96385074"}', "EAN: 5901234123458"), markup.labelled_ean, "CASE k WHEN 0 THEN '5901234123457' WHEN 1 THEN '96385074' END")
-scalar("ex_seller", ("Sold by: Shop One<br>", "nothing"), markup.seller, "CASE k WHEN 0 THEN 'Shop One' END")
-scalar("ex_bulk_entries", ('{"sku":"P","url_key":"u","price":5,"barcodes":"1, 2","variants":[{"sku":"a","price":1},{"sku":"b","price":2}]}', '{"sku":"P","url_key":"u","price":5,"barcodes":"9"}', '{"sku":"P","barcodes":"1,2,3","variants":[{"sku":"a","price":1}]}'), lambda x: F.array_join(F.transform(markup.feed_entries(x), lambda e: F.concat(e["sku"], F.lit("="), F.coalesce(e["ean"], F.lit("-")))), ";"), "CASE k WHEN 0 THEN 'a=1;b=2' WHEN 1 THEN 'P=9' ELSE 'a=-' END")
-scalar("agg_eta", ("30/10", "5/0"), lambda x: F.ceil(F.try_divide(F.split(x, "/")[0].cast("double"), F.split(x, "/")[1].cast("double"))).cast("long"), "CASE k WHEN 0 THEN 3 END::BIGINT")
-scalar("st_heartbeat", ("1998-11-30 23:54:59", "1998-11-30 23:55:01"), lambda x: F.lit("1998-12-01 00:00:00").cast("timestamp") - F.expr("INTERVAL 300 SECONDS") > x.cast("timestamp"), "x::TIMESTAMP < TIMESTAMP '1998-12-01 00:00:00' - INTERVAL 300 SECONDS")
-scalar("sc_first_text", (" |b", "|", "a|b"), lambda x: F.coalesce(F.nullif(F.trim(F.split(x, r"\|")[0]), F.lit("")), F.nullif(F.trim(F.split(x, r"\|")[1]), F.lit(""))), "CASE k WHEN 0 THEN 'b' WHEN 2 THEN 'a' END")
-scalar("sc_confidence", ("1/1/1", "1/1/0", "1/0/0", "0/0/0"), lambda x: F.when(x.startswith("1/1/1"), "high").when(x.startswith("1/1"), "medium").when(x.startswith("1"), "low").otherwise("none"), "CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END")
-
-
-@query("q_discovery_upsert")
-def q_discovery_upsert(d):
-    """New canonical product URLs of the pages, against those of even pages."""
-    return undiscovered(d.pages.select("url"), d.pages.where("page_id % 2 = 0").select("url"), product_url)
+from tallymart.sources.adapters import Domain
+
+
+def over(table: str, name: str, column: str, f, sql: str) -> None:
+    """A query (id, y) of ``f`` over a column of a table, and its SQL over ``x``."""
+    query(name, f"SELECT id, {sql} AS y FROM (SELECT *, {column} AS x FROM {table})")(lambda d: getattr(d, table).select("id", f(F.col(column)).alias("y")))
+
+
+_N = "id::VARCHAR"
+over("sitemaps", "src_sitemap", "body", lambda x: F.array_join(markup.sitemap_locations(x), " "), f"CASE id % 5 WHEN 4 THEN '' ELSE array_to_string(list_transform(regexp_extract_all(regexp_replace(x, '# note', ''), '(https?://[^<\\s]+|/s\\d+\\.xml)', 1), lambda u: trim(u)), ' ') END".replace("regexp_replace(x, '# note', '')", "replace(x, 'http://www.sitemaps.org/schemas/sitemap/0.9', '')"))
+over("shop_pages", "src_jsonld", "html", lambda x: F.size(markup.json_ld(x)), "len(regexp_extract_all(x, 'application/ld\\+json'))")
+over("shop_pages", "ex_jsonld_product", "html", lambda x: F.to_json(markup.json_ld_product(x)), f"CASE WHEN id % 4 = 0 THEN '{{}}' ELSE '{{\"title\":\"' || regexp_extract(x, '<h1>(.*?)</h1>', 1) || '\",\"brand\":\"' || regexp_extract(x, '\"brand\":\\{{\"name\":\"(.*?)\"', 1) || '\",\"mpn\":\"M' || {_N} || '\",\"price\":' || {_N} || '.5,\"currency\":\"BGN\",\"availability\":\"in_stock\"}}' END")
+over("shop_pages", "ex_gtag", "html", lambda x: markup.event_price(x).cast("double"), "nullif(regexp_extract(x, 'view_item.*\"price\": \"([\\d.]+)\"', 1), '')::DOUBLE")
+over("shop_pages", "ex_ean", "html", markup.labelled_ean, "regexp_extract(x, 'EAN: (\\d{13})', 1)")
+over("shop_pages", "ex_mpn", "html", markup.mpn_of, "nullif(regexp_extract(x, '\"mpn\":\"(.*?)\"', 1), '')")
+over("shop_pages", "ex_seller", "html", markup.seller, "regexp_extract(x, 'Sold by: ([^<]*)<', 1)")
+over("shop_pages", "ex_title_image", "html", lambda x: F.concat_ws(" ", markup.title_of(x), markup.image_of(x)), "coalesce(nullif(regexp_extract(x, 'og:title\" content=\"(.*?)\"', 1), ''), regexp_extract(x, '<h1>(.*?)</h1>', 1)) || ' ' || regexp_extract(x, '<img src=\"(.*?)\"', 1)")
+over("shop_pages", "ex_price_selector", "html", lambda x: F.to_json(F.struct(*(markup.selector_prices(x)[k].cast("double").alias(k) for k in ("price", "old")))), "CASE WHEN contains(x, 'product-price') THEN '{\"price\":' || replace(regexp_extract(x, 'product-price\"><span class=\"price\">([\\d,]+)', 1), ',90', '.9') || ',\"old\":' || replace(regexp_extract(x, 'old-price\">([\\d,]+)', 1), ',00', '.0') || '}' ELSE '{}' END")
+over("shop_pages", "ex_specs", "html", lambda x: fields.attributes_text(markup.specs(x)), "'brand: ' || regexp_extract(x, '<th>Марка</th><td>(.*?)</td>', 1) || '; color: ' || regexp_extract(x, '<th>Цвят:</th><td>(.*?)</td>', 1)")
+over("shop_pages", "ex_breadcrumbs", "html", lambda x: F.array_join(markup.breadcrumbs(x, markup.title_of(x)), ">"), "regexp_extract(x, '<a href=\"/c/1\">(.*?)</a>', 1)")
+over("shop_pages", "ex_links", "html", lambda x: F.concat_ws(" ", F.array_join(F.filter(F.transform(markup.links(x, F.col("url")), urls.product_url), urls.is_product_url), " "), markup.next_page(x)), f"'https://shop.example/bg/p/' || (id + 1)::VARCHAR || ' /c/1?page=2'")
+_SOURCE = "CASE WHEN contains(x, 'product-price') THEN 'css' WHEN contains(x, '\"offers\"') THEN 'json_ld' WHEN contains(x, 'view_item') THEN 'analytics' ELSE 'none' END"
+for _name in ("ex_page", "src_html"):
+    over("shop_pages", _name, "html", lambda x: F.concat_ws("|", *(markup.page_fields(x)[k].cast("string") for k in ("title", "price", "currency", "source"))), f"concat_ws('|', regexp_extract(x, '<h1>(.*?)</h1>', 1), CASE {_SOURCE} WHEN 'css' THEN {_N} || '.9' WHEN 'json_ld' THEN {_N} || '.5' WHEN 'analytics' THEN {_N} || '.1' END, CASE {_SOURCE} WHEN 'css' THEN 'BGN' WHEN 'json_ld' THEN 'BGN' WHEN 'analytics' THEN 'EUR' END, {_SOURCE})")
+over("shop_pages", "ex_jsonld_merge", "html", lambda x: F.to_json(markup.filled(F.struct(F.lit("unknown").alias("availability"), F.lit(None).cast("string").alias("brand"), markup.title_of(x).alias("title")), markup.json_ld_product(x), ("availability", "brand", "title"))), "CASE WHEN contains(x, 'ld+json') THEN '{\"availability\":\"in_stock\",\"brand\":\"' || regexp_extract(x, '\"brand\":\\{\"name\":\"(.*?)\"', 1) || '\",' ELSE '{' END || '\"title\":\"' || regexp_extract(x, '<h1>(.*?)</h1>', 1) || '\"}'")
+over("shop_pages", "sc_confidence", "html", lambda x: fields.confidence(markup.title_of(x), markup.selector_prices(x)["price"], markup.json_ld_product(x)["mpn"]), "CASE WHEN contains(x, 'product-price') AND contains(x, '\"mpn\"') THEN 'high' WHEN contains(x, 'product-price') THEN 'medium' ELSE 'low' END")
+
+_BARCODE = f"CASE WHEN id % 2 = 0 THEN {_N} ELSE {_N} END"
+over("feed_items", "ex_bulk_entries", "item", lambda x: F.array_join(F.transform(markup.feed_entries(x), lambda e: F.concat(e["sku"], F.lit("="), F.coalesce(e["ean"], F.lit("-")))), ";"), f"CASE WHEN id % 6 = 0 THEN 'a' || {_N} || '=' || {_N} || ';b' || {_N} || '=2' WHEN id % 3 = 0 THEN 'a' || {_N} || '=-;b' || {_N} || '=-' ELSE (x::JSON->>'$.sku') || '=' || {_N} END")
+over("feed_items", "ex_bulk_to_obs", "item", lambda x: F.array_join(F.transform(markup.feed_entries(x), lambda e: F.concat_ws(":", *(markup.observation_of_entry(e, F.get_json_object(x, "$.name"))[k] for k in ("sku", "brand", "status")))), ";"), "CASE WHEN id % 3 = 0 THEN 'a' || id || ':' || split_part(x::JSON->>'$.name', ' ', 1) || ':success;b' || id || ':' || split_part(x::JSON->>'$.name', ' ', 1) || ':success' ELSE (x::JSON->>'$.sku') || ':' || split_part(x::JSON->>'$.name', ' ', 1) || CASE WHEN (x::JSON->>'$.price') IS NULL THEN ':failed' ELSE ':success' END END")
+
+
+def _entries(d: Domain) -> DataFrame:
+    return d.feed_items.select("id", F.explode(markup.feed_entries(F.col("item"))).alias("e")).select("id", "e.*")
+
+
+_ENTRIES = "SELECT id, unnest(CASE WHEN id % 3 = 0 THEN ['a' || id, 'b' || id] ELSE [item::JSON->>'$.sku'] END) AS sku, 'u' || id AS url FROM feed_items"
+
+
+@query("dd_feed_sku", f"SELECT sku, min(id) AS id FROM ({_ENTRIES}) GROUP BY sku")
+def dd_feed_sku(d: Domain) -> DataFrame:
+    return first_of(_entries(d), ["sku"], [F.asc("id"), F.asc("url")]).select("sku", "id")
+
+
+@query("src_graphql", "SELECT (CASE WHEN p < 10 THEN 0 WHEN p < 25 THEN 1 ELSE 2 END)::BIGINT AS bucket, count(*) AS n FROM (SELECT coalesce((item::JSON->>'$.price')::DOUBLE, 0) AS p FROM feed_items) GROUP BY 1")
+def src_graphql(d: Domain) -> DataFrame:
+    p = F.coalesce(F.get_json_object("item", "$.price").cast("double"), F.lit(0.0))
+    return d.feed_items.groupBy(F.when(p < 10, 0).when(p < 25, 1).otherwise(2).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("ex_find_in_feed", f"SELECT p.id, min(e.id) AS item_id FROM products p JOIN ({_ENTRIES}) e ON e.url = 'u' || p.id OR e.sku = 'P' || p.id GROUP BY p.id")
+def ex_find_in_feed(d: Domain) -> DataFrame:
+    # the two keys of an entry as rows, so that one equi-join serves both
+    keys = _entries(d).select(F.col("id").alias("item_id"), F.explode(F.array(F.concat(F.lit("url:"), "url"), F.concat(F.lit("sku:"), "sku"))).alias("key"))
+    own = d.products.select("id", F.explode(F.array(F.concat(F.lit("url:u"), F.col("id").cast("string")), F.concat(F.lit("sku:P"), F.col("id").cast("string")))).alias("key"))
+    return own.join(keys, "key").groupBy("id").agg(F.min("item_id").alias("item_id"))
+
+
+@query("jn_url_key_bulk", "SELECT l.id, f.id AS item_id FROM (SELECT id, url, row_number() OVER (PARTITION BY regexp_replace(url, '^https?://|[?].*$', '', 'g') ORDER BY id) AS rn FROM listings) l JOIN (SELECT id, 'https://shop' || (id % 10 + 1) || '.example.com/bg/item/' || id AS url FROM feed_items) f ON regexp_replace(l.url, '^https?://|[?].*$', '', 'g') = regexp_replace(f.url, '^https?://', '') WHERE l.rn = 1")
+def jn_url_key_bulk(d: Domain) -> DataFrame:
+    first = first_of(d.listings.select("id", urls.match_key(F.col("url")).alias("key")), ["key"], [F.asc("id")])
+    site = F.concat(F.lit("https://shop"), (F.col("id") % 10 + 1).cast("string"), F.lit(".example.com/bg/item/"), F.col("id").cast("string"))
+    return d.feed_items.select(F.col("id").alias("item_id"), urls.match_key(site).alias("key")).join(first, "key").select("id", "item_id")
+
+
+def _number(c: str) -> Column:
+    return F.col(c).cast("double")
+
+
+query("agg_eta", "SELECT site_id, CASE WHEN sum(l_ok) > 0 THEN ceil(sum(1 - l_ok) / sum(l_ok)::DOUBLE)::BIGINT END AS minutes FROM (SELECT competitor_id AS site_id, (latest_scraped_at IS NOT NULL)::INT AS l_ok FROM listings) GROUP BY site_id")(lambda d: d.listings.groupBy(F.col("competitor_id").alias("site_id")).agg(F.count_if(F.col("latest_scraped_at").isNull()).alias("rest"), F.count("latest_scraped_at").alias("done")).select("site_id", fields.minutes_left(F.col("rest"), F.col("done")).alias("minutes")))
+query("st_heartbeat", "SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 300 SECONDS AS stalled FROM events")(lambda d: d.events.withColumn("_k", F.lit(1)).join(d.events.agg(F.max("ts").alias("now")).withColumn("_k", F.lit(1)), "_k").select("event_id", fields.stalled(F.col("ts"), F.col("now")).alias("stalled")))
+query("sc_first_text", "SELECT id, coalesce(nullif(trim(brand), ''), nullif(trim(model), ''), nullif(trim(name), '')) AS y FROM products")(lambda d: d.products.select("id", fields.first_text(F.col("brand"), F.col("model"), F.col("name")).alias("y")))
+
+
+@query("q_discovery_upsert", "SELECT key, min(url) AS url FROM (SELECT url, rtrim(regexp_replace(lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', ''), '/') AS key FROM pages) WHERE key NOT IN (SELECT rtrim(split_part(url, '?', 1), '/') FROM listings) GROUP BY key")
+def q_discovery_upsert(d: Domain) -> DataFrame:
+    """New canonical product URLs of the pages, against those of all listings."""
+    key = lambda x: F.concat(F.lower(F.regexp_extract(x, "^(https?://[^/?#]*)", 1)), F.regexp_replace(urls.path_of(x), "/+$", ""))
+    return upserts.undiscovered(d.pages.select("url"), d.listings.select("url"), key)

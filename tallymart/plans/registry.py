@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymart.sources.adapters import Domain, oracle
+from tallymart.sources.adapters import Domain, domain, oracle
 
 QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for k, f in QUERIES.items()}
+    return {k: (lambda spark, sf_dir, f=f: f(domain(spark, sf_dir))) for k, f in QUERIES.items()}

@@ -86,7 +86,7 @@ def prj_listing_price(d: Domain) -> DataFrame:
     return rows.select("id", num(F.coalesce(own, "promo_price", "snap_price")).alias("price"), F.when(own.isNull(), F.col("availability")).otherwise(F.col("latest_availability")).alias("availability"))
 
 
-@query("prj_snapshot_dto", f"SELECT l.id, CASE WHEN coalesce(l.latest_promo_price, l.latest_price) IS NOT NULL THEN 'listing' WHEN s.listing_id IS NOT NULL THEN 'snapshot' ELSE 'none' END AS source FROM listings l LEFT JOIN (SELECT * FROM ({_LATEST}) WHERE listing_id % 2 = 0) s ON s.listing_id = l.id")
+@query("prj_snapshot_dto", f"SELECT l.id, CASE WHEN coalesce(l.latest_promo_price, l.latest_price) IS NOT NULL THEN 'listing' WHEN s.listing_id IS NOT NULL THEN 'snapshot' ELSE 'none' END AS source FROM listings l LEFT JOIN ({_LATEST}) s ON s.listing_id = l.id")
 def prj_snapshot_dto(d: Domain) -> DataFrame:
     s = R.latest_price(d.price_snapshots).select("listing_id")
     rows = d.listings.join(s, d.listings["id"] == s["listing_id"], "left")
@@ -98,9 +98,12 @@ def prj_is_scraped(d: Domain) -> DataFrame:
     return d.listings.select("id", L.is_scraped().alias("scraped"))
 
 
-def _with_best(d: Domain, rejected: bool = True) -> DataFrame:
-    best = R.best_match(d.matches, rejected).select("listing_id", F.col("product_id").alias("best_id"), "status", "match_score")
-    return d.listings.join(best, d.listings["id"] == best["listing_id"], "left")
+def _with_best(d: Domain, rejected: bool = True, listings: DataFrame | None = None) -> DataFrame:
+    """Listings (all, or the given ones) with their best match; only matches of the given ones are ranked."""
+    rows = d.listings if listings is None else listings
+    scope = None if listings is None else listings.select(F.col("id").alias("listing_id"))
+    best = R.best_match(d.matches, rejected, scope).select("listing_id", F.col("product_id").alias("best_id"), "status", "match_score")
+    return rows.join(best, rows["id"] == best["listing_id"], "left")
 
 
 @query("prj_effective_status", f"SELECT l.id, CASE WHEN l.product_id IS NOT NULL THEN 'confirmed' ELSE coalesce(b.status, 'no_candidate') END AS status FROM listings l LEFT JOIN ({_BEST_ALL}) b ON b.listing_id = l.id")
@@ -116,10 +119,10 @@ def prj_row_status(d: Domain) -> DataFrame:
 _ROLES = f"FROM listings l LEFT JOIN ({_BEST_ALL}) b ON b.listing_id = l.id LEFT JOIN products p ON p.id = l.product_id LEFT JOIN products q ON q.id = b.product_id"
 
 
-def _roles(d: Domain, rejected: bool = True) -> DataFrame:
+def _roles(d: Domain, rejected: bool = True, listings: DataFrame | None = None) -> DataFrame:
     p = d.products.select(F.col("id").alias("p_id"), F.col("sku").alias("p_sku"), F.col("name").alias("p_name"), F.col("own_price").alias("p_price"))
     q = d.products.select(F.col("id").alias("q_id"), F.col("sku").alias("q_sku"), F.col("name").alias("q_name"), F.col("own_price").alias("q_price"))
-    rows = _with_best(d, rejected)
+    rows = _with_best(d, rejected, listings)
     return rows.join(p, rows["product_id"] == p["p_id"], "left").join(q, rows["best_id"] == q["q_id"], "left")
 
 
@@ -219,7 +222,7 @@ def flt_status_confirmed(d: Domain) -> DataFrame:
 @query("flt_status_other", f"SELECT l.id FROM listings l WHERE l.product_id IS NULL AND l.id IN (SELECT listing_id FROM ({_BEST_ALL}) WHERE status = 'needs_review')")
 def flt_status_other(d: Domain) -> DataFrame:
     open_ = d.listings.where("product_id IS NULL")
-    best = R.best_match(d.matches, True).where("status = 'needs_review'").select(F.col("listing_id").alias("id"))
+    best = R.best_match(d.matches, True, open_.select(F.col("id").alias("listing_id"))).where("status = 'needs_review'").select(F.col("listing_id").alias("id"))
     return open_.join(best, "id", "left_semi").select("id")
 
 
@@ -332,9 +335,9 @@ def agg_count_subquery(d: Domain) -> DataFrame:
     return _with_best(d).where("status = 'rejected'").agg(F.count("*").alias("n"))
 
 
-@query("agg_import_counts", "SELECT b.id AS batch_id, count(p.id) AS n FROM (SELECT unnest(range(0, 60))::BIGINT AS id) b LEFT JOIN products p ON p.import_batch_id = b.id GROUP BY b.id")
+@query("agg_import_counts", "SELECT b.id AS batch_id, count(p.id) AS n FROM import_batches b LEFT JOIN products p ON p.import_batch_id = b.id GROUP BY b.id")
 def agg_import_counts(d: Domain) -> DataFrame:
-    batches = d.spark.range(60).withColumnRenamed("id", "batch_id")
+    batches = d.import_batches.select(F.col("id").alias("batch_id"))
     n = d.products.groupBy(F.col("import_batch_id").alias("batch_id")).agg(F.count("*").alias("n"))
     return batches.join(n, "batch_id", "left").select("batch_id", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -499,7 +502,7 @@ def q_workspace_site(d: Domain) -> DataFrame:
     # lean ids first; the wide joins see one page only
     ids = scope.select("id", "latest_scraped_at", "created_at").orderBy(F.desc_nulls_last("latest_scraped_at"), F.desc("created_at"), "id").limit(75).select("id")
     total = scope.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
-    rows = _roles(d).join(ids, "id", "left_semi").select("id", *_shown(), L.row_status(F.col("product_id"), F.col("status")).alias("status"))
+    rows = _roles(d, listings=d.listings.join(ids, "id", "left_semi")).select("id", *_shown(), L.row_status(F.col("product_id"), F.col("status")).alias("status"))
     return rows.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
 
 
@@ -510,8 +513,7 @@ def q_workspace_category(d: Domain) -> DataFrame:
 
 @query("q_export", f"SELECT c.name AS \"Competitor\", l.title AS \"Title\", l.url AS \"URL\", l.ean AS \"EAN\", coalesce(l.latest_promo_price, l.latest_price)::DOUBLE AS \"Final EUR\", l.latest_price::DOUBLE AS \"Regular EUR\", {_SHOWN['sku']} AS \"Matched SKU\", b.match_score::DOUBLE AS \"Score\" {_ROLES} LEFT JOIN competitors c ON c.id = l.competitor_id WHERE l.competitor_id = 3 ORDER BY l.latest_scraped_at DESC NULLS LAST, l.created_at DESC, l.id LIMIT 50000")
 def q_export(d: Domain) -> DataFrame:
-    scope = d.listings.where("competitor_id = 3").select("id").withColumnRenamed("id", "_scope")
-    rows = _roles(d).join(scope, F.col("id") == F.col("_scope"), "left_semi")
+    rows = _roles(d, listings=d.listings.where("competitor_id = 3"))
     c = d.competitors.select(F.col("id").alias("_c"), F.col("name").alias("Competitor"))
     rows = rows.join(c, rows["competitor_id"] == c["_c"], "left").orderBy(F.desc_nulls_last("latest_scraped_at"), F.desc("created_at"), "id").limit(50_000)
     return rows.select("Competitor", F.col("title").alias("Title"), F.col("url").alias("URL"), F.col("ean").alias("EAN"), num(L.effective_price()).alias("Final EUR"), num("latest_price").alias("Regular EUR"), _shown()[0].alias("Matched SKU"), num("match_score").alias("Score"))
@@ -533,7 +535,7 @@ def _dashboard(d: Domain) -> DataFrame:
 
 query("agg_dashboard", _DASH)(_dashboard)
 query("q_dashboard", _DASH)(_dashboard)
-query("q_imports", "SELECT b.id AS batch_id, count(p.id) AS n FROM (SELECT unnest(range(0, 60))::BIGINT AS id) b LEFT JOIN products p ON p.import_batch_id = b.id GROUP BY b.id")(agg_import_counts)
+query("q_imports", "SELECT b.id AS batch_id, b.filename, b.created_at, count(p.id) AS n FROM import_batches b LEFT JOIN products p ON p.import_batch_id = b.id GROUP BY ALL ORDER BY b.created_at DESC, b.id")(lambda d: d.import_batches.withColumnRenamed("id", "batch_id").join(agg_import_counts(d), "batch_id").orderBy(F.desc("created_at"), "batch_id"))
 query("q_import_products", "SELECT id, sku FROM products WHERE import_batch_id = 5 ORDER BY id LIMIT 200")(lambda d: d.products.where("import_batch_id = 5").orderBy("id").limit(200).select("id", "sku"))
 query("q_products_page", "SELECT id, sku FROM products ORDER BY id DESC LIMIT 75 OFFSET 75")(lambda d: d.products.orderBy(F.desc("id")).offset(75).limit(75).select("id", "sku"))
 query("q_listings_page", "SELECT id FROM listings ORDER BY created_at DESC, id LIMIT 75")(lambda d: d.listings.orderBy(F.desc("created_at"), "id").limit(75).select("id"))
@@ -612,7 +614,7 @@ def up_import(d: Domain) -> DataFrame:
 
 
 query("up_import_counts", f"SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS imported, count(error) AS skipped FROM ({_CHECKED}) GROUP BY batch_id")(lambda d: upserts.checked_rows(d.import_rows).groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("imported"), F.count("error").alias("skipped")))
-query("up_delete_batch", "SELECT id FROM products WHERE import_batch_id <> 5")(lambda d: upserts.without_batch(d.spark.range(60), d.products, 5).select("id"))
+query("up_delete_batch", "SELECT id FROM products WHERE import_batch_id <> 5")(lambda d: upserts.without_batch(d.import_batches, d.products, 5).select("id"))
 
 
 def _pairs(d: Domain) -> DataFrame:

@@ -5,129 +5,118 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions import codes, money, urls
+from tallymart.functions import codes, fields, money, urls
 from tallymart.operators.ranking import first_of
 from tallymart.plans.registry import query
 from tallymart.sources.adapters import Domain
 
 
-def literals(d: Domain, *values: str | None) -> DataFrame:
-    """(k, x): numbered literals."""
-    return d.spark.createDataFrame(list(enumerate(values)), "k long, x string")
+def scalar(name: str, column: str, f, sql: str) -> None:
+    """A query (k, y) of ``f`` over a column of the messy cells of a table, and its SQL over ``x``."""
+    query(name, f"SELECT k, {sql} AS y FROM (SELECT k, {column} AS x FROM cells)")(lambda d: d.cells.select("k", F.expr(column).alias("x")).select("k", f(F.col("x")).alias("y")))
 
 
-def _sql(*values: str | None) -> str:
-    rows = ", ".join(f"({k}, {'NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)})" for k, v in enumerate(values))
-    return f"(SELECT k::BIGINT AS k, x::VARCHAR AS x FROM (VALUES {rows}) AS v(k, x))"
-
-
-def scalar(name: str, values: tuple, f, sql: str) -> None:
-    """A query (k, y) of ``f`` over literals, and its SQL over ``x``."""
-    query(name, f"SELECT k, {sql} AS y FROM {_sql(*values)}")(lambda d: literals(d, *values).select("k", f(F.col("x")).alias("y")))
-
-
-CODES = (" MQ6-K3/a ", "ab_c.d", None, "", "X Y-Z", "5901234123457", "59-01 234", "1234567", "42.0", "n/a", "-", "Цвят 256 GB", "16 gb ram", "12gb DDR4 1TB")
-scalar("sc_norm", CODES, codes.norm, "lower(trim(coalesce(x, '')))")
-scalar("sc_norm_code", CODES, codes.norm_code, "regexp_replace(lower(trim(coalesce(x, ''))), '[\\s\\-_./]', '', 'g')")
-scalar("sc_norm_ean", CODES, codes.norm_ean, "CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) >= 8 THEN regexp_replace(x, '[^0-9]', '', 'g') END")
-scalar("sc_norm_ean_spec", CODES, codes.norm_ean, "CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) >= 8 THEN regexp_replace(x, '[^0-9]', '', 'g') END")
-scalar("sc_placeholder", CODES, codes.placeholder, "CASE WHEN lower(trim(x)) IN ('', '-', '--', '—', '–', '.', 'n/a', 'na', 'none', 'null', 'x') THEN NULL ELSE trim(x) END")
-scalar("sc_header_norm", (" Own  Price ", "SKU", "Manufacturer\tCode", None), codes.header_name, "regexp_replace(lower(trim(coalesce(x, ''))), '\\s+', '_', 'g')")
-scalar("sc_cell_code", CODES, codes.cell_code, "CASE WHEN lower(trim(regexp_replace(x, '^(\\d+)\\.0+$', '\\1'))) IN ('', '-', '--', '—', '–', '.', 'n/a', 'na', 'none', 'null', 'x') THEN NULL ELSE trim(regexp_replace(x, '^(\\d+)\\.0+$', '\\1')) END")
-scalar("sc_storage", CODES, codes.storage_size, "coalesce(nullif(regexp_extract(lower(x), '(\\d+)\\s*gb', 1), ''), nullif(regexp_extract(lower(x), '(\\d+)\\s*tb', 1), ''))")
-scalar("sc_memory", CODES, codes.memory_size, "coalesce(nullif(regexp_extract(lower(x), '(\\d+)\\s*gb\\s*ram', 1), ''), nullif(regexp_extract(lower(x), '(\\d+)\\s*gb\\s*ddr', 1), ''))")
-
-GTINS = ("5901234123457", "5901234123458", "96385074", "11111111", "036000291452", "abc", None, "1234567890123")
+_VOID = "('', '-', '--', '—', '–', '.', 'n/a', 'na', 'none', 'null', 'x')"
+scalar("sc_norm", "code", codes.norm, "lower(trim(coalesce(x, '')))")
+scalar("sc_norm_code", "code", codes.norm_code, "regexp_replace(lower(trim(coalesce(x, ''))), '[\\s\\-_./]', '', 'g')")
+scalar("sc_norm_ean", "code", codes.norm_ean, "CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) >= 8 THEN regexp_replace(x, '[^0-9]', '', 'g') END")
+scalar("sc_norm_ean_spec", "coalesce(code, '') || ' ' || CAST(n2 AS STRING)", codes.spec_ean, "CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 14 THEN regexp_replace(x, '[^0-9]', '', 'g') END")
+scalar("sc_placeholder", "code", codes.placeholder, f"CASE WHEN lower(trim(x)) IN {_VOID} THEN NULL ELSE trim(x) END")
+scalar("sc_header_norm", "' Own  ' || code", codes.header_name, "regexp_replace(lower(trim(coalesce(x, ''))), '\\s+', '_', 'g')")
+scalar("sc_cell_code", "code", codes.cell_code, f"CASE WHEN lower(trim(regexp_replace(x, '^(\\d+)\\.0+$', '\\1'))) IN {_VOID} THEN NULL ELSE trim(regexp_replace(x, '^(\\d+)\\.0+$', '\\1')) END")
+scalar("sc_storage", "code", codes.storage_size, "coalesce(nullif(regexp_extract(lower(x), '(\\d+)\\s*gb', 1), ''), nullif(regexp_extract(lower(x), '(\\d+)\\s*tb', 1), ''))")
+scalar("sc_memory", "code", codes.memory_size, "coalesce(nullif(regexp_extract(lower(x), '(\\d+)\\s*gb\\s*ram', 1), ''), nullif(regexp_extract(lower(x), '(\\d+)\\s*gb\\s*ddr', 1), ''))")
+scalar("sc_extract_attr", "code", lambda x: codes.first_group(x, r"(?i)([a-z]+)[-_ ]?(\d+)"), "nullif(regexp_extract(x, '(?i)([a-z]+)[-_ ]?(\\d+)', 1), '')")
 _DIGIT = "substr(reverse(x), i + 1, 1)"
-scalar("sc_gtin_valid", GTINS, codes.gtin_valid, f"coalesce(regexp_matches(x, '^(\\d{{8}}|\\d{{12,14}})$') AND len(list_distinct(string_split(x, ''))) > 1 AND list_sum(list_transform(range(0, length(x)), lambda i: coalesce(try_cast({_DIGIT} AS INT), 0) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10 = 0, false)")
+scalar("sc_gtin_valid", "code", codes.gtin_valid, f"coalesce(regexp_matches(x, '^(\\d{{8}}|\\d{{12,14}})$') AND len(list_distinct(string_split(x, ''))) > 1 AND list_sum(list_transform(range(0, length(x)), lambda i: coalesce(try_cast({_DIGIT} AS INT), 0) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10 = 0, false)")
 
-TEXTS = ("Лаптоп Dell 15 черен", "Puzzle 100 части", "часовник WATCH", None, "няма", "iPhone 16 Pro, 256GB iphone")
 _joined = lambda c: F.array_join(F.array_sort(c), ",")
-scalar("sc_tokens", TEXTS, lambda x: _joined(codes.search_tokens(x)), "array_to_string(list_sort(list_distinct(regexp_extract_all(lower(trim(coalesce(x, ''))), '[a-z0-9а-я]{3,}'))), ',')")
-scalar("sc_type_tokens", TEXTS, lambda x: _joined(codes.type_tokens(x)), "array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(trim(coalesce(x, ''))), '[a-zа-я]+')), lambda t: t IN ('лаптоп', 'puzzle', 'часовник', 'watch'))), ',')")
-scalar("set_type_overlap", TEXTS, lambda x: F.arrays_overlap(codes.type_tokens(x), F.array(F.lit("watch"), F.lit("лаптоп"))), "len(list_filter(regexp_extract_all(lower(coalesce(x, '')), '[a-zа-я]+'), lambda t: t IN ('watch', 'лаптоп'))) > 0")
-scalar("sc_size", ("крем 50 мл", "Perfume 1.5 l", "2 kg box", "23МЛ.", "nothing", None, "12 гр х 3"), codes.size_text, "CASE k WHEN 0 THEN '50ML' WHEN 1 THEN '1.5L' WHEN 2 THEN '2KG' WHEN 3 THEN '23ML' WHEN 6 THEN '12G' END")
-
-AMOUNTS = ("1 299,00 лв", "1.299,50", "1,299.50", "1.299", "21,9300", "12,5", "99", "abc", None, "79.90 лв.", "1,234,567")
-scalar("sc_parse_decimal", AMOUNTS, lambda x: money.parse_decimal(x).cast("double"), "CASE k WHEN 0 THEN 1299.0 WHEN 1 THEN 1299.5 WHEN 2 THEN 1299.5 WHEN 3 THEN 1299.0 WHEN 4 THEN 21.93 WHEN 5 THEN 12.5 WHEN 6 THEN 99.0 WHEN 9 THEN 79.9 WHEN 10 THEN 1234567.0 END::DOUBLE")
-scalar("sc_parse_leva", ("1 299,00", "299.99", "1.299", "1,2,3", "12.345,6", "x"), lambda x: money.parse_leva(x).cast("double"), "CASE k WHEN 0 THEN 1299.0 WHEN 1 THEN 299.99 WHEN 2 THEN 1299.0 WHEN 3 THEN 123.0 WHEN 4 THEN 12345.6 END::DOUBLE")
-scalar("sc_extract_leva", ("цена 79,90 лв. стара 99,90 лв.", "10 BGN", "€ 5", None), lambda x: F.array_join(F.transform(money.leva_amounts(x), lambda v: v.cast("decimal(14,2)").cast("string")), ";"), "CASE k WHEN 0 THEN '79.90;99.90' WHEN 1 THEN '10.00' WHEN 2 THEN '' END")
-scalar("sc_pick_prices", ("5,9,9,2", "7", "0,0", "", "1000000,3"), lambda x: F.to_json(money.likely_prices(F.transform(F.split(x, ","), lambda v: v.try_cast("decimal(18,4)")))), "CASE k WHEN 0 THEN '{\"price\":2.0000,\"old\":9.0000,\"promo\":2.0000}' WHEN 1 THEN '{\"price\":7.0000}' WHEN 4 THEN '{\"price\":3.0000}' ELSE '{}' END")
-scalar("sc_currency", ("лв", "лв.", "€", "EUR", "usd", "chf", "kron", None), money.currency_code, "CASE k WHEN 0 THEN 'BGN' WHEN 1 THEN 'BGN' WHEN 2 THEN 'EUR' WHEN 3 THEN 'EUR' WHEN 4 THEN 'USD' WHEN 5 THEN 'CHF' END")
-scalar("sc_currency_pref", ("BGN", "EUR", "USD", None), lambda x: money.currency_satisfies(x, F.lit("EUR")), "coalesce(x IN ('BGN', 'EUR'), false)")
-scalar("sc_bgn_to_eur", ("195.583", "100", "0.01", None), lambda x: money.bgn_to_eur(x.try_cast("decimal(14,4)")).cast("double"), "round(x::DOUBLE / 1.95583, 2)")
-scalar("sc_sane_price", ("1", "9999999999", "10000000000", "-20000000000"), lambda x: money.sane_price(x.cast("double")), "CASE WHEN abs(x::DOUBLE) < 1e10 THEN x::DOUBLE END")
-scalar("sc_price_pct", ("100", "59.9"), lambda x: money.campaign_price(x.cast("decimal(14,4)"), F.lit(20)).cast("double"), "round(x::DOUBLE * 0.8, 2)")
-scalar("sc_regular_final", ("10/8", "8/8", "5/9"), lambda x: F.to_json(money.regular_final(F.split(x, "/")[0].cast("int"), F.split(x, "/")[1].cast("int"))), "CASE k WHEN 0 THEN '{\"price\":10,\"old\":10,\"promo\":8}' WHEN 1 THEN '{\"price\":8}' ELSE '{\"price\":5}' END")
-
-URLS = ("https://www.Shop.bg/bg/x/p/123?utm_source=a&color=red&page=2", "http://m.shop.bg:80/a/b/?ref=x#top", "shop.bg/path", None, "", "https://shop.bg/a.css", "https://shop.bg/en/item-4512/", "ftp://shop.bg/x", "https://shop.bg/sitemap_index.xml?x=1")
-scalar("sc_domain", URLS, urls.domain, "CASE k WHEN 0 THEN 'shop.bg' WHEN 1 THEN 'm.shop.bg' WHEN 3 THEN '' WHEN 4 THEN '' ELSE 'shop.bg' END")
-scalar("sc_norm_url", URLS, urls.full_url, "CASE WHEN x IS NULL THEN '' WHEN x = '' OR contains(x, '://') THEN x ELSE 'https://' || x END")
-scalar("sc_generic_product_url", URLS, urls.product_url, "CASE k WHEN 0 THEN 'https://www.shop.bg/bg/x/p/123?color=red' WHEN 1 THEN 'http://m.shop.bg:80/a/b' WHEN 6 THEN 'https://shop.bg/en/item-4512' WHEN 8 THEN 'https://shop.bg/sitemap_index.xml?x=1' END")
-scalar("sc_strip_query", ("utm_a=1&b=2", "page=3&q=x&fbclid=9", "a=&c=d", ""), urls.strip_query, "CASE k WHEN 0 THEN 'b=2' WHEN 1 THEN 'q=x' WHEN 2 THEN 'c=d' ELSE '' END")
-scalar("sc_tech_query", ("utm_a=1&page=2", "sort=x&gclid=1"), urls.strip_tracking, "CASE k WHEN 0 THEN 'page=2' ELSE 'sort=x' END")
-scalar("sc_dedupe_key", URLS[:2], urls.dedupe_key, "CASE k WHEN 0 THEN '/bg/x/p/123?color=red' ELSE '/a/b' END")
-scalar("sc_sql_path", URLS[:3], urls.sql_path, "rtrim(split_part(x, '?', 1), '/')")
-scalar("sc_match_key_bulk", URLS[:2], urls.match_key, "CASE k WHEN 0 THEN 'shop.bg/bg/x/p/123' ELSE 'm.shop.bg/a/b' END")
-scalar("sc_tech_url", URLS, urls.product_code, "CASE k WHEN 0 THEN '123' END")
-scalar("sc_locale", URLS, urls.locale_of, "CASE k WHEN 0 THEN 'bg' WHEN 6 THEN 'en' END")
-scalar("sc_sitemap_url", URLS, urls.is_sitemap, "CASE WHEN x IS NOT NULL THEN k = 8 END")
-scalar("ex_sku_from_slug", ("product-name-4512", "x-1234567/", "none"), urls.sku_of_slug, "CASE k WHEN 0 THEN 'conf-004512' WHEN 1 THEN 'conf-123456' END")
-scalar("sc_slug_display", ("gaming-laptops", "tv_audio", "a"), lambda x: F.initcap(F.regexp_replace(x, "[-_]+", " ")), "CASE k WHEN 0 THEN 'Gaming Laptops' WHEN 1 THEN 'Tv Audio' ELSE 'A' END")
+scalar("sc_tokens", "title", lambda x: _joined(codes.search_tokens(x)), "array_to_string(list_sort(list_distinct(regexp_extract_all(lower(trim(coalesce(x, ''))), '[a-z0-9а-я]{3,}'))), ',')")
+scalar("sc_type_tokens", "title", lambda x: _joined(codes.type_tokens(x)), "array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(trim(coalesce(x, ''))), '[a-zа-я]+')), lambda t: t IN ('лаптоп', 'puzzle', 'часовник', 'watch', 'крем'))), ',')")
+scalar("set_type_overlap", "title", lambda x: F.arrays_overlap(codes.type_tokens(x), F.array(F.lit("watch"), F.lit("лаптоп"))), "len(list_filter(regexp_extract_all(lower(coalesce(x, '')), '[a-zа-я]+'), lambda t: t IN ('watch', 'лаптоп'))) > 0")
+scalar("sc_size", "title", codes.size_text, "nullif(replace(replace(upper(regexp_replace(regexp_extract(x, '(\\d+(?:\\.\\d+)?\\s*(?:мл|l))', 1), '\\s', '', 'g')), 'МЛ', 'ML'), 'Л', 'L'), '')")
+scalar("sc_variant_color", "CASE WHEN n1 % 3 = 0 THEN 'цвят F' ELSE 'Color: red ' END || CAST(n1 AS STRING) || ' ' || CAST(n3 AS STRING) || ' мл'", codes.variant_color, "trim(regexp_replace(regexp_replace(x, '\\d+\\s*мл', ''), '^(цвят|Color:)\\s*', ''))")
+scalar("sc_category_name", "title || '  ' || chr(9) || code", codes.category_name, "nullif(left(trim(regexp_replace(x, '\\s+', ' ', 'g')), 512), '')")
+scalar("sc_strip_html", "'<p class=\"a\">' || title || '</p> <b>' || code || '</b>&amp;'", codes.strip_html, "trim(regexp_replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))")
+
+_T = "regexp_replace(regexp_extract(x, '(\\d[\\d\\s.,]*)', 1), '\\s+', '', 'g')"
+_W, _FR = (f"regexp_extract({_T}, '^(.*)[.,](\\d*)$', {k})" for k in (1, 2))
+_MIXED = f"(contains({_T}, ',') AND contains({_T}, '.'))"
+_DECIMAL = f"CASE WHEN {_T} = '' THEN NULL WHEN NOT regexp_matches({_T}, '[.,]') THEN {_T}::DOUBLE WHEN {_MIXED} OR length({_FR}) <> 3 THEN (regexp_replace({_W}, '[.,]', '', 'g') || '.' || {_FR})::DOUBLE ELSE regexp_replace({_T}, '[.,]', '', 'g')::DOUBLE END"
+scalar("sc_parse_decimal", "amount", lambda x: money.parse_decimal(x).cast("double"), _DECIMAL)
+_L = "regexp_replace(x, '\\s+', '', 'g')"
+scalar("sc_parse_leva", "amount", lambda x: money.parse_leva(x).cast("double"), f"CASE WHEN NOT regexp_matches({_L}, '^[\\d.,]+$') THEN NULL WHEN (contains({_L}, ',') AND contains({_L}, '.')) OR (length(regexp_replace({_L}, '[^.,]', '', 'g')) = 1 AND length(regexp_extract({_L}, '[.,](\\d*)$', 1)) BETWEEN 1 AND 2) THEN (regexp_replace(regexp_extract({_L}, '^(.*)[.,]', 1), '[.,]', '', 'g') || '.' || regexp_extract({_L}, '[.,](\\d*)$', 1))::DOUBLE ELSE regexp_replace({_L}, '[.,]', '', 'g')::DOUBLE END")
+scalar("sc_extract_leva", "'цена ' || CAST(n1 AS STRING) || ',90 лв. стара ' || CAST(n2 AS STRING) || ',50 лв.'", lambda x: F.array_join(F.transform(money.leva_amounts(x), lambda v: v.cast("decimal(14,2)").cast("string")), ";"), "array_to_string(list_transform(regexp_extract_all(x, '(\\d+,\\d+) лв', 1), lambda v: replace(v, ',', '.')), ';')")
+scalar("sc_price_candidates", "'от ' || CAST(n1 AS STRING) || ',90 лв. до ' || CAST(n2 AS STRING) || '.50 EUR или 0 лв'", lambda x: F.array_join(F.transform(money.price_candidates(x), lambda c: F.concat_ws(" ", c["amount"].cast("decimal(14,2)").cast("string"), c["currency"])), ";"), "replace(regexp_extract(x, '(\\d+,\\d+) лв', 1), ',', '.') || ' BGN;' || regexp_extract(x, '(\\d+\\.\\d+) EUR', 1) || ' EUR'")
+_SANE = "list_sort(list_distinct(list_filter(list_transform(string_split(x, ','), lambda v: v::DOUBLE), lambda v: v BETWEEN 0.01 AND 999999.99)))"
+scalar("sc_pick_prices", "CAST(n1 AS STRING) || ',' || CAST(n2 AS STRING) || ',0,' || CAST(n3 AS STRING)", lambda x: F.transform(F.array(*(money.likely_prices(F.transform(F.split(x, ","), lambda v: v.try_cast("decimal(18,4)")))[k] for k in ("price", "old", "promo"))), lambda v: F.coalesce(v.cast("decimal(18,2)").cast("string"), F.lit("-"))).cast("string"), f"'[' || format('{{:.2f}}', {_SANE}[1]) || ', ' || CASE WHEN len({_SANE}) > 1 THEN format('{{:.2f}}', {_SANE}[-1]) || ', ' || format('{{:.2f}}', {_SANE}[1]) ELSE '-, -' END || ']'")
+scalar("sc_currency", "currency", money.currency_code, "CASE replace(lower(trim(x)), '.', '') WHEN 'лв' THEN 'BGN' WHEN '€' THEN 'EUR' ELSE CASE WHEN length(replace(trim(x), '.', '')) = 3 THEN upper(replace(trim(x), '.', '')) END END")
+scalar("sc_currency_pref", "upper(trim(currency))", lambda x: money.currency_satisfies(x, F.lit("EUR")), "coalesce(x IN ('BGN', 'EUR'), false)")
+scalar("sc_bgn_to_eur", "CAST(price AS DECIMAL(14,4))", lambda x: money.bgn_to_eur(x).cast("double"), "round(x::DECIMAL(18,4) / 1.95583, 2)::DOUBLE")
+scalar("sc_normalise_eur", "CASE WHEN n1 % 2 = 0 THEN 'BGN' ELSE 'EUR' END || ' ' || CAST(n2 AS STRING)", lambda x: money.in_euro(F.split(x, " ")[1].cast("decimal(14,4)"), F.split(x, " ")[0]).cast("double"), "CASE WHEN x LIKE 'BGN %' THEN round(substr(x, 5)::DOUBLE / 1.95583, 2) ELSE substr(x, 5)::DOUBLE END")
+scalar("sc_sane_price", "price * n1 * n2 * n3", lambda x: money.sane_price(x.cast("double")), "CASE WHEN abs(x::DOUBLE) < 1e10 THEN x::DOUBLE END")
+scalar("sc_price_pct", "CAST(n2 AS DECIMAL(14,4))", lambda x: money.campaign_price(x, F.lit(20)).cast("double"), "round(x::DOUBLE * 0.8, 2)")
+scalar("sc_regular_final", "CAST(n1 AS STRING) || '/' || CAST(n3 AS STRING)", lambda x: F.to_json(money.regular_final(F.split(x, "/")[0].cast("int"), F.split(x, "/")[1].cast("int"))), "CASE WHEN split_part(x, '/', 2)::INT < split_part(x, '/', 1)::INT THEN '{\"price\":' || split_part(x, '/', 1) || ',\"old\":' || split_part(x, '/', 1) || ',\"promo\":' || split_part(x, '/', 2) || '}' ELSE '{\"price\":' || split_part(x, '/', 1) || '}' END")
+scalar("sc_promo_logic", "CAST(n1 AS STRING) || '/' || CASE WHEN n3 > 3 THEN CAST(n2 AS STRING) ELSE '' END", lambda x: money.promo_of(F.split(x, "/")[0].try_cast("int"), F.split(x, "/")[1].try_cast("int")), "CASE WHEN try_cast(split_part(x, '/', 2) AS INT) > split_part(x, '/', 1)::INT THEN split_part(x, '/', 1)::INT END")
+scalar("sc_variant_price", "CAST(n3 AS STRING) || '/' || CAST(n1 AS STRING)", lambda x: F.to_json(money.variant_price(F.split(x, "/")[0].cast("int"), F.split(x, "/")[1].cast("int"))), "CASE WHEN split_part(x, '/', 1)::INT < split_part(x, '/', 2)::INT THEN '{\"price\":' || split_part(x, '/', 2) || ',\"old\":' || split_part(x, '/', 2) || ',\"promo\":' || split_part(x, '/', 1) || '}' ELSE '{\"price\":' || split_part(x, '/', 1) || '}' END")
+
+_REST = "regexp_replace(trim(coalesce(x, '')), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '')"
+_HOST = f"regexp_replace(lower(regexp_replace(regexp_extract({_REST}, '^([^/?#]*)', 1), ':\\d*$', '')), '^www\\.', '')"
+_PATH = "regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_QUERY = "regexp_extract(x, '\\?([^#]*)', 1)"
+
+
+def _kept(query: str, names: str) -> str:
+    return f"array_to_string(list_filter(string_split({query}, '&'), lambda p: regexp_matches(p, '=.') AND NOT regexp_matches(lower(p), '^(utm_|mc_|({names})=)')), '&')"
+
+
+_TRACKING = "fbclid|gclid|ref|source|campaign|affiliate"
+_STATE = _TRACKING + "|page|p|per_page|limit|offset|start|sort|sort_by|sortby|orderby|order|dir|view"
+_SHORT = f"rtrim({_PATH}, '/')"
+_KEPT = _kept(_QUERY, _STATE)
+_DEDUPE = f"{_SHORT} || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
+scalar("sc_domain", "url", urls.domain, _HOST)
+scalar("sc_norm_url", "url", urls.full_url, "CASE WHEN x IS NULL THEN '' WHEN x = '' OR contains(x, '://') THEN x ELSE 'https://' || x END")
+scalar("sc_generic_product_url", "url", urls.product_url, f"CASE WHEN regexp_matches(x, '^https?://[^/?#]') AND NOT regexp_matches({_SHORT}, '(?i)\\.css$') THEN lower(regexp_extract(x, '^(https?://[^/?#]*)', 1)) || {_DEDUPE} END")
+scalar("sc_strip_query", "substring(url, instr(url, '?') + 1)", urls.strip_query, _kept("x", _STATE))
+scalar("sc_tech_query", "substring(url, instr(url, '?') + 1)", urls.strip_tracking, _kept("x", _TRACKING))
+scalar("sc_dedupe_key", "url", urls.dedupe_key, _DEDUPE)
+scalar("sc_sql_path", "url", urls.sql_path, "rtrim(split_part(x, '?', 1), '/')")
+scalar("sc_match_key_bulk", "url", urls.match_key, f"CASE WHEN x IS NOT NULL THEN {_HOST} || {_SHORT} END")
+scalar("sc_tech_url", "url", urls.product_code, "nullif(regexp_extract(x, '/p/(\\d+)', 1), '')")
+scalar("sc_locale", "url", urls.locale_of, f"nullif(regexp_extract({_PATH}, '^/(bg|en)(?:/|$)', 1), '')")
+scalar("sc_sitemap_url", "url", urls.is_sitemap, f"regexp_matches(lower({_PATH}), '\\.xml(\\.gz)?$') OR contains(lower({_PATH}), 'sitemap')")
+scalar("sc_is_product_url", "url", urls.is_product_url, f"coalesce(regexp_matches(x, '^https?://') AND NOT regexp_matches(lower({_PATH}), '/(cart|checkout|login|account|search|blog|sitemap[^/]*|[^/]*\\.(css|js|png|jpg|xml))(/|$)') AND (regexp_matches({_PATH}, '/p/\\d+') OR regexp_matches({_PATH}, '[^/]*[a-z][^/]*-\\d+/?$')), false)")
+scalar("sc_is_listing_url", "url", urls.is_listing_url, f"coalesce(regexp_matches(x, '^https?://') AND NOT regexp_matches({_PATH}, '/p/\\d+') AND (regexp_matches(lower({_PATH}), '/(c|category|categories|catalog|collections|shop)(/|$)') OR len(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')) <= 2), false)")
+scalar("sc_category_candidate", "url", urls.is_category_candidate, f"coalesce(regexp_matches({_PATH}, '^/bg/') AND NOT regexp_matches(lower({_PATH}), '/(p|cart|login|search|blog|help)(/|$)') AND len(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')) BETWEEN 2 AND 4, false)")
+scalar("sc_search_redirect", "'https://find.example/l/?a=1&uddg=https%3A%2F%2Fshop.bg%2Fp%2F' || CAST(n2 AS STRING) || '&rut=3'", urls.redirect_target, "'https://shop.bg/p/' || regexp_extract(x, 'Fp%2F(\\d+)', 1)")
+scalar("sc_term_match", "url", lambda x: urls.has_term(x, F.lit("red laptops of")), "coalesce(contains(lower(x), 'red') OR contains(lower(x), 'laptops'), false)")
+scalar("sc_pagination_urls", "'https://shop.bg/c/' || CAST(n1 AS STRING)", lambda x: F.array_join(urls.page_urls(x, 2), " "), "x || '?page=2 ' || x || '?p=2 ' || x || '/page/2 ' || x || '/page/2/'")
+scalar("ex_sku_from_slug", "'name-' || CAST(n2 AS STRING)", urls.sku_of_slug, "'conf-' || lpad(regexp_extract(x, '(\\d+)$', 1), 6, '0')")
+scalar("sc_slug_display", "'gaming-part_' || CAST(n2 AS STRING)", urls.slug_display, "'Gaming Part ' || regexp_extract(x, '(\\d+)$', 1)")
 
 # Classifications ---------------------------------------------------------------
 
-ERRORS = ("price_missing", "got status_404 here", "Too Many Requests", "http_parse broke", "http_blocked", "Timeout 30000ms", "connection reset", "playwright crashed", "odd", None)
-
-
-def error_class(message) -> F.Column:
-    """The stable code of a failure message; the first rule that fits decides."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    rules = (("price_missing", "price_not_found"), ("status_404| 404|not found", "product_not_found"), ("status_429|too many requests|rate_limited", "rate_limited"), ("http_parse", "http_parse_failed"), ("http_blocked", "http_blocked"), ("timeout", "playwright_timeout"), ("connection|network", "network_error"), ("playwright", "playwright_timeout"))
-    out = F.lit("unknown")
-    for pattern, code in reversed(rules):
-        out = F.when(m.rlike(pattern), F.lit(code)).otherwise(out)
-    return out
-
-
-scalar("ex_error_class", ERRORS, error_class, "CASE k WHEN 0 THEN 'price_not_found' WHEN 1 THEN 'product_not_found' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'http_parse_failed' WHEN 4 THEN 'http_blocked' WHEN 5 THEN 'playwright_timeout' WHEN 6 THEN 'network_error' WHEN 7 THEN 'playwright_timeout' ELSE 'unknown' END")
-
-
-def block_reason(errors) -> F.Column:
-    """Why public discovery was refused: a challenge before 403, that before 429, that before 401."""
-    has = lambda t: errors.contains(t)
-    return F.when(has("blocked_challenge:"), "challenge_or_captcha").when(has("status_403:"), "http_403_forbidden").when(has("status_429:"), "rate_limited").when(has("status_401:"), "access_denied")
-
-
-scalar("ex_block_reason", ("status_403: x;blocked_challenge: y", "status_429: a;status_403: b", "status_401: z", "status_500: q", None), block_reason, "CASE k WHEN 0 THEN 'challenge_or_captcha' WHEN 1 THEN 'http_403_forbidden' WHEN 2 THEN 'access_denied' END")
-scalar("ex_availability", ("In stock now", "out of stock", "preorder", "няма наличност", "???"), lambda x: F.when(x.rlike("(?iu)in stock|available|наличност"), "in_stock").when(x.rlike("(?iu)out of stock|изчерпан"), "out_of_stock").when(x.rlike("(?iu)pre-?order"), "preorder"), "CASE k WHEN 0 THEN 'in_stock' WHEN 1 THEN 'out_of_stock' WHEN 2 THEN 'preorder' WHEN 3 THEN 'in_stock' END")
-scalar("ex_blocked_page", ("403|ok", "200|Checking your browser captcha", "503|", "200|fine"), lambda x: F.split(x, "\\|")[0].isin("401", "403", "429") | (F.split(x, "\\|")[0].cast("int") >= 500) | F.lower(F.left(F.split(x, "\\|")[1], F.lit(5000))).contains("captcha"), "k <> 3")
-scalar("ex_product_code", ("SKU: AB-123 x", "Код на продукта 998877", "none"), lambda x: F.nullif(F.coalesce(F.nullif(F.regexp_extract(x, r"(?iu)\bsku\s*[:#]?\s*([\w-]+)", 1), F.lit("")), F.regexp_extract(x, r"(?iu)код[^\d]*([\w-]*\d[\w-]*)", 1)), F.lit("")), "CASE k WHEN 0 THEN 'AB-123' WHEN 1 THEN '998877' END")
-scalar("ex_layer", ("bulk", None, ""), lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("playwright")), "coalesce(nullif(x, ''), 'playwright')")
-scalar("js_stock", ("inStock", "outOfStock", "lowStock", "Weird"), lambda x: F.when(x == "inStock", "in_stock").when(x == "outOfStock", "out_of_stock").when(x == "lowStock", "low_stock").otherwise(F.lower(x)), "CASE k WHEN 0 THEN 'in_stock' WHEN 1 THEN 'out_of_stock' WHEN 2 THEN 'low_stock' ELSE 'weird' END")
-scalar("js_spec_lookup", ('{"size":"","attributes":{"size":"XL"}}', '{"size":"M"}', "{}", None), lambda x: F.coalesce(F.nullif(F.get_json_object(x, "$.size"), F.lit("")), F.nullif(F.get_json_object(x, "$.attributes.size"), F.lit(""))), "coalesce(nullif(x::JSON->>'$.size', ''), nullif(x::JSON->>'$.attributes.size', ''))")
-scalar("js_pick_image", ('[{"format":"thumb","url":"a"},{"format":"product","url":"b"}]', '[{"imageType":"PRIMARY","url":"c"}]', "[]"), lambda x: _image(x), "CASE k WHEN 0 THEN 'b' WHEN 1 THEN 'c' END")
-scalar("js_occ_breadcrumb", ('[{"name":"A","url":"/c/1"},{"name":"B","url":"/x/p/5"}]', "[]"), lambda x: F.array_join(F.transform(F.filter(F.from_json(x, "array<struct<name:string,url:string>>"), lambda e: ~F.coalesce(e["url"].contains("/p/"), F.lit(False))), lambda e: e["name"]), ">"), "CASE k WHEN 0 THEN 'A' ELSE '' END")
-scalar("js_classifications", ('[{"name":"G","features":[{"name":"F","featureValues":[{"value":"1"},{"value":"2"}]}]}]', "[]"), lambda x: _classified(x), "CASE k WHEN 0 THEN 'G: F=1, 2' ELSE '' END")
-scalar("js_flat_attrs", ('[{"code":"a","value":"1"},{"code":"b","value":null}]', "[]"), lambda x: F.array_join(F.transform(F.filter(F.from_json(x, "array<struct<code:string,value:string>>"), lambda e: e["value"].isNotNull()), lambda e: F.concat(e["code"], F.lit("="), e["value"])), ";"), "CASE k WHEN 0 THEN 'a=1' ELSE '' END")
-scalar("js_merge_raw", ("a=1;b=2|b=3;c=4",), lambda x: F.array_join(F.array_sort(F.transform(F.map_entries(_merged(F.str_to_map(F.split(x, "\\|")[0], F.lit(";"), F.lit("=")), F.str_to_map(F.split(x, "\\|")[1], F.lit(";"), F.lit("=")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"), "'a=1;b=3;c=4'")
-
-
-def _merged(left, right) -> F.Column:
-    """Union of two maps; the right one wins."""
-    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
-
-
-def _image(x) -> F.Column:
-    images = F.from_json(x, "array<struct<format:string,imageType:string,url:string>>")
-    of = lambda test: F.get(F.filter(images, test), F.lit(0))["url"]
-    return F.coalesce(of(lambda i: i["format"] == "product"), of(lambda i: i["format"] == "zoom"), of(lambda i: i["imageType"] == "PRIMARY"))
-
-
-def _classified(x) -> F.Column:
-    groups = F.from_json(x, "array<struct<name:string,features:array<struct<name:string,featureValues:array<struct<value:string>>>>>>")
-    pairs = F.flatten(F.transform(groups, lambda g: F.transform(g["features"], lambda f: F.concat(g["name"], F.lit(": "), f["name"], F.lit("="), F.array_join(F.transform(f["featureValues"], lambda v: v["value"]), ", ")))))
-    return F.array_join(pairs, ";")
+_M = "lower(coalesce(x, ''))"
+scalar("ex_error_class", "message", fields.error_class, f"CASE WHEN contains({_M}, 'price_missing') THEN 'price_not_found' WHEN regexp_matches({_M}, 'status_404| 404|not found') THEN 'product_not_found' WHEN regexp_matches({_M}, 'status_429|too many requests|rate_limited') THEN 'rate_limited' WHEN contains({_M}, 'http_parse') THEN 'http_parse_failed' WHEN contains({_M}, 'http_blocked') THEN 'http_blocked' WHEN contains({_M}, 'timeout') THEN 'playwright_timeout' WHEN regexp_matches({_M}, 'connection|network') THEN 'network_error' WHEN contains({_M}, 'playwright') THEN 'playwright_timeout' ELSE 'unknown' END")
+scalar("ex_block_reason", "message", fields.block_reason, "CASE WHEN contains(x, 'blocked_challenge:') THEN 'challenge_or_captcha' WHEN contains(x, 'status_403:') THEN 'http_403_forbidden' WHEN contains(x, 'status_429:') THEN 'rate_limited' WHEN contains(x, 'status_401:') THEN 'access_denied' END")
+scalar("ex_availability", "stock_text", fields.availability, "CASE WHEN regexp_matches(lower(x), 'in stock|available|наличност') THEN 'in_stock' WHEN regexp_matches(lower(x), 'out of stock|изчерпан') THEN 'out_of_stock' WHEN regexp_matches(lower(x), 'pre-?order') THEN 'preorder' END")
+scalar("ex_blocked_page", "CAST(200 + n1 * 50 % 350 AS STRING) || '|' || CASE WHEN n3 = 2 THEN 'Checking CAPTCHA' ELSE 'fine' END", lambda x: fields.blocked_page(F.split(x, r"\|")[0].cast("int"), F.split(x, r"\|")[1]), "split_part(x, '|', 1)::INT IN (401, 403, 429) OR split_part(x, '|', 1)::INT >= 500 OR contains(lower(x), 'captcha')")
+scalar("ex_needs_fallback", "CASE WHEN n3 = 1 THEN 'failed' ELSE 'ok' END || '|' || CASE WHEN n1 % 4 = 0 THEN '' ELSE CAST(n2 AS STRING) END || '|' || CAST(n3 = 3 AS STRING)", lambda x: fields.needs_fallback(F.split(x, r"\|")[0] == "failed", F.nullif(F.split(x, r"\|")[1], F.lit("")), F.split(x, r"\|")[2] == "true"), "x LIKE 'failed%' OR contains(x, '||') OR x LIKE '%true'")
+scalar("ex_product_code", "CASE WHEN n3 = 1 THEN 'SKU: AB-' || CAST(n2 AS STRING) || ' x' WHEN n3 = 2 THEN 'Код на продукта ' || CAST(n2 AS STRING) ELSE 'none' END", fields.product_code, "CASE WHEN x LIKE 'SKU%' THEN regexp_extract(x, 'SKU: (\\S+)', 1) WHEN x LIKE 'Код%' THEN regexp_extract(x, '(\\d+)', 1) END")
+scalar("ex_layer", "CASE WHEN n3 < 3 THEN '' WHEN n3 = 4 THEN 'bulk' END", fields.layer, "coalesce(nullif(x, ''), 'playwright')")
+scalar("js_stock", "stock_code", fields.stock_code, "CASE x WHEN 'inStock' THEN 'in_stock' WHEN 'outOfStock' THEN 'out_of_stock' WHEN 'lowStock' THEN 'low_stock' ELSE lower(x) END")
+scalar("js_spec_lookup", "'{\"size\":\"' || CASE WHEN n3 < 4 THEN '' ELSE 'M' || CAST(n1 AS STRING) END || '\",\"attributes\":{\"size\":\"XL' || CAST(n2 AS STRING) || '\"}}'", lambda x: fields.spec(x, "size"), "coalesce(nullif(x::JSON->>'$.size', ''), nullif(x::JSON->>'$.attributes.size', ''))")
+scalar("js_pick_image", "'[{\"format\":\"' || CASE WHEN n3 < 3 THEN 'product' ELSE 'thumb' END || '\",\"url\":\"a' || CAST(n1 AS STRING) || '\"},{\"format\":\"zoom\",\"url\":\"b\"}]'", fields.image, "CASE WHEN contains(x, 'product') THEN x::JSON->>'$[0].url' ELSE 'b' END")
+scalar("js_occ_breadcrumb", "'[{\"name\":\"A' || CAST(n1 AS STRING) || '\",\"url\":\"/c/1\"},{\"name\":\"B\",\"url\":\"/x/p/5\"}]'", lambda x: F.array_join(fields.breadcrumb(x), ">"), "x::JSON->>'$[0].name'")
+scalar("js_breadcrumb", "'[\"Home\", {\"name\":\"A' || CAST(n1 AS STRING) || '\"}, \"\", {\"title\":\"T\"}, 5]'", lambda x: F.array_join(fields.crumb_names(x), ">"), "'Home>' || (x::JSON->>'$[1].name') || '>T'")
+scalar("js_parse_candidates", "'[{\"product_id\":\"' || CAST(n1 AS STRING) || '\",\"match_score\":\"90\"},5,{\"sku\":\"x\"}]'", lambda x: F.array_join(F.transform(fields.candidates(x), lambda c: F.concat_ws(":", c["product_id"], c["match_score"])), ";"), "(x::JSON->>'$[0].product_id') || ':90'")
+scalar("js_classifications", "'[{\"name\":\"G\",\"features\":[{\"name\":\"F\",\"featureValues\":[{\"value\":\"' || CAST(n1 AS STRING) || '\"},{\"value\":\"2\"}]}]}]'", fields.classifications, "'G: F=' || (x::JSON->>'$[0].features[0].featureValues[0].value') || ', 2'")
+scalar("js_flat_attrs", "'[{\"code\":\"a\",\"value\":\"' || CAST(n1 AS STRING) || '\"},{\"code\":\"b\",\"value\":null}]'", fields.flat_attributes, "'a=' || (x::JSON->>'$[0].value')")
+scalar("js_merge_raw", "'a=' || CAST(n1 AS STRING) || ';b=2|b=' || CAST(n3 AS STRING) || ';c=4'", lambda x: F.array_join(F.array_sort(F.transform(F.map_entries(fields.merged(F.str_to_map(F.split(x, r"\|")[0], F.lit(";"), F.lit("=")), F.str_to_map(F.split(x, r"\|")[1], F.lit(";"), F.lit("=")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"), "split_part(x, ';', 1) || ';' || split_part(x, '|', 2)")
+scalar("sc_spec_label", "CASE n3 WHEN 1 THEN 'Цвят:' WHEN 2 THEN 'RAM памет' WHEN 3 THEN 'Storage' WHEN 4 THEN 'Марка' WHEN 5 THEN 'Model' ELSE 'друго' END", fields.spec_label, "CASE x WHEN 'Цвят:' THEN 'color' WHEN 'RAM памет' THEN 'memory' WHEN 'Storage' THEN 'storage' WHEN 'Марка' THEN 'brand' WHEN 'Model' THEN 'model' END")
+scalar("sc_code_priority", "'mpn=' || CASE WHEN n3 = 1 THEN '' ELSE 'M' || CAST(n1 AS STRING) END || ';code=C' || CAST(n2 AS STRING) || ';sku=M' || CAST(n1 AS STRING)", lambda x: F.array_join(fields.codes_by_priority(F.str_to_map(x, F.lit(";"), F.lit("=")), ("mpn", "code", "sku")), ","), "CASE WHEN x LIKE 'mpn=;%' THEN regexp_extract(x, 'code=([^;]*)', 1) || ',' || regexp_extract(x, 'sku=(.*)$', 1) ELSE regexp_extract(x, 'mpn=([^;]*)', 1) || ',' || regexp_extract(x, 'code=([^;]*)', 1) END")
+scalar("sc_join_path", "CAST(n1 AS STRING) || ';' || CAST(n2 AS STRING)", lambda x: F.concat_ws(" | ", fields.path_text(F.split(x, ";")), fields.attributes_text(F.create_map(F.lit("a"), x))), "replace(x, ';', ' > ') || ' | a: ' || x")
 
 
 # On tables ---------------------------------------------------------------------

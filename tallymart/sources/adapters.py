@@ -6,6 +6,8 @@ a query and its oracle start from the same rows. ``{name}`` stands for a table.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +55,8 @@ SELECT listing_id AS id, site_id AS competitor_id, CASE WHEN part_id % 31 = 0 TH
        CASE WHEN part_id % 10 = 0 THEN 'http_blocked' WHEN part_id % 10 = 1 THEN 'price_not_found' ELSE NULL END AS latest_scrape_error_code,
        captured_at AS last_seen_at, CASE WHEN site_id % 3 = 0 THEN NULL WHEN site_id % 3 = 1 THEN 'sitemap' ELSE 'feed' END AS discovery_source,
        part_id % 17 = 0 AS is_dead, part_id, first_at AS created_at
-FROM (SELECT s.*, row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC, order_id DESC, line_no DESC, tie DESC) AS rn,
-             min(captured_at) OVER (PARTITION BY listing_id) AS first_at FROM {price_snapshots} s) x
+FROM (SELECT s.*, row_number() OVER (PARTITION BY part_id, site_id ORDER BY captured_at DESC, order_id DESC, line_no DESC, tie DESC) AS rn,
+             min(captured_at) OVER (PARTITION BY part_id, site_id) AS first_at FROM {price_snapshots} s) x
 WHERE rn = 1""",
     "offers": """
 SELECT l.id, p.name || ' ' || p.category AS title, CASE WHEN l.part_id % 9 = 0 THEN NULL ELSE p.brand END AS brand,
@@ -83,6 +85,41 @@ SELECT event_id, user_id AS listing_id, ts AS captured_at,
        ELSE NULL END AS error_code,
        CAST(floor(value * 100) / 100.0E0 AS DECIMAL(14,4)) AS price, event_type AS layer
 FROM {events}""",
+    "import_batches": """
+SELECT CAST(p_size AS BIGINT) AS id, 'catalog-' || CAST(p_size AS STRING) || '.xlsx' AS filename, CAST('1998-01-01 00:00:00' AS TIMESTAMP) AS created_at
+FROM {part} GROUP BY p_size""",
+    "cells": """
+SELECT l_orderkey * 10 + l_linenumber AS k,
+  CASE (l_partkey + l_linenumber) % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '59' || lpad(CAST(l_partkey * 7919 AS STRING), 11, '0') WHEN 3 THEN ' MQ-' || CAST(l_partkey AS STRING) || '/K.a_b ' WHEN 4 THEN 'n/a' WHEN 5 THEN CAST(l_partkey AS STRING) || '.0'
+    WHEN 6 THEN ' - ' WHEN 7 THEN 'Цвят ' || CAST(l_suppkey AS STRING) || ' GB' WHEN 8 THEN CAST(l_suppkey AS STRING) || 'gb DDR4 ' || CAST(l_linenumber AS STRING) || 'TB' WHEN 9 THEN CAST(l_suppkey AS STRING) || ' GB RAM' ELSE 'AB ' || l_shipmode_like END AS code,
+  CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Лаптоп Dell ' || CAST(l_suppkey AS STRING) || ' черен' WHEN 2 THEN 'Puzzle ' || CAST(l_partkey AS STRING) || ' части' WHEN 3 THEN 'часовник WATCH' WHEN 4 THEN 'крем ' || CAST(l_suppkey AS STRING) || ' мл' WHEN 5 THEN 'perfume ' || CAST(l_suppkey AS STRING) || '.5 l x' ELSE 'box of ' || CAST(l_partkey AS STRING) END AS title,
+  CASE l_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN CAST(l_suppkey AS STRING) || ' 299,50 лв' WHEN 2 THEN CAST(l_suppkey AS STRING) || '.299,50' WHEN 3 THEN CAST(l_suppkey AS STRING) || ',299.50' WHEN 4 THEN CAST(l_suppkey AS STRING) || '.299' WHEN 5 THEN CAST(l_suppkey AS STRING) || ',9300' WHEN 6 THEN 'abc' ELSE CAST(l_partkey AS STRING) || ',5' END AS amount,
+  CASE l_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'лв.' WHEN 2 THEN 'лв' WHEN 3 THEN '€' WHEN 4 THEN 'EUR' WHEN 5 THEN ' usd ' WHEN 6 THEN 'chf' WHEN 7 THEN 'kron' ELSE '' END AS currency,
+  CASE l_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'https://www.Shop' || CAST(l_suppkey AS STRING) || '.bg/bg/x/p/' || CAST(l_partkey AS STRING) || '?utm_source=a&color=red&page=2' WHEN 2 THEN 'http://m.shop.bg:80/a/' || CAST(l_partkey AS STRING) || '/?ref=x#top' WHEN 3 THEN 'shop.bg/path' || CAST(l_suppkey AS STRING) WHEN 4 THEN ''
+    WHEN 5 THEN 'https://shop.bg/' || CAST(l_partkey AS STRING) || '.css' WHEN 6 THEN 'https://shop.bg/en/item-' || CAST(l_partkey AS STRING) || '/' WHEN 7 THEN 'ftp://shop.bg/x' WHEN 8 THEN 'https://shop.bg/sitemap_index.xml?x=' || CAST(l_suppkey AS STRING) ELSE 'https://shop.bg/bg/laptops/item-' || CAST(l_partkey AS STRING) || '?p=3&q=' || CAST(l_suppkey AS STRING) || '&fbclid=9&v=' END AS url,
+  CASE l_partkey % 11 WHEN 0 THEN 'price_missing' WHEN 1 THEN 'got status_404 at ' || CAST(l_suppkey AS STRING) WHEN 2 THEN 'Too Many Requests' WHEN 3 THEN 'http_parse broke' WHEN 4 THEN 'http_blocked' WHEN 5 THEN 'Timeout 30000ms' WHEN 6 THEN 'connection reset' WHEN 7 THEN 'playwright crashed' WHEN 8 THEN NULL WHEN 9 THEN 'status_403: x;blocked_challenge: y' ELSE 'status_429: a;status_401: b' END AS message,
+  CASE l_suppkey % 6 WHEN 0 THEN 'In stock now' WHEN 1 THEN 'out of stock' WHEN 2 THEN 'preorder' WHEN 3 THEN 'няма наличност' WHEN 4 THEN '???' ELSE NULL END AS stock_text,
+  CASE l_suppkey % 5 WHEN 0 THEN 'inStock' WHEN 1 THEN 'outOfStock' WHEN 2 THEN 'lowStock' WHEN 3 THEN 'Weird' ELSE NULL END AS stock_code,
+  l_suppkey AS n1, l_partkey AS n2, l_linenumber AS n3, l_quantity AS q, l_extendedprice AS price, l_shipdate AS at
+FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'x-Y' ELSE 'Z_9' END AS l_shipmode_like FROM {lineitem}) s""",
+    "shop_pages": """
+SELECT p_partkey AS id, 'https://shop.example/bg/p/' || CAST(p_partkey AS STRING) AS url,
+  '<html><head><title>' || p_name || ' | Shop</title>' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<meta property="og:title" content="' || p_name || '">' END
+  || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '<script type="application/ld+json">{{"@type":"Product","name":"' || p_name || '","mpn":"M' || CAST(p_partkey AS STRING) || '","brand":{{"name":"' || p_brand || '"}},"offers":{{"price":"' || CAST(p_partkey AS STRING) || '.50","priceCurrency":"bgn","availability":"https://schema.org/InStock"}}}}</script>' END
+  || '</head><body><nav class="breadcrumb"><a href="/">Home</a><a href="/c/1">' || p_type || '</a><a href="#">' || p_name || '</a></nav><h1>' || p_name || '</h1><div class="related"><span class="price">1,00 лв.</span></div>'
+  || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '<div class="product-price"><span class="price">' || CAST(p_partkey AS STRING) || ',90 лв.</span><span class="old-price">' || CAST(p_partkey + 10 AS STRING) || ',00 лв.</span></div>' END
+  || '<table><tr><th>Цвят:</th><td>red ' || CAST(p_size AS STRING) || '</td></tr><tr><th>Марка</th><td>' || p_brand || '</td></tr><tr><th>друго</th><td>z</td></tr></table><img src="/i/' || CAST(p_partkey AS STRING) || '.jpg"><a href="/bg/p/' || CAST(p_partkey + 1 AS STRING) || '?utm_source=q">next item</a><a rel="next" href="/c/1?page=2">2</a>Sold by: Shop ' || CAST(p_size AS STRING) || '<br>EAN: 5901234123457'
+  || CASE WHEN p_partkey % 6 = 0 THEN '<script>gtag("event","view_item",{{items:[{{"price": "' || CAST(p_partkey AS STRING) || '.10","currency":"EUR"}}]}})</script>' ELSE '' END || '</body></html>' AS html
+FROM {part}""",
+    "feed_items": """
+SELECT p_partkey AS id, '{{"sku":"P' || CAST(p_partkey % 500 AS STRING) || '","name":"' || p_brand || ' cream","url_key":"u' || CAST(p_partkey AS STRING) || '","price":' || CASE WHEN p_partkey % 7 = 0 THEN 'null' ELSE CAST(p_size AS STRING) END || ',"barcodes":"' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ', 2"' ELSE '"' END
+  || CASE WHEN p_partkey % 3 = 0 THEN ',"variants":[{{"sku":"a' || CAST(p_partkey AS STRING) || '","price":1}},{{"sku":"b' || CAST(p_partkey AS STRING) || '","price":2}}]}}' ELSE '}}' END AS item
+FROM {part}""",
+    "sitemaps": """
+SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> http://a/' || CAST(p_partkey AS STRING) || ' </loc></url><url><loc>http://a/2</loc></url></urlset>'
+  WHEN 1 THEN '<sitemapindex><sitemap><loc>/s' || CAST(p_partkey AS STRING) || '.xml</loc></sitemap></sitemapindex>' WHEN 2 THEN 'http://a/p' || CAST(p_partkey AS STRING) || chr(10) || '# note' || chr(10) || 'http://a/q'
+  WHEN 3 THEN '<rss><channel><item><link>http://a/r' || CAST(p_partkey AS STRING) || '</link></item></channel></rss>' ELSE NULL END AS body
+FROM {part}""",
     "import_rows": """
 SELECT CAST(c_custkey % 7 AS INT) AS batch_id, c_custkey AS row_no,
        CASE WHEN c_custkey % 9 = 0 THEN '-' WHEN c_custkey % 10 = 0 THEN NULL ELSE ' 59' || lpad(CAST(c_custkey * 31 AS STRING), 11, '0') || ' ' END AS ean,
@@ -94,11 +131,37 @@ FROM {customer}""",
 }
 
 
+#: Derived tables that are written once for a data folder, as they stand on windows or joins; queries then read them like any table.
+WRITTEN = ("listings", "matches", "offers")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or a temporary one where a local session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tallymart-domain-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/tallymart-domain/{uuid.uuid4().hex[:12]}"
+
+
+_domains: dict[tuple[str, str], Domain] = {}
+
+
+def domain(spark: SparkSession, sf_dir: str) -> Domain:
+    """The domain of a data folder, one for each application, so that its written tables are shared by all queries."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _domains or _domains[key].spark is not spark:
+        _domains[key] = Domain(spark, sf_dir, write=True)
+    return _domains[key]
+
+
 class Domain:
-    """Domain tables of one data folder, made on first use."""
+    """Domain tables of one data folder, made on first use; ``write``: those of ``WRITTEN`` as Parquet in the shared folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, write: bool = False) -> None:
+        self.spark, self.sf_dir, self.write = spark, sf_dir, write
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -110,7 +173,12 @@ class Domain:
             elif name in DERIVED:
                 text = DERIVED[name]
                 needed = {t: getattr(self, t) for t in (*BASE, *DERIVED) if "{" + t + "}" in text}
-                self._made[name] = self.spark.sql(text, **needed)
+                found = self.spark.sql(text, **needed)
+                if self.write and name in WRITTEN:
+                    path = f"{scratch(self.spark)}/{name}"
+                    found.write.parquet(path)
+                    found = self.spark.read.schema(found.schema).parquet(path)
+                self._made[name] = found
             else:
                 raise AttributeError(name)
         return self._made[name]
@@ -130,13 +198,16 @@ def oracle(text: str) -> str:
     names = {t: t for t in (*BASE, *DERIVED)}
     needed: list[str] = []
 
-    def need(sql: str) -> None:
-        for t in DERIVED:
-            if _names(sql, t) and t not in needed:
-                need(DERIVED[t])
-                needed.append(t)
+    def need(t: str) -> None:
+        if t not in needed:
+            for other in DERIVED:
+                if "{" + other + "}" in DERIVED[t]:
+                    need(other)
+            needed.append(t)
 
-    need(text)
+    for t in DERIVED:
+        if _names(text, t):
+            need(t)
     parts = [f"{t} AS ({DERIVED[t].format(**names)})" for t in DERIVED if t in needed]
     if not parts:
         return text
