@@ -134,3 +134,9 @@ def memory_size(x: Column) -> Column:
     """The number before ``gb ram``, else that before ``gb ddr``."""
     low = F.lower(x)
     return F.coalesce(F.nullif(F.regexp_extract(low, r"(\d+)\s*gb\s*ram", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"(\d+)\s*gb\s*ddr", 1), F.lit("")))
+
+
+def color_of(specs: Column, blob: Column) -> Column:
+    """The colour among the specifications (keys in lower case), else after its label in the text."""
+    named = F.coalesce(*(F.nullif(norm(F.try_element_at(specs, F.lit(k))), F.lit("")) for k in ("color", "colour", "цвят")))
+    return F.coalesce(named, F.nullif(F.regexp_extract(F.lower(blob), r"(?:colou?r|цвят)\s*:?\s*([a-zа-я]+)", 1), F.lit("")))

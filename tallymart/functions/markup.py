@@ -158,3 +158,23 @@ def observation_of_entry(entry: Column, title: Column) -> Column:
     brand = F.nullif(F.split_part(F.trim(title), F.lit(" "), F.lit(1)), F.lit(""))
     status = F.when(entry["price"].isNull(), "failed").otherwise("success")
     return F.struct(entry["sku"].alias("sku"), entry["url"].alias("url"), entry["price"].alias("price"), brand.alias("brand"), status.alias("status"))
+
+
+def json_urls(item: Column) -> Column:
+    """The values of URL, URL key and handle fields anywhere in a JSON text, each once."""
+    return F.array_distinct(F.regexp_extract_all(item, F.lit(r'"(?:url_key|url|handle|canonical_url|href)"\s*:\s*"([^"]+)"'), F.lit(1)))
+
+
+def own_variant(variants: Column, own: Column, price: Column) -> Column:
+    """The variant (sku, price) that a page shows: by its own id, else by an equal price, else the cheapest."""
+    first = lambda a: F.get(a, F.lit(0))
+    cheapest = F.get(F.array_sort(F.transform(variants, lambda v: F.struct(v["price"].alias("price"), v["sku"].alias("sku")))), F.lit(0))
+    return F.coalesce(first(F.filter(variants, lambda v: v["sku"] == own)), first(F.filter(variants, lambda v: v["price"] == price)), F.struct(cheapest["sku"].alias("sku"), cheapest["price"].alias("price")))
+
+
+def site_price(html: Column) -> Column:
+    """(price, old) in leva: the price class, else the least amount in the text; the greatest struck-through amount is the old one if it is above."""
+    own = selector_prices(html)["price"]
+    struck = F.array_max(F.transform(F.regexp_extract_all(html, F.lit(r'(?is)(?:<(?:del|s|strike)\b[^>]*>|class="old-price">)([^<]*)<'), F.lit(1)), parse_decimal))
+    price = own
+    return F.struct(price.alias("price"), F.when(struck > price, struck).alias("old"))

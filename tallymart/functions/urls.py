@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -147,3 +147,13 @@ def page_urls(x: Column, page: int) -> Column:
 def slug_display(x: Column) -> Column:
     """A slug as words with capitals."""
     return F.initcap(F.regexp_replace(x, "[-_]+", " "))
+
+
+def feed_url(canonical: Column, key: Column, base: Column) -> Column:
+    """The canonical URL of a feed item, else its key below the shop's base."""
+    return F.coalesce(F.nullif(canonical, F.lit("")), F.concat(F.regexp_replace(base, "/+$", "/"), key))
+
+
+def found(rows: DataFrame) -> DataFrame:
+    """Distinct URLs that look like products of their site."""
+    return rows.where(is_product_url(F.col("url"))).select("url").distinct()

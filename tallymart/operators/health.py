@@ -41,3 +41,16 @@ def streaks(outcomes: DataFrame) -> DataFrame:
     runs = outcomes.withColumn("a", F.row_number().over(w)).withColumn("b", F.row_number().over(W.partitionBy("listing_id", "outcome").orderBy(*order)))
     runs = runs.where("outcome = 'failed'").groupBy("listing_id", (F.col("a") - F.col("b")).alias("run")).agg(F.count("*").alias("n"))
     return runs.groupBy("listing_id").agg(F.max("n").alias("longest"))
+
+
+def breaker(outcomes: DataFrame, codes: tuple[str, ...], most: int = 15) -> DataFrame:
+    """(listing_id, event_id) of the first event at which ``most`` outcomes in a row had one of the codes: there a run stops."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("listing_id").orderBy("captured_at", "event_id")
+    bad = F.coalesce(F.col("error_code").isin(*codes), F.lit(False))
+    runs = outcomes.withColumn("_bad", bad).withColumn("_run", F.sum(F.when(bad, 0).otherwise(1)).over(w))
+    # the first row of a run but the first is the good outcome that began it
+    place = F.sum(F.col("_bad").cast("int")).over(W.partitionBy("listing_id", "_run").orderBy("captured_at", "event_id"))
+    hits = runs.withColumn("_n", place).where(F.col("_bad") & (F.col("_n") == most))
+    return hits.groupBy("listing_id").agg(F.min_by("event_id", F.struct("captured_at", "event_id")).alias("event_id"))

@@ -77,3 +77,34 @@ def links(listings: DataFrame, matches: DataFrame, linked_only: bool = False, re
 def matched_products(products: DataFrame, listings: DataFrame, matches: DataFrame) -> DataFrame:
     """Products with a direct link or a linked match."""
     return products.join(links(listings, matches, linked_only=True).select(F.col("product_id").alias("id")), "id", "left_semi")
+
+
+def scraped(listings: DataFrame, wanted: bool | None) -> DataFrame:
+    """All listings, or those that were or weren't scraped."""
+    return listings if wanted is None else listings.where(is_scraped() if wanted else ~is_scraped())
+
+
+def of_status(listings: DataFrame, matches: DataFrame, status: str, best) -> DataFrame:
+    """Listings of an effective status; ``best`` ranks the matches of a scope."""
+    if status == "confirmed":
+        return listings.where("product_id IS NOT NULL")
+    free = listings.where("product_id IS NULL")
+    if status == "no_candidate":
+        return free.join(matches.select(F.col("listing_id").alias("id")), "id", "left_anti")
+    found = best(matches, True, free.select(F.col("id").alias("listing_id"))).where(F.col("status") == status)
+    return free.join(found.select(F.col("listing_id").alias("id")), "id", "left_semi")
+
+
+def page(rows: DataFrame, order: list[Column], limit: int | None = 75, offset: int = 0) -> DataFrame:
+    """A page of rows in a total order; no limit: all."""
+    out = rows.orderBy(*order).offset(offset)
+    return out if limit is None else out.limit(limit)
+
+
+def newest_first() -> list[Column]:
+    return [F.desc_nulls_last("latest_scraped_at"), F.desc("created_at"), F.asc("id")]
+
+
+def sort_key(name: Column) -> Column:
+    """The column that a sort name stands for; unknown names sort by the last scrape."""
+    return F.when(name == "created_at", "created_at").otherwise("last_scraped_at")

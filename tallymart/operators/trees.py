@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.urls import path_of
@@ -38,3 +38,8 @@ def parents_of_urls(urls: DataFrame) -> DataFrame:
     known = rows.groupBy("key").agg(F.min("url").alias("parent"))
     best = ups.join(known, "key").groupBy("url").agg(F.max_by("parent", F.length("key")).alias("parent"))
     return rows.join(best, "url", "left").select("url", "parent", F.greatest(F.lit(0), F.least(F.lit(3), F.size("s") - 2)).alias("level"))
+
+
+def display_path(crumbs: Column, breadcrumb_path: Column, assigned_path: Column) -> Column:
+    """The path that is shown: the page's trail, else that of its breadcrumb category, else of the assigned one."""
+    return F.coalesce(F.when(F.size(crumbs) > 0, F.array_join(crumbs, " > ")), breadcrumb_path, assigned_path, F.lit("Uncategorized"))

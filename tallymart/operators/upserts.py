@@ -81,3 +81,40 @@ def undiscovered(urls: DataFrame, listings: DataFrame, key) -> DataFrame:
     """Distinct new URLs: those whose key no listing has, the first of each key."""
     found = urls.withColumn("key", key(F.col("url"))).where("key IS NOT NULL").groupBy("key").agg(F.min("url").alias("url"))
     return found.join(listings.select(key(F.col("url")).alias("key")).distinct(), "key", "left_anti")
+
+
+def appended(history: DataFrame, observed: DataFrame, keep: bool = True) -> DataFrame:
+    """(listing_id, captured_at, price) after observations were appended, failures too; without ``keep`` as it was."""
+    old = history.select("listing_id", "captured_at", "price")
+    return old.unionByName(observed.select("listing_id", "captured_at", "price")) if keep else old
+
+
+def with_variants(listings: DataFrame, variants: DataFrame) -> DataFrame:
+    """(competitor_id, url, is_new): listings and those variants whose site and URL none has yet, each once."""
+    have = listings.select("competitor_id", "url").distinct()
+    new = variants.select("competitor_id", "url").distinct().join(have, ["competitor_id", "url"], "left_anti")
+    return have.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
+
+
+def requested(listings: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, listing_id, result) of requests (request_id, competitor_id, url): existing, conflict where another site owns the URL, else created."""
+    owner = first_of(listings, ["url"], [F.asc("id")]).select("url", F.col("id").alias("listing_id"), F.col("competitor_id").alias("owner"))
+    rows = requests.join(owner, "url", "left")
+    result = F.when(F.col("owner").isNull(), "created").when(F.col("owner") == F.col("competitor_id"), "existing").otherwise("conflict")
+    return rows.select("request_id", F.when(result == "existing", F.col("listing_id")).alias("listing_id"), result.alias("result"))
+
+
+def replaced_tree(categories: DataFrame, new: DataFrame, roots: DataFrame) -> DataFrame:
+    """Categories (id, parent_id, name, level) after the children of ``roots`` (id) and theirs were deleted and ``new`` ones put in."""
+    children = categories.join(roots.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
+    below = categories.join(children.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
+    kept = categories.join(children.unionByName(below), "id", "left_anti")
+    return kept.select("id", "parent_id", "name", "level").unionByName(new.select("id", "parent_id", "name", "level"))
+
+
+def categories_for(requests: DataFrame, categories: DataFrame) -> DataFrame:
+    """(request_id, category_id, is_new) of requests (request_id, category_id, parent_id, name): the assigned category stays; else one of that name and parent, the least id; else a new one."""
+    known = categories.groupBy("parent_id", F.lower("name").alias("_key")).agg(F.min("id").alias("found"))
+    rows = requests.withColumn("_key", F.lower("name")).alias("r").join(known.alias("k"), F.expr("r.parent_id <=> k.parent_id AND r._key = k._key"), "left")
+    category = F.coalesce(F.col("r.category_id"), F.col("k.found"))
+    return rows.select("request_id", category.alias("category_id"), category.isNull().alias("is_new"))
