@@ -136,7 +136,20 @@ def memory_size(x: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(low, r"(\d+)\s*gb\s*ram", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"(\d+)\s*gb\s*ddr", 1), F.lit("")))
 
 
-def color_of(specs: Column, blob: Column) -> Column:
-    """The colour among the specifications (keys in lower case), else after its label in the text."""
-    named = F.coalesce(*(F.nullif(norm(F.try_element_at(specs, F.lit(k))), F.lit("")) for k in ("color", "colour", "цвят")))
-    return F.coalesce(named, F.nullif(F.regexp_extract(F.lower(blob), r"(?:colou?r|цвят)\s*:?\s*([a-zа-я]+)", 1), F.lit("")))
+def _named(specs: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*(F.nullif(norm(F.try_element_at(specs, F.lit(k))), F.lit("")) for k in keys))
+
+
+def color_of(specs: Column) -> Column:
+    """The colour among the specifications, by its English or Bulgarian key."""
+    return _named(specs, ("color", "colour", "цвят"))
+
+
+def storage_of(specs: Column, blob: Column) -> Column:
+    """The storage among the specifications, else the first size in the text."""
+    return F.coalesce(_named(specs, ("storage", "памет", "capacity")), storage_size(blob))
+
+
+def memory_of(specs: Column, blob: Column) -> Column:
+    """The memory among the specifications, else a size before RAM or DDR in the text."""
+    return F.coalesce(_named(specs, ("memory", "ram", "оперативна памет")), memory_size(blob))

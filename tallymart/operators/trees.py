@@ -6,22 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.urls import path_of
+from tallymart.sources.adapters import kept
 
 
-def paths(categories: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, name, parent_id, level, path): names from root to node; a node met again on its way ends the path.
+def paths(categories: DataFrame) -> DataFrame:
+    """The categories with ``path``, the names from root to node; a node met again on its way ends the path.
 
-    ``depth`` bounds the recursion; nodes below it keep the path so far.
+    Every round joins each node's way with that of the node where it ends, so
+    a way doubles and the rounds are the logarithm of the depth; each is written,
+    so that no plan grows. A parent that doesn't exist ends the path.
     """
-    text = f"""
-    WITH RECURSIVE up(id, at, names, seen, steps) AS (
-      SELECT id, parent_id, array(name), array(id), 0 FROM {{categories}}
-      UNION ALL
-      SELECT u.id, c.parent_id, concat(array(c.name), u.names), concat(u.seen, array(c.id)), u.steps + 1
-      FROM up u JOIN {{categories}} c ON c.id = u.at WHERE NOT array_contains(u.seen, c.id) AND u.steps < {depth})
-    SELECT id, max_by(names, steps) AS names FROM up GROUP BY id"""
-    found = categories.sparkSession.sql(text, categories=categories)
-    return categories.join(found, "id").withColumn("path", F.array_join("names", " > ")).drop("names")
+    known = categories.select(F.col("id").alias("at"))
+    now = categories.select("id", F.col("parent_id").cast("long").alias("at"), F.array("name").alias("names"), F.array(F.col("id").cast("long")).alias("ids"))
+    now = kept(now.join(known, "at", "left_semi").select("id", "at", "names", "ids").unionByName(now.join(known, "at", "left_anti").select("id", F.lit(None).cast("long").alias("at"), "names", "ids")), "paths")
+    while not now.where("at IS NOT NULL").isEmpty():
+        up = now.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("names").alias("_names"), F.col("ids").alias("_ids"))
+        both = now.where("at IS NOT NULL").join(up, F.col("at") == F.col("_id"))
+        both = both.select("id", F.col("_at").alias("at"), F.concat("names", "_names").alias("names"), F.concat("ids", "_ids").alias("ids"))
+        # in a cycle the way ends before the first node that it holds already
+        both = both.withColumn("again", F.expr("get(filter(sequence(1, size(ids) - 1), i -> array_position(ids, ids[i]) <= i), 0)"))
+        ended = F.col("again").isNotNull()
+        both = both.select("id", F.when(~ended, F.col("at")).alias("at"), *(F.when(ended, F.slice(c, 1, F.coalesce("again", F.lit(1)))).otherwise(F.col(c)).alias(c) for c in ("names", "ids")))
+        now = kept(now.where("at IS NULL").unionByName(both), "paths")
+    return categories.join(now.select("id", F.array_join(F.reverse("names"), " > ").alias("path")), "id")
 
 
 def counts(categories: DataFrame, listings: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def ex_site_price(d: Domain) -> DataFrame:
 
 
 query("sc_text_blob", "SELECT id, lower(concat_ws(' ', title, brand, model, spec_storage, sku)) AS y FROM offers")(lambda d: d.offers.select("id", M.text_blob(F.col("title"), F.col("brand"), F.col("model"), F.array("spec_storage", "sku")).alias("y")))
-query("sc_color", "SELECT k, nullif(regexp_extract(lower(x), 'color: ([a-zа-я]+)', 1), '') AS y FROM (SELECT k, CASE WHEN n3 < 4 THEN 'Color: Red ' || n1 ELSE title END AS x FROM cells)")(lambda d: d.cells.select("k", codes.color_of(F.lit(None).cast("map<string,string>"), F.expr("CASE WHEN n3 < 4 THEN 'Color: Red ' || n1 ELSE title END")).alias("y")))
+query("sc_color", "SELECT k, CASE n3 WHEN 1 THEN 'red ' || n1 WHEN 2 THEN 'green' END AS color, CASE WHEN n3 = 3 THEN n1 || ' gb' ELSE nullif(regexp_extract(lower(code), '(\\d+)\\s*gb\\s*(ram|ddr)', 1), '') END AS memory FROM cells")(lambda d: d.cells.withColumn("specs", F.expr("map('цвят', CASE WHEN n3 = 1 THEN ' Red ' || n1 END, 'colour', CASE WHEN n3 = 2 THEN 'GREEN' END, 'ram', CASE WHEN n3 = 3 THEN n1 || ' GB' END)")).select("k", codes.color_of(F.col("specs")).alias("color"), codes.memory_of(F.col("specs"), F.col("code")).alias("memory")))
 
 # Ingest and discovery ---------------------------------------------------------
 

@@ -25,7 +25,8 @@ SELECT p_partkey AS id, p_partkey % 40 AS import_batch_id,
        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'MQ' || CAST(p_partkey AS STRING) || '-K' END AS manufacturer_code,
        CASE WHEN p_partkey % 5 = 0 THEN 'model' || CAST(p_partkey AS STRING) ELSE NULL END AS model,
        CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(floor(p_retailprice / 30 * 100) / 100.0E0 AS DECIMAL(14,4)) END AS own_price,
-       CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS STRING) || ' GB' ELSE NULL END AS storage
+       CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS STRING) || ' GB' ELSE NULL END AS storage,
+       CASE WHEN p_partkey % 4 = 1 THEN 'Red' ELSE NULL END AS color, CASE WHEN p_partkey % 5 = 2 THEN '8 GB' ELSE NULL END AS memory
 FROM {part}""",
     "competitors": """
 SELECT s.s_suppkey AS id, s.s_name AS name, 'shop' || CAST(s.s_suppkey AS STRING) || '.example.com' AS domain, n.n_name AS country,
@@ -61,7 +62,8 @@ WHERE rn = 1""",
     "offers": """
 SELECT l.id, p.name || ' ' || p.category AS title, CASE WHEN l.part_id % 9 = 0 THEN NULL ELSE p.brand END AS brand,
        CASE WHEN l.part_id % 8 < 3 THEN l.ean ELSE NULL END AS ean, CASE WHEN l.part_id % 7 = 0 THEN p.manufacturer_code ELSE NULL END AS manufacturer_code,
-       CASE WHEN l.part_id % 10 = 0 THEN p.model ELSE NULL END AS model, l.sku, p.storage AS spec_storage
+       CASE WHEN l.part_id % 10 = 0 THEN p.model ELSE NULL END AS model, l.sku, p.storage AS spec_storage,
+       CASE WHEN l.part_id % 8 = 1 THEN 'red' WHEN l.part_id % 8 = 5 THEN 'blue' ELSE NULL END AS spec_color, CASE WHEN l.part_id % 10 = 2 THEN '8' WHEN l.part_id % 10 = 7 THEN '16' ELSE NULL END AS spec_memory
 FROM {listings} l JOIN {products} p ON p.id = l.part_id""",
     "matches": """
 SELECT id AS listing_id, part_id AS product_id,
@@ -146,6 +148,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tallymart-domain/{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _domains: dict[tuple[str, str], Domain] = {}
 
 
@@ -175,9 +184,7 @@ class Domain:
                 needed = {t: getattr(self, t) for t in (*BASE, *DERIVED) if "{" + t + "}" in text}
                 found = self.spark.sql(text, **needed)
                 if self.write and name in WRITTEN:
-                    path = f"{scratch(self.spark)}/{name}"
-                    found.write.parquet(path)
-                    found = self.spark.read.schema(found.schema).parquet(path)
+                    found = kept(found, name)
                 self._made[name] = found
             else:
                 raise AttributeError(name)
