@@ -23,6 +23,8 @@ from tallymart.llm.common import stored
 _U = np.uint64
 #: Fixed masks: 1 is a token that enters the hash, 0 one that may differ.
 MASKS = ("11111", "111011", "1101011", "1100111", "11010011", "1010101001")
+#: Masks besides them for items of fewer than LEAST_TOKENS tokens, whose every substitution must leave a hit.
+SHORT_MASKS = ("01111", "10111", "11011", "11101", "11110")
 #: An overlap counts from so many tokens (the whole item, if it has fewer), of which so many in a hundred agree.
 LEAST_TOKENS, LEAST_PERCENT = 13, 80
 #: Bits of the filter of benchmark hashes that goes to every task: 2**FILTER_BITS (2 MB), whatever the benchmark's size.
@@ -40,9 +42,9 @@ def token_hashes(column: pa.Array) -> Iterator[T.Words]:
     return T.words(pc.utf8_lower(column.fill_null("")), _BREAKS)
 
 
-def seeds(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each mask its number and the hash of the window that begins at each token."""
-    for k, mask in enumerate(MASKS):
+def seeds(hashes: np.ndarray, short: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """For each mask (``short``: those of short items too) its number and the hash of the window that begins at each token."""
+    for k, mask in enumerate(MASKS + SHORT_MASKS if short else MASKS):
         n = len(hashes) - len(mask) + 1
         if n > 0:
             yield k, T.mix(T.combined([hashes[i : i + n] for i, c in enumerate(mask) if c == "1"]) + _U(k + 1))
@@ -70,7 +72,7 @@ def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for item, tokens in zip(b.column("item_id"), b.column("tokens"), strict=True):
                 t = tokens.values.to_numpy().view(_U)
-                found = [h for _, h in seeds(t)] if len(t) >= SHORTEST else [_whole(t)]
+                found = [h for _, h in seeds(t, len(t) < LEAST_TOKENS)] if len(t) >= SHORTEST else [_whole(t)]
                 at = np.concatenate([np.arange(len(h)) for h in found])
                 yield pa.record_batch({"hash": pa.array(np.concatenate(found).view(np.int64)), "item_id": pa.array([item.as_py()] * len(at), pa.int64()), "at": pa.array(at, pa.int64())})
 
@@ -107,8 +109,9 @@ def _filter(hashes: DataFrame) -> np.ndarray:
 def _document_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
     """Of each document with a window whose hash passes the filter: text and all (hash, at) of such windows.
 
-    ``short``: lengths of the items below every mask, whose whole sequences are looked for.
+    ``short``: lengths of the items below LEAST_TOKENS; those below every mask are looked for as whole sequences.
     """
+    masks, whole = MASKS + SHORT_MASKS, [n for n in short if n < SHORTEST]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def passing(h: np.ndarray) -> np.ndarray:
@@ -121,7 +124,7 @@ def _document_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataF
             for w in token_hashes(text):
                 owner = np.searchsorted(w.bounds, np.arange(len(w.hashes)), "right") - 1
                 found = []
-                for h, span in [*((h, len(MASKS[k])) for k, h in seeds(w.hashes)), *((T.mix(T.combined([w.hashes[i : len(w.hashes) - n + 1 + i] for i in range(n)]) + _U(1000 + n)), n) for n in short if len(w.hashes) >= n)]:
+                for h, span in [*((h, len(masks[k])) for k, h in seeds(w.hashes, len(whole) < len(short))), *((T.mix(T.combined([w.hashes[i : len(w.hashes) - n + 1 + i] for i in range(n)]) + _U(1000 + n)), n) for n in whole if len(w.hashes) >= n)]:
                     at = passing(h)
                     at = at[owner[at] == owner[at + span - 1]]
                     found.append((at, h[at]))
@@ -140,7 +143,12 @@ def _document_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataF
 
 
 def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(start in the document, tokens, agreeing tokens) of the longest stretch, with the item laid at ``shift``, that agrees in LEAST_PERCENT of its tokens and begins and ends in agreement."""
+    """(start in the document, tokens, agreeing tokens) of the longest stretch, with the item laid at ``shift``, that agrees in LEAST_PERCENT of its tokens and begins and ends in agreement; a short item counts as a whole or not at all."""
+    if len(item) < LEAST_TOKENS:
+        if shift < 0 or shift + len(item) > len(doc):
+            return 0, 0, 0
+        n = int((item == doc[shift : shift + len(item)]).sum())
+        return (shift, len(item), n) if 100 * n >= LEAST_PERCENT * len(item) else (0, 0, 0)
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     if high <= low:
         return 0, 0, 0
@@ -153,10 +161,10 @@ def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, in
     # the least i whose prefix value is no higher than that at the end: running minima fall, so they can be searched
     least = np.minimum.accumulate(value[:-1])
     begin = np.searchsorted(-least, -value[ends + 1])
+    # from there to the next token that agrees, the value only falls
+    begin = ends[np.searchsorted(ends, begin)]
     k = int(np.argmax(ends + 1 - begin))
     i, j = int(begin[k]), int(ends[k])
-    while i < j and not same[i]:
-        i += 1
     return low + shift + i, j + 1 - i, int(same[i : j + 1].sum())
 
 
@@ -174,7 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hashes, items = item_seeds(benchmark)
-    short = sorted(r[0] for r in items.where(F.size("tokens") < SHORTEST).select(F.size("tokens")).distinct().collect())
+    short = sorted(r[0] for r in items.where(F.size("tokens") < LEAST_TOKENS).select(F.size("tokens")).distinct().collect())
     # row_id is stable: the table is stored once
     hits = stored(_document_hits(docs, _filter(hashes), short).withColumn("row_id", F.monotonically_increasing_id()), "bench-hits")
     met = hits.select("row_id", F.inline("hits")).withColumnRenamed("at", "doc_at").join(hashes, "hash")
