@@ -70,21 +70,35 @@ def sharded(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(docs).alias("bits"))
     rows = stored(rows, "shard-rows")
-    shards = stored(directory(rows, limit), "shard-directory")
-    # a row's shard is the one prefix of its hash that is in the directory; only depths that occur are tried
-    depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]  # at most HASH_BITS + 1
-    tried = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))) if depths else rows.withColumn("depth", F.lit(0))
-    tried = tried.withColumn("shard", F.expr("substring(bits, 1, depth)"))
-    return tried.join(shards, ["shard", "depth"]).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+    return _placed(rows, stored(directory(rows, limit), "shard-directory")).select("doc_id", "n_bytes", "s.*")
+
+
+def _placed(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows (with ``bits``) and ``s``, their shard: the one prefix of their hash that is in the directory.
+
+    The directory is grouped by as many bits as its shallowest shard has, so
+    each row is joined once; a group holds the few shards that were split further.
+    """
+    least = shards.agg(F.min("depth")).first()[0] or 0
+    groups = shards.groupBy(F.expr(f"substring(shard, 1, {least})").alias("prefix")).agg(F.collect_list(F.struct("shard", "depth", "shard_bytes", "shard_rows")).alias("own"))
+    met = rows.withColumn("prefix", F.expr(f"substring(bits, 1, {least})")).join(groups, "prefix")
+    return met.withColumn("s", F.get(F.filter("own", lambda s: F.col("bits").startswith(s["shard"])), F.lit(0))).drop("prefix", "own")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 1 << 20) -> DataFrame:
-    """Write ``docs`` as one Parquet folder per shard below ``path``; the assignment is returned."""
-    placed = stored(sharded(docs, limit), "shard-assignment")
-    where = placed.select(F.col("doc_id").alias("_id"), "shard").distinct()
-    rows = docs.join(where, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartition("shard").withColumn("shard", F.concat(F.lit("p"), "shard")).write.partitionBy("shard").parquet(path)
-    return placed
+    """Write ``docs`` as one Parquet folder per shard below ``path`` (column ``shard``); the directory is returned.
+
+    Every row is written once, rows with a null doc_id or a repeated one too. A
+    column ``shard`` of ``docs`` would clash and is an error; other names don't.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("rename the column shard")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = stored(docs.select(F.struct("*").alias("row"), size.alias("n_bytes"), hash_bits(docs).alias("bits")), "shard-rows")
+    shards = stored(directory(rows, limit), "shard-directory")
+    placed = _placed(rows, shards).select("row.*", F.concat(F.lit("p"), "s.shard").alias("shard"))
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    return shards
 
 
 #: DuckDB SQL for :func:`sharded` at a limit of 1 MiB.
