@@ -114,7 +114,7 @@ def _scores(g: Grams, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.log(score)
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, table_rows: int = TABLE_ROWS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, log_score (sum over its words), mean_score (per word).
 
     Words are runs of bytes other than white space, A-Z as a-z. Each word is
@@ -132,16 +132,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     docs = documents(docs)
     # words have six bytes or so, and each ends ORDER n-grams
-    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * ORDER // (6 * TABLE_ROWS)))
+    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * ORDER // (6 * table_rows)))
 
     def send(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, docs in _batches(some):
+        for batch, docs in _batches(some, batch_bytes):
             keys, counts = Grams(docs.column("text")).distinct()
             ends = _ends(keys, parts)
             found = [(p, _pack_keys(keys[a:b]), _pack(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
             p, k, c = zip(*found, strict=True)
             yield pa.record_batch({"batch": pa.array([batch] * len(p), pa.int64()), "part": pa.array(p, pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
+    def pack(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(some, batch_bytes)
+
     def count(key: tuple[pa.Scalar, ...], some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = [(r["batch"], _unpack_keys(r["keys"]), _unpack(r["counts"], "<u4")) for b in some for r in b.to_pylist()]
         keys, inverse = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
@@ -168,21 +171,21 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     sent = docs.mapInArrow(lean(send), "batch long, part long, keys binary, counts binary")
     table = sent.groupBy("part").applyInArrow(lean(count), "batch long, part long, totals binary")
-    packed = docs.mapInArrow(lean(pack), "batch long, docs binary")
-    scored = packed.groupBy("batch").cogroup(table.groupBy("batch"))
+    whole = docs.mapInArrow(lean(pack), "batch long, docs binary")
+    scored = whole.groupBy("batch").cogroup(table.groupBy("batch"))
     return scored.applyInArrow(score, "doc_id long, n_words long, log_score double, mean_score double")
 
 
-def _batches(some: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Consecutive rows of a partition of about ``BATCH_BYTES`` of text, numbered over all partitions."""
+def _batches(some: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """Consecutive rows of a partition of about ``most`` bytes of text, numbered over all partitions."""
     batch = TaskContext.get().partitionId() << 33
     waiting: list[pa.RecordBatch] = []
     size = 0
     for b in some:
         offsets, _ = T.string_parts(b.column("text"))
-        for i, j in T.slices(offsets, BATCH_BYTES):
+        for i, j in T.slices(offsets, most):
             new = int(offsets[j] - offsets[i])
-            if waiting and size + new > BATCH_BYTES:
+            if waiting and size + new > most:
                 yield batch, pa.Table.from_batches(waiting).combine_chunks()
                 batch, waiting, size = batch + 1, [], 0
             waiting.append(b.slice(i, j - i))
@@ -191,9 +194,9 @@ def _batches(some: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         yield batch, pa.Table.from_batches(waiting).combine_chunks()
 
 
-def pack(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(some: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """(batch, docs): each batch as a compressed Arrow table."""
-    for batch, docs in _batches(some):
+    for batch, docs in _batches(some, most):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(docs)

@@ -179,13 +179,13 @@ def _plausible(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | Non
     return forest
 
 
-def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, num: int, den: int, group: int = GROUP) -> DataFrame:
     """Edges (u, v) whose components hold every pair of classes that may link."""
     met = reps.select("rep", F.explode("prefix").alias("shingle"))
     # counted before the shuffle, so a common shingle isn't one task
     met = met.join(met.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "shingle")
-    # a group above GROUP goes to all pairs of its blocks; others are a single pair
-    met = met.withColumn("nb", F.ceil(F.col("c") / F.lit(GROUP))).withColumn("block", F.pmod(F.xxhash64("rep"), "nb"))
+    # a larger group than that goes to all pairs of its blocks; others are a single pair
+    met = met.withColumn("nb", F.ceil(F.col("c") / F.lit(group))).withColumn("block", F.pmod(F.xxhash64("rep"), "nb"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     met = met.select("rep", "shingle", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block")
     met = met.join(reps.select("rep", "n_shingles", "bits"), "rep")
@@ -294,10 +294,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def verified(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def verified(members: DataFrame, n: int, num: int, den: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc, root, links) from ``members`` (component, rep, text, copies, n_shingles): exact links inside each component."""
-    # blocks by hash, of BLOCK_DOCS documents and BLOCK_SHINGLES shingles on average: no family is ordered in one task
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    # blocks by hash, of so many documents and shingles on average: no family is ordered in one task
+    blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles))
     sizes = members.groupBy("component").agg(blocks.alias("blocks"))
     rows = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -331,7 +331,7 @@ def verified(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return rows.groupBy("component", "b1", "b2").applyInArrow(run, "doc long, root long, links long")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, group: int = GROUP, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and n_links (other documents that it links with).
 
     Two documents link when ``den * intersection >= num * union`` of their sets
@@ -354,11 +354,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     classes = stored(classes, "shingle-classes")
     reps = full.alias("f").join(classes.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in key] + [F.col("f.doc_id") == F.col("c.rep")])
     reps = reps.select("c.rep", "f.n_shingles", "f.prefix", "f.bits").dropDuplicates(["rep", "n_shingles", "prefix"])
-    families = stored(components(candidate_edges(reps, num, den), "families"), "families")
+    families = stored(components(candidate_edges(reps, num, den, group), "families"), "families")
     members = families.join(classes, families["node"] == classes["rep"]).select("component", "rep", "copies", "n_shingles")
     wanted = docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = members.join(wanted, members["rep"] == wanted["doc_id"]).select("component", "rep", "copies", "n_shingles", "text")
-    links = stored(verified(members, n, num, den), "links")
+    links = stored(verified(members, n, num, den, block_docs), "links")
     linked = components(links.select(F.col("doc").alias("u"), F.col("root").alias("v")), "linked")
     counts = links.groupBy("doc").agg(F.sum("links").alias("links"))
     out = classes.join(linked, classes["rep"] == linked["node"], "left").join(counts, classes["rep"] == counts["doc"], "left")
@@ -381,5 +381,8 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     again = rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again"))
     once = rows.join(again, rows["doc_id"] == again["again"], "left_anti")
     many = rows.join(again, rows["doc_id"] == again["again"], "left_semi")
-    first = many.withColumn("_rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_rank = 1").drop("_rank")
+    rank = "_rank"
+    while rank in docs.columns:
+        rank += "_"
+    first = many.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(rank) == 1).drop(rank)
     return once.unionByName(first)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def file_at(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI that Hadoop uses, and the path there."""
+    # Hadoop's names of a scheme that Arrow knows by another
+    path = re.sub("^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
