@@ -32,8 +32,8 @@ CONTENT = 0.9
 LEAST, LEAST_INSIDE = 0.5, 0.25
 #: Pages without repeats that are added to those that show a node.
 DOUBT = 2
-#: Priors: of a mark that tells noise, of one that may, and of what lies outside the article of a page that has one.
-NOISE, PERHAPS, OUTSIDE = 0.2, 0.55, 0.6
+#: Priors of a mark that tells noise and of one that may. What lies outside a page's article has the share of the text there.
+NOISE, PERHAPS = 0.2, 0.55
 
 # Quotes count after "=" only and where they are closed; nothing is tried twice, so the time follows the length.
 _TOKEN = regex.compile(r"<!--.*?(-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?][^>]*+>", regex.S)
@@ -253,8 +253,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def main_text(page: str, low: dict[int, float]) -> str:
     """The text of a page without branches of low importance; ``low``: nodes whose entropy isn't high, and their importance."""
     found = [b for b in blocks(page)[0] if not b.noise]
-    outside = OUTSIDE if any(b.inside for b in found) else 1.0
     total = sum(len(b.text) for b in found)
+    outside = sum(len(b.text) for b in found if not b.inside) / max(1, total)
     share: dict[int, int] = {}
     for b in found:
         for node in above(b.path):
@@ -280,8 +280,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     sent to all tasks.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    # what the highest prior that is in doubt could bring below its threshold
-    low = style_tree(rows.select("url", "html")).where(F.col("importance") < LEAST / min(PERHAPS, OUTSIDE))
+    # nodes above that differ from page to page and count as unique
+    low = style_tree(rows.select("url", "html")).where(F.col("importance") < LEAST / PERHAPS)
     low = stored(low.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("low")), "style-trees")
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
