@@ -51,10 +51,14 @@ def first_group(x: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
 
 
+#: Words that stand before a colour.
+COLOR_LABELS = "цвят|цвета|нюанс|оттенък|colou?r|shade|nuance|tone|tint"
+
+
 def variant_color(x: Column) -> Column:
     """What is left of a variant's text without its size and a label before the colour."""
     rest = F.regexp_replace(x, r"(?iu)\d+(?:[.,]\d+)?\s*(?:ml|мл|kg|кг|oz|гр|g|l|л)(?![\wа-я])\.?", "")
-    return F.nullif(stripped(F.regexp_replace(stripped(rest), r"(?iu)^(?:цвят|colou?r)\s*:?\s*", "")), F.lit(""))
+    return F.nullif(stripped(F.regexp_replace(stripped(rest), rf"(?iu)^(?:{COLOR_LABELS})(?![\wа-я])[\s:]*|^[\s,.–—-]+|[\s,.–—-]+$", "")), F.lit(""))
 
 
 def category_name(x: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymart.functions.codes import gtin_valid, strip_html
+from tallymart.functions.codes import gtin_valid, size_text, strip_html, variant_color
 from tallymart.functions.fields import spec_label
-from tallymart.functions.money import parse_decimal
+from tallymart.functions.money import currency_code, parse_decimal, price_candidates
 
 _OFFER = "struct<price:string,lowPrice:string,priceCurrency:string,availability:string>"
 _PRODUCT = f"struct<`@type`:string,name:string,gtin13:string,gtin14:string,gtin12:string,gtin8:string,gtin:string,mpn:string,image:string,brand:struct<name:string>,offers:{_OFFER}>"
@@ -166,10 +166,64 @@ def json_urls(item: Column) -> Column:
 
 
 def own_variant(variants: Column, own: Column, price: Column) -> Column:
-    """The variant (sku, price) that a page shows: by its own id, else by an equal price, else the cheapest."""
+    """The variant (sku, price) that a page shows: by its own id, else by an equal price, else the cheapest; without any price the first."""
     first = lambda a: F.get(a, F.lit(0))
-    cheapest = F.get(F.array_sort(F.transform(variants, lambda v: F.struct(v["price"].alias("price"), v["sku"].alias("sku")))), F.lit(0))
-    return F.coalesce(first(F.filter(variants, lambda v: v["sku"] == own)), first(F.filter(variants, lambda v: v["price"] == price)), F.struct(cheapest["sku"].alias("sku"), cheapest["price"].alias("price")))
+    priced = F.filter(variants, lambda v: v["price"].isNotNull())
+    cheapest = first(F.array_sort(F.transform(priced, lambda v, k: F.struct(v["price"].alias("price"), k.alias("k"), v["sku"].alias("sku")))))
+    return F.coalesce(first(F.filter(variants, lambda v: v["sku"] == own)), first(F.filter(variants, lambda v: v["price"] == price)), F.when(cheapest.isNotNull(), F.struct(cheapest["sku"].alias("sku"), cheapest["price"].alias("price"))), first(variants))
+
+
+#: What marks a variant among the objects that a page embeds, and the classes of a selected option.
+VARIANT_MARK = '"__typename":"CatalogVariant"'
+SELECTED = r"selected|active|border-\[#9bdcd2\]"
+_VARIANT = "struct<url:string,name:string,additionalInfo:string,productCode:string,orderCode:string,eanCode:string,colors:array<string>,parameters:struct<amount:string,unit:string>,price:struct<value:string,currency:string>,originalPrice:struct<value:string,type:string,currency:string>>"
+
+
+def embedded_variants(html: Column, base: Column) -> Column:
+    """Variants that a page embeds as JSON objects, in page order, repeats of a URL included.
+
+    An object begins at the last brace before its mark; the JSON reader stops where it ends. Objects without a URL and broken ones
+    give nothing. (url, size, color, price, regular, currency, ean, manufacturer_code, shop_code, title); a recommended original
+    price is the regular one, other original prices aren't.
+    """
+    parts = F.split(html, VARIANT_MARK)
+    n = F.size(parts)
+    texts = F.transform(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda p, k: F.when(p.contains("{"), F.concat(F.lit("{"), F.substring_index(p, "{", -1), F.lit(VARIANT_MARK), F.array_join(F.slice(parts, k + 2, n), VARIANT_MARK))))
+    root = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
+    nodes = F.filter(F.transform(texts, lambda t: F.from_json(t, _VARIANT)), lambda v: F.trim(v["url"]) != "")
+
+    def fields_of(v: Column) -> Column:
+        u = F.trim(v["url"])
+        url = F.when(u.rlike("^https?://"), u).otherwise(F.concat(root, F.lit("/"), F.regexp_replace(u, "^/+", "")))
+        size = F.coalesce(size_text(F.concat_ws(" ", v["parameters"]["amount"], v["parameters"]["unit"])), size_text(v["additionalInfo"]))
+        color = F.coalesce(variant_color(v["additionalInfo"]), F.nullif(F.trim(F.get(v["colors"], F.lit(0))), F.lit("")))
+        regular = F.when(v["originalPrice"]["type"] == "Recommended", parse_decimal(v["originalPrice"]["value"]))
+        digits = F.regexp_replace(v["eanCode"], r"\D", "")
+        return F.struct(
+            url.alias("url"), size.alias("size"), F.left(color, F.lit(120)).alias("color"), parse_decimal(v["price"]["value"]).cast("double").alias("price"), F.when(regular > 0, regular).cast("double").alias("regular"),
+            currency_code(F.coalesce(v["price"]["currency"], v["originalPrice"]["currency"])).alias("currency"), F.when(gtin_valid(digits), digits).alias("ean"),
+            F.nullif(F.trim(v["productCode"]), F.lit("")).alias("manufacturer_code"), F.nullif(F.trim(v["orderCode"]), F.lit("")).alias("shop_code"), F.nullif(F.trim(v["name"]), F.lit("")).alias("title"),
+        )
+
+    return F.transform(nodes, fields_of)
+
+
+def swatch(html: Column) -> Column:
+    """(size, price, promo, currency) of the selected option of a page's size swatches.
+
+    The first price in euro is the price, the first lower one after it the promotion. Where no selected option names a size or a
+    price, the swatch's label gives the size alone. Options hold no blocks of their own.
+    """
+    root = r"(?is)<div[^>]*class=\"(?=[^\"]*size)[^\"]*swatch-attribute(?=[\s\"])"
+    areas = F.slice(F.split(html, root), F.lit(2), F.greatest(F.size(F.split(html, root)) - 1, F.lit(0)))
+    option = lambda a: strip_html(F.regexp_extract(a, rf"(?is)swatch-attribute-options.*?<div[^>]*class=\"[^\"]*(?:{SELECTED})[^\"]*\"[^>]*>(.*?)</div>", 1))
+    euro = lambda t: F.transform(F.filter(price_candidates(t), lambda c: c["currency"] == "EUR"), lambda c: c["amount"].cast("double"))
+    found = F.transform(F.transform(areas, option), lambda t: F.struct(size_text(t).alias("size"), euro(t).alias("euro")))
+    one = F.get(F.filter(found, lambda o: o["size"].isNotNull() | (F.size(o["euro"]) > 0)), F.lit(0))
+    price = F.get(one["euro"], F.lit(0))
+    label = F.get(F.filter(F.transform(areas, lambda a: size_text(strip_html(F.regexp_extract(a, r"(?is)product-option-label.*?<span[^>]*\bx-text\b[^>]*>(.*?)</span>", 1)))), lambda s: s.isNotNull()), F.lit(0))
+    promo = F.get(F.filter(F.slice(one["euro"], F.lit(2), F.greatest(F.size(one["euro"]), F.lit(0))), lambda p: p < price), F.lit(0))
+    return F.struct(F.when(one.isNotNull(), one["size"]).otherwise(label).alias("size"), price.alias("price"), promo.alias("promo"), F.when(price.isNotNull(), "EUR").alias("currency"))
 
 
 def site_price(html: Column) -> Column:

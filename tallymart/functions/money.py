@@ -92,8 +92,9 @@ def regular_final(regular: Column, final: Column) -> Column:
 
 
 def price_candidates(x: Column) -> Column:
-    """All (amount, currency) in a text, amounts above 0."""
-    found = F.regexp_extract_all(x, F.lit(r"(?iu)(\d[\d\s.,]*\s*(?:лв\.?|BGN|EUR|€|USD|\$))"), F.lit(1))
+    """All (amount, currency) in a text, amounts above 0; the currency stands before the amount or after it."""
+    unit = r"(?:лв\.?|BGN|EUR|€|USD|\$|GBP|£)"
+    found = F.regexp_extract_all(x, F.lit(rf"(?iu)({unit}\s*\d[\d\s.,]*|\d[\d\s.,]*\s*{unit})"), F.lit(1))
     one = lambda t: F.struct(parse_decimal(t).alias("amount"), currency_code(F.regexp_replace(t, r"[\d\s.,]", "")).alias("currency"))
     return F.filter(F.transform(found, one), lambda c: c["amount"] > 0)
 

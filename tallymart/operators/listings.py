@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.operators.ranking import LINKED
+from tallymart.functions import markup
+from tallymart.operators.ranking import LINKED, first_of
 
 HARD_FAILURES = ("product_not_found", "price_not_found", "playwright_timeout")
 
@@ -108,3 +109,9 @@ def newest_first() -> list[Column]:
 def sort_key(name: Column) -> Column:
     """The column that a sort name stands for; unknown names sort by the last scrape."""
     return F.when(name == "created_at", "created_at").otherwise("last_scraped_at")
+
+
+def page_variants(pages: DataFrame) -> DataFrame:
+    """Variants of pages (id, url, html), one row (id, the variant's fields) for each page and variant URL: the first in page order."""
+    rows = pages.select("id", F.posexplode(markup.embedded_variants(F.col("html"), F.col("url"))).alias("pos", "v"))
+    return first_of(rows.select("id", "pos", "v.*"), ["id", "url"], [F.asc("pos")]).drop("pos")

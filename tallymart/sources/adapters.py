@@ -112,6 +112,13 @@ SELECT p_partkey AS id, 'https://shop.example/bg/p/' || CAST(p_partkey AS STRING
   || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '<div class="product-price"><span class="price">' || CAST(p_partkey AS STRING) || ',90 лв.</span><span class="old-price">' || CAST(p_partkey + 10 AS STRING) || ',00 лв.</span></div>' END
   || '<table><tr><th>Цвят:</th><td>red ' || CAST(p_size AS STRING) || '</td></tr><tr><th>Марка</th><td>' || p_brand || '</td></tr><tr><th>друго</th><td>z</td></tr></table><img src="/i/' || CAST(p_partkey AS STRING) || '.jpg"><a href="/bg/p/' || CAST(p_partkey + 1 AS STRING) || '?utm_source=q">next item</a><a rel="next" href="/c/1?page=2">2</a>Sold by: Shop ' || CAST(p_size AS STRING) || '<br>EAN: 5901234123457'
   || CASE WHEN p_partkey % 6 = 0 THEN '<script>gtag("event","view_item",{{items:[{{"price": "' || CAST(p_partkey AS STRING) || '.10","currency":"EUR"}}]}})</script>' ELSE '' END || '</body></html>' AS html
+FROM {part}""",
+    "variant_pages": """
+SELECT p_partkey AS id, 'https://shop.example/cream/p-' || CAST(p_partkey AS STRING) || '/' AS url,
+  '<html><script>var s = {{"list":[{{"x":"a }} b","url":"/cream/p-' || CAST(p_partkey AS STRING) || '/","name":"' || p_brand || '","additionalInfo":"цвят F' || CAST(p_size AS STRING) || ' 30 мл.","productCode":"M' || CAST(p_partkey AS STRING) || '","__typename":"CatalogVariant","price":{{"value":' || CAST(p_size + 20 AS STRING) || ',"currency":"bgn"}},"originalPrice":{{"value":' || CAST(p_size + 30 AS STRING) || ',"type":"' || CASE WHEN p_partkey % 2 = 0 THEN 'Recommended' ELSE 'Lowest' END || '"}}}},'
+  || '{{"url":"/cream/p-0/","colors":["red"],"parameters":{{"amount":50,"unit":"ml"}},"q":1,"__typename":"CatalogVariant"}},{{"url":"/cream/p-9/","__typename":"CatalogVariant","eanCode":"5901234123457","price":{{"value":' || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE CAST(p_size AS STRING) END || '}},"colors":["red"]}},'
+  || '{{"url":"/cream/p-9/","__typename":"CatalogVariant"}},{{"url":"/broken/"[,"__typename":"CatalogVariant"}}]}};</script><div class="swatch-attribute size"><label class="product-option-label"><span x-text="v">75 мл</span></label><div class="swatch-attribute-options"><div class="opt">10 ml 1,00 €</div>'
+  || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '<div class="opt Selected">50 мл ' || CAST(p_size + 5 AS STRING) || ',90 € ' || CAST(p_size AS STRING) || ',50 €</div>' ELSE '<div class="opt active"><b>100 ml</b> € ' || CAST(p_size AS STRING) || '.40</div>' END || '</div></div></html>' AS html
 FROM {part}""",
     "feed_items": """
 SELECT p_partkey AS id, '{{"sku":"P' || CAST(p_partkey % 500 AS STRING) || '","name":"' || p_brand || ' cream","url_key":"u' || CAST(p_partkey AS STRING) || '","price":' || CASE WHEN p_partkey % 7 = 0 THEN 'null' ELSE CAST(p_size AS STRING) END || ',"barcodes":"' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ', 2"' ELSE '"' END

@@ -67,3 +67,40 @@ def test_functions_on_single_values_and_null(spark):
     for f, value, want in CASES:
         got = one.select(f(F.lit(value)).alias("y"), f(F.lit(None).cast("string")).alias("n")).first()
         assert got["y"] == want, (value, got["y"])
+
+
+def test_variants_of_pages(spark):
+    mark = markup.VARIANT_MARK
+    good = '{"url":"/a/p-1/","additionalInfo":"нюанс F2 23 мл.","text":"} \\" {","price":{"value":"12.50","currency":"EUR"},%s}' % mark
+    rows = [
+        (1, f'<i>{good}, {good} {{"url":"https://o.example/p-2","eanCode":"123",{mark}}}', "https://s.example/x"),
+        (2, "no variants {", "https://s.example/x"),
+        (3, f"{mark} without a brace, {{{mark}", "https://s.example/x"),
+        (4, None, None),
+        (5, "", None),
+    ]
+    got = L.page_variants(spark.createDataFrame(rows, "id long, html string, url string")).orderBy("id", "url").collect()
+    assert [(r["id"], r["url"], r["size"], r["color"], r["price"], r["currency"], r["ean"]) for r in got] == [(1, "https://o.example/p-2", None, None, None, None, None)]
+    inner = good.replace('"text":"} \\" {",', '"text":"} \\" x",')
+    got = L.page_variants(spark.createDataFrame([(1, f"{inner}{inner}", "https://s.example/x")], "id long, html string, url string")).collect()
+    assert [(r["url"], r["size"], r["color"], r["price"], r["currency"]) for r in got] == []
+    flat = '{%s,"url":"/a/p-1/","additionalInfo":"нюанс F2 23 мл.","text":"} \\" {","price":{"value":"12.50","currency":"EUR"}}' % mark
+    got = L.page_variants(spark.createDataFrame([(1, f"x{flat}{flat} tail }}", "https://s.example/x")], "id long, html string, url string")).collect()
+    assert [(r["url"], r["size"], r["color"], r["price"], r["currency"]) for r in got] == [("https://s.example/a/p-1/", "23ML", "F2", 12.5, "EUR")]
+
+
+def test_own_variant(spark):
+    kind = "array<struct<sku:string,price:double>>"
+    rows = [([("a", 3.0), ("b", None), ("c", 2.0)], "b", 9.0), ([("a", 3.0), ("b", None), ("c", 2.0)], None, 3.0), ([("a", 3.0), ("b", None), ("c", 2.0)], None, None), ([("x", None), ("y", None)], "z", 1.0), ([], "z", 1.0), (None, None, None)]
+    got = spark.createDataFrame(rows, f"v {kind}, own string, price double").select(markup.own_variant(F.col("v"), F.col("own"), F.col("price"))["sku"]).collect()
+    assert [r[0] for r in got] == ["b", "a", "c", "x", None, None]
+
+
+def test_swatch_and_prefix_currency(spark):
+    area = '<div class="size swatch-attribute"><div class="swatch-attribute-options"><div class="%s">%s</div></div></div>'
+    rows = [(area % ("selected", "no amount") + area % ("x active", "30 ml 9,90 € 12 € 8 €"),), (area % ("plain", "30 ml"),), ("<p>x</p>",), (None,)]
+    got = [tuple(r[0]) if r[0] is not None else None for r in spark.createDataFrame(rows, "html string").select(markup.swatch(F.col("html"))).collect()]
+    assert got[0] == ("30ML", 9.9, 8.0, "EUR")
+    assert all(set(g) == {None} for g in got[1:])
+    got = spark.createDataFrame([("€ 5,50 или 9.90 лв",)], "x string").select(F.transform(money.price_candidates(F.col("x")), lambda c: F.concat_ws(" ", c["amount"].cast("double"), c["currency"]))).first()[0]
+    assert got == ["5.5 EUR", "9.9 BGN"]
