@@ -7,7 +7,8 @@ follow their hash. The join then works in these steps, all exact:
 1. Documents with equal shingle sets form a class; one stands for it.
 2. Two sets whose Jaccard similarity reaches the threshold share a shingle
    among the first ``n - ceil(t n) + 1`` of each. Documents that share one meet
-   in a group; groups above ``GROUP`` documents are dealt as pairs of blocks.
+   in a group, once for all shingles that the same documents share; groups above
+   ``GROUP`` documents are dealt as pairs of blocks.
 3. In a group, parity bitmaps bound the difference of two sets from below, so
    pairs that can't link are dropped; of the others only a spanning forest
    leaves the task. Its components are the families to verify.
@@ -182,8 +183,11 @@ def _plausible(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | Non
 def candidate_edges(reps: DataFrame, num: int, den: int, group: int = GROUP) -> DataFrame:
     """Edges (u, v) whose components hold every pair of classes that may link."""
     met = reps.select("rep", F.explode("prefix").alias("shingle"))
-    # counted before the shuffle, so a common shingle isn't one task
-    met = met.join(met.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "shingle")
+    # counted before the shuffle, so a common shingle isn't one task; of shingles whose documents are the same, one stands for all
+    part = lambda seed: F.sum(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 31)))
+    groups = met.groupBy("shingle").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), part(1).alias("s1"), part(2).alias("s2"))
+    groups = groups.where("c > 1").groupBy("c", "x", "s1", "s2").agg(F.min("shingle").alias("shingle"))
+    met = met.join(groups.select("shingle", "c"), "shingle")
     # a larger group than that goes to all pairs of its blocks; others are a single pair
     met = met.withColumn("nb", F.ceil(F.col("c") / F.lit(group))).withColumn("block", F.pmod(F.xxhash64("rep"), "nb"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
