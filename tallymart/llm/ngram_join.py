@@ -185,8 +185,9 @@ def candidate_edges(reps: DataFrame, num: int, den: int, group: int = GROUP) ->
     met = reps.select("rep", F.explode("prefix").alias("shingle"))
     # counted before the shuffle, so a common shingle isn't one task; of shingles whose documents are the same, one stands for all
     part = lambda seed: F.sum(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 31)))
-    groups = met.groupBy("shingle").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), part(1).alias("s1"), part(2).alias("s2"))
-    groups = groups.where("c > 1").groupBy("c", "x", "s1", "s2").agg(F.min("shingle").alias("shingle"))
+    shared = met.join(met.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "shingle")
+    groups = shared.groupBy("shingle", "c").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), part(1).alias("s1"), part(2).alias("s2"))
+    groups = groups.groupBy("c", "x", "s1", "s2").agg(F.min("shingle").alias("shingle"))
     met = met.join(groups.select("shingle", "c"), "shingle")
     # a larger group than that goes to all pairs of its blocks; others are a single pair
     met = met.withColumn("nb", F.ceil(F.col("c") / F.lit(group))).withColumn("block", F.pmod(F.xxhash64("rep"), "nb"))
