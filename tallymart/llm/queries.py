@@ -73,11 +73,36 @@ def op10_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.manifest import audited
+
+    return audited(table(spark, sf_dir, "documents"), folds=5)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymart.llm.vector_codes import coded
+
+    return coded(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallymart.llm import lm_scoring, sharding, warc_zip
-
-    return {"op1_stupid_backoff": lm_scoring.ORACLE, "op8_extendible_hashing": sharding.ORACLE, "op9_warc_zip": warc_zip.ORACLE}
+    from tallymart.llm import lm_scoring, manifest, quality_rules, sharding, vector_codes, warc_zip
+
+    return {
+        "op1_stupid_backoff": lm_scoring.ORACLE,
+        "op8_extendible_hashing": sharding.ORACLE,
+        "op9_warc_zip": warc_zip.ORACLE,
+        "op11_merkle_manifest": manifest.ORACLE,
+        "op12_quality_rules": quality_rules.ORACLE,
+        "op13_yinyang_codes": vector_codes.ORACLE,
+    }
