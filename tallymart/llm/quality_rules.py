@@ -121,7 +121,8 @@ def judged(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFram
     table gives an empty table; other columns aren't read.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("labelled", F.lit(True))
-    rows = counted(docs).join(trusted, "doc_id", "left")
+    # one plan at every size: labels grow with the corpus, so they are never broadcast
+    rows = counted(docs).join(trusted.hint("merge"), "doc_id", "left")
     rows = rows.withColumn("trusted", F.coalesce("labelled", F.lit(False)) & ~F.col("base_failed")).drop("labelled")
     # the number of a row tells apart those of one doc_id; it is written, so it stays
     rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "quality-rules")
