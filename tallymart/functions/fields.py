@@ -130,11 +130,6 @@ def attributes_text(attributes: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
 
 
-def confidence(title: Column, price: Column, identifier: Column) -> Column:
-    """high with title, price and an identifier; medium without the identifier; low with a title alone."""
-    return F.when(title.isNotNull() & price.isNotNull() & identifier.isNotNull(), "high").when(title.isNotNull() & price.isNotNull(), "medium").when(title.isNotNull(), "low").otherwise("none")
-
-
 def first_text(*values: Column) -> Column:
     """The first value that isn't empty, trimmed."""
     return F.coalesce(*(F.nullif(stripped(v), F.lit("")) for v in values))

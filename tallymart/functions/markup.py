@@ -6,12 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymart.functions.codes import gtin_valid, size_text, strip_html, variant_color
-from tallymart.functions.fields import spec_label
+from tallymart.functions.json_ld import product
 from tallymart.functions.money import currency_code, parse_decimal, price_candidates
 
-_OFFER = "struct<price:string,lowPrice:string,priceCurrency:string,availability:string>"
-_PRODUCT = f"struct<`@type`:string,name:string,gtin13:string,gtin14:string,gtin12:string,gtin8:string,gtin:string,mpn:string,image:string,brand:struct<name:string>,offers:{_OFFER}>"
-
 
 def sitemap_locations(body: Column) -> Column:
     """All locations of a sitemap, sitemap index, RSS or Atom feed, or of a plain list with a URL on each line."""
@@ -36,15 +33,8 @@ def json_ld(html: Column) -> Column:
 
 
 def json_ld_product(html: Column) -> Column:
-    """(title, brand, ean, mpn, price, currency, availability) of the first product node, at the top or in a graph."""
-    graphs = F.transform(json_ld(html), lambda s: F.coalesce(F.from_json(s, f"struct<`@graph`:array<{_PRODUCT}>>")["@graph"], F.array().cast(f"array<{_PRODUCT}>")))
-    singles = F.transform(json_ld(html), lambda s: F.from_json(s, _PRODUCT))
-    p = F.get(F.filter(F.concat(singles, F.flatten(graphs)), lambda n: n["@type"] == "Product"), F.lit(0))
-    gtin = F.get(F.filter(F.array(*(p[k] for k in ("gtin13", "gtin14", "gtin12", "gtin8", "gtin"))), gtin_valid), F.lit(0))
-    price = parse_decimal(F.coalesce(p["offers"]["price"], p["offers"]["lowPrice"]))
-    stock = F.lower(F.regexp_extract(p["offers"]["availability"], r"([A-Za-z]+)$", 1))
-    known = F.when(stock == "instock", "in_stock").when(stock == "outofstock", "out_of_stock").when(stock == "preorder", "preorder").otherwise(F.nullif(stock, F.lit("")))
-    return F.struct(p["name"].alias("title"), p["brand"]["name"].alias("brand"), gtin.alias("ean"), p["mpn"].alias("mpn"), price.cast("double").alias("price"), F.upper(p["offers"]["priceCurrency"]).alias("currency"), known.alias("availability"))
+    """The fields of the first product in a page's JSON-LD."""
+    return product(json_ld(html))
 
 
 def event_price(html: Column) -> Column:
@@ -95,39 +85,6 @@ def mpn_of(html: Column) -> Column:
     return F.coalesce(json_ld_product(html)["mpn"], F.nullif(F.regexp_extract(html, r"(?iu)(?:mpn|part number|код на производител)[\"'\s:>-]*([\w./-]*\d[\w./-]*)", 1), F.lit("")))
 
 
-#: Containers whose prices aren't the page's own: fixed values.
-NOISE_CONTAINERS = "related|similar|recommend|carousel|cart|mini|upsell|cross"
-
-
-def selector_prices(html: Column) -> Column:
-    """(price, old) at the price and old-price classes outside containers of other products."""
-    own = F.regexp_replace(html, rf"(?is)<div[^>]*class=\"[^\"]*(?:{NOISE_CONTAINERS})[^\"]*\"[^>]*>.*?</div>", "")
-    at = lambda c: parse_decimal(F.nullif(F.regexp_extract(own, rf'(?is)class="{c}"[^>]*>([^<]*)<', 1), F.lit("")))
-    price, old = at("price"), at("old-price")
-    return F.struct(price.alias("price"), F.when(old > price, old).alias("old"))
-
-
-def spec_pairs(html: Column) -> Column:
-    """(label, value) of the rows of specification tables and definition lists, tags stripped."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<(?:th|dt)[^>]*>(.*?)</(?:td|dd)>"), F.lit(1))
-    part = lambda r, k: strip_html(F.regexp_extract(r, r"(?is)^(.*?)</(?:th|dt)>\s*<(?:td|dd)[^>]*>(.*)$", k))
-    return F.transform(rows, lambda r: F.struct(part(r, 1).alias("label"), part(r, 2).alias("value")))
-
-
-def specs(html: Column) -> Column:
-    """Canonical key to value of a page's specifications; the first of each key stays, unknown labels are left out."""
-    known = F.filter(F.transform(spec_pairs(html), lambda p: F.struct(spec_label(p["label"]).alias("key"), p["value"].alias("value"))), lambda p: p["key"].isNotNull() & (p["value"] != ""))
-    keys = F.array_distinct(F.transform(known, lambda p: p["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.get(F.filter(known, lambda p: p["key"] == k), F.lit(0))["value"])))
-
-
-def breadcrumbs(html: Column, title: Column) -> Column:
-    """Texts of the links of the breadcrumb, without home and the product's own title."""
-    trail = F.regexp_extract(html, r'(?is)<(?:nav|ul|ol|div)[^>]*class="[^"]*breadcrumb[^"]*"[^>]*>(.*?)</(?:nav|ul|ol|div)>', 1)
-    names = F.transform(F.regexp_extract_all(trail, F.lit(r"(?is)<a[^>]*>(.*?)</a>"), F.lit(1)), strip_html)
-    return F.filter(names, lambda n: (n != "") & ~F.lower(n).isin("home", "начало") & ~n.eqNullSafe(title))
-
-
 def links(html: Column, base: Column) -> Column:
     """Absolute URLs of all links of a page, in order, each once."""
     found = F.regexp_extract_all(html, F.lit(r'(?is)<a[^>]*href="([^"#][^"]*)"'), F.lit(1))
@@ -139,15 +96,6 @@ def next_page(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r'(?is)<a[^>]*rel="next"[^>]*href="([^"]*)"', 1), F.lit(""))
 
 
-def page_fields(html: Column) -> Column:
-    """(title, price, old, currency, source): the selectors' price in leva before that of JSON-LD, that before the analytics event."""
-    own, ld, event = selector_prices(html), json_ld_product(html), event_price(html)
-    price = F.coalesce(own["price"].cast("double"), ld["price"], event.cast("double"))
-    source = F.when(own["price"].isNotNull(), "css").when(ld["price"].isNotNull(), "json_ld").when(event.isNotNull(), "analytics").otherwise("none")
-    currency = F.when(source == "css", "BGN").when(source == "json_ld", ld["currency"]).when(source == "analytics", "EUR")
-    return F.struct(F.coalesce(ld["title"], title_of(html)).alias("title"), price.alias("price"), own["old"].cast("double").alias("old"), currency.alias("currency"), source.alias("source"))
-
-
 def filled(parsed: Column, found: Column, names: tuple[str, ...]) -> Column:
     """The fields of ``parsed``; what is null or unknown there comes from ``found``."""
     return F.struct(*(F.coalesce(F.when(parsed[n].cast("string") != "unknown", parsed[n]), found[n]).alias(n) for n in names))
@@ -224,11 +172,3 @@ def swatch(html: Column) -> Column:
     label = F.get(F.filter(F.transform(areas, lambda a: size_text(strip_html(F.regexp_extract(a, r"(?is)product-option-label.*?<span[^>]*\bx-text\b[^>]*>(.*?)</span>", 1)))), lambda s: s.isNotNull()), F.lit(0))
     promo = F.get(F.filter(F.slice(one["euro"], F.lit(2), F.greatest(F.size(one["euro"]), F.lit(0))), lambda p: p < price), F.lit(0))
     return F.struct(F.when(one.isNotNull(), one["size"]).otherwise(label).alias("size"), price.alias("price"), promo.alias("promo"), F.when(price.isNotNull(), "EUR").alias("currency"))
-
-
-def site_price(html: Column) -> Column:
-    """(price, old) in leva: the price class, else the least amount in the text; the greatest struck-through amount is the old one if it is above."""
-    own = selector_prices(html)["price"]
-    struck = F.array_max(F.transform(F.regexp_extract_all(html, F.lit(r'(?is)(?:<(?:del|s|strike)\b[^>]*>|class="old-price">)([^<]*)<'), F.lit(1)), parse_decimal))
-    price = own
-    return F.struct(price.alias("price"), F.when(struck > price, struck).alias("old"))

@@ -163,12 +163,6 @@ def ex_variant_self(d: Domain) -> DataFrame:
     return d.feed_items.select("id", markup.own_variant(v, own, F.when(F.col("id") % 3 == 1, 20.0))["sku"].alias("sku"))
 
 
-@query("ex_site_price", "SELECT id, (id + 0.9)::DOUBLE AS price, (id + 10)::DOUBLE AS old FROM shop_pages WHERE id % 5 <> 0")
-def ex_site_price(d: Domain) -> DataFrame:
-    p = markup.site_price(F.col("html"))
-    return d.shop_pages.select("id", p["price"].cast("double").alias("price"), p["old"].cast("double").alias("old")).where("price IS NOT NULL")
-
-
 query("sc_text_blob", "SELECT id, lower(concat_ws(' ', title, brand, model, spec_storage, sku)) AS y FROM offers")(lambda d: d.offers.select("id", M.text_blob(F.col("title"), F.col("brand"), F.col("model"), F.array("spec_storage", "sku")).alias("y")))
 query("sc_color", "SELECT k, CASE n3 WHEN 1 THEN 'red ' || n1 WHEN 2 THEN 'green' END AS color, CASE WHEN n3 = 3 THEN n1 || ' gb' ELSE nullif(regexp_extract(lower(code), '(\\d+)\\s*gb\\s*(ram|ddr)', 1), '') END AS memory FROM cells")(lambda d: d.cells.withColumn("specs", F.expr("map('цвят', CASE WHEN n3 = 1 THEN ' Red ' || n1 END, 'colour', CASE WHEN n3 = 2 THEN 'GREEN' END, 'ram', CASE WHEN n3 = 3 THEN n1 || ' GB' END)")).select("k", codes.color_of(F.col("specs")).alias("color"), codes.memory_of(F.col("specs"), F.col("code")).alias("memory")))
 

@@ -112,6 +112,27 @@ SELECT p_partkey AS id, 'https://shop.example/bg/p/' || CAST(p_partkey AS STRING
   || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '<div class="product-price"><span class="price">' || CAST(p_partkey AS STRING) || ',90 лв.</span><span class="old-price">' || CAST(p_partkey + 10 AS STRING) || ',00 лв.</span></div>' END
   || '<table><tr><th>Цвят:</th><td>red ' || CAST(p_size AS STRING) || '</td></tr><tr><th>Марка</th><td>' || p_brand || '</td></tr><tr><th>друго</th><td>z</td></tr></table><img src="/i/' || CAST(p_partkey AS STRING) || '.jpg"><a href="/bg/p/' || CAST(p_partkey + 1 AS STRING) || '?utm_source=q">next item</a><a rel="next" href="/c/1?page=2">2</a>Sold by: Shop ' || CAST(p_size AS STRING) || '<br>EAN: 5901234123457'
   || CASE WHEN p_partkey % 6 = 0 THEN '<script>gtag("event","view_item",{{items:[{{"price": "' || CAST(p_partkey AS STRING) || '.10","currency":"EUR"}}]}})</script>' ELSE '' END || '</body></html>' AS html
+FROM {part}""",
+    "product_pages": """
+SELECT p_partkey AS id, 'https://shop.example/bg/p/' || CAST(p_partkey AS STRING) || '/' AS url,
+  CASE WHEN p_partkey % 41 = 0 THEN NULL WHEN p_partkey % 43 = 0 THEN ''
+  WHEN p_partkey % 10 = 9 THEN '<html><body><h1>' || p_name || '</h1><p>Цена ' || CAST(p_size + 25 AS STRING) || ',50 лв. преди <b>' || CAST(p_size + 90 AS STRING) || ',00 лв.</b></body></html>' ELSE
+  '<!DOCTYPE html><html><head><title>' || p_name || ' | Shop</title>' || CASE p_partkey % 9
+    WHEN 0 THEN '<script type="application/ld+json">{{"@type":"Product","name":" ' || p_name || '","mpn":"M' || CAST(p_partkey AS STRING) || '","gtin8":"5901234123457","image":["https://cdn.example/a.jpg"],"brand":{{"name":"' || p_brand || '"}},"offers":{{"price":' || CAST(p_partkey AS STRING) || '.50,"priceCurrency":"bgn","availability":"https://schema.org/InStock"}}}}</script>'
+    WHEN 1 THEN '<script type=' || chr(39) || 'application/ld+json' || chr(39) || '>{{"@graph":[{{"@type":"WebPage","mainEntity":{{"@type":"BreadcrumbList","name":"no"}}}},{{"@type":["Thing","Product"],"name":"' || p_name || ' X","brand":"' || p_brand || '","sku":' || CAST(p_partkey AS STRING) || ',"offers":[{{"price":"' || CAST(p_size AS STRING) || ',75","priceCurrency":"EUR","availability":"SoldOut"}},{{"price":1}}]}}]}}</script>'
+    WHEN 2 THEN '<script type="application/ld+json">{{broken</script><script type="application/ld+json">[{{"@type":"WebPage"}},{{"@type":"WebPage","mainEntity":{{"@type":"ProductGroup","name":{{"name":"' || p_name || ' G"}},"brand":[{{"name":"' || p_brand || '"}}],"image":{{"url":"/g.jpg"}},"offers":{{"price":[0,3],"lowPrice":["' || CAST(p_size + 7 AS STRING) || '.2"],"priceCurrency":["eur"],"availability":"http://schema.org/PreOrder"}}}}}}]</script>'
+    WHEN 5 THEN '<meta property="product:price:amount" content="' || CAST(p_size AS STRING) || '.99"><meta property="og:title" content="' || p_name || ' M">'
+    WHEN 7 THEN '<script type="application/ld+json">{{"@type":"ItemList","itemListElement":[{{"@type":"ListItem","position":1}}]}}</script>' ELSE '' END
+  || '</head><body><nav class="breadcrumb"><ul><li><a href="/">Home</a><li><a href="/c/1">' || p_type || '</a><li><a href="#">' || p_name || '</a></ul></nav><h1>' || p_name || ' <small>&amp; co</small></h1>'
+  || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '<div class="related-items"><div class="card"><div><span class="price">1,00 лв.</span></div></div><div class="price">0,99 €</div></div><!--/noise--><a href="/bg/p/other"><span class="price">2,00 лв.</span></a><!--/noise-->' END
+  || CASE p_partkey % 9
+    WHEN 0 THEN '<div class="main"><b class="price">' || CAST(p_partkey AS STRING) || ',90 лв.</b><del>' || CAST(p_partkey + 10 AS STRING) || ',00 лв.</del></div>'
+    WHEN 3 THEN '<div id=p><p>Now<span class=' || chr(39) || 'price' || chr(39) || '>' || CAST(p_size AS STRING) || ',50 €</span><p class="old-price">' || CAST(p_size + 20 AS STRING) || ',00 €<div>In stock</div></div>'
+    WHEN 4 THEN '<div class="price">9,90 лв.</div><script>gtag("event","view_item",{{items:[{{"price": "' || CAST(p_size AS STRING) || '.10"' || CASE WHEN p_size % 2 = 0 THEN ',"currency":"eur"' ELSE '' END || '}}]}})</script>'
+    WHEN 6 THEN '<div class="buy" data-price="' || CAST(p_size + 1 AS STRING) || '.25 EUR"></div><span class="price">77,00 лв.</span><p>EAN: 5901234123457<p>Модел: AB-' || CAST(p_partkey AS STRING)
+    WHEN 8 THEN '<div class="price">5,00 лв.</div><div class="swatch-attribute size"><div class="swatch-attribute-options"><div class="opt"><i>10 ml</i> 1,00 €</div><div class="opt selected"><b>50 мл</b> ' || CAST(p_size + 5 AS STRING) || ',90 € <s>' || CAST(p_size AS STRING) || ',50 €</s></div></div></div>'
+    ELSE '' END
+  || '<table><tr><th>Цвят:</th><td>red <b>' || CAST(p_size AS STRING) || '</b></td></tr><tr><td>друго<td>z</table><dl><dt>Марка<dd>' || p_brand || '</dl><ul class="specification-list"><li>RAM: ' || CAST(p_size AS STRING) || ' GB<li><b>Модел</b> m' || CAST(p_size AS STRING) || '</ul><img class="product-image" src="i/' || CAST(p_partkey AS STRING) || '.jpg"></body></html>' END AS html
 FROM {part}""",
     "variant_pages": """
 SELECT p_partkey AS id, 'https://shop.example/cream/p-' || CAST(p_partkey AS STRING) || '/' AS url,

@@ -57,7 +57,6 @@ CASES = [
     (urls.redirect_target, "https://d.example/l/?uddg=https%3A%2F%2Fa%2Fb", "https://a/b"),
     (fields.error_class, "Timeout 30000ms", "playwright_timeout"),
     (fields.spec_label, "RAM памет", "memory"),
-    (lambda x: F.array_join(markup.breadcrumbs(x, F.lit("T")), ">"), '<nav class="breadcrumb"><a>Home</a><a>A</a><a>T</a></nav>', "A"),
     (lambda x: F.array_join(markup.sitemap_locations(x), " "), '<feed><entry><link href="http://a/1"/></entry></feed>', "http://a/1"),
 ]
 
