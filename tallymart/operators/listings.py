@@ -57,14 +57,6 @@ def without_recent_failures(listings: DataFrame, as_of: str, hours: int) -> Data
     return listings.where(~bad)
 
 
-def search(columns: list[str], text: str) -> Column:
-    """Case-insensitive containment in any of the columns; ``%`` and ``_`` in the text stay wildcards."""
-    out = F.lit(False)
-    for c in columns:
-        out = out | F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False))
-    return out
-
-
 def links(listings: DataFrame, matches: DataFrame, linked_only: bool = False, rejected: bool = False) -> DataFrame:
     """Distinct (product_id, listing_id): direct links and matches."""
     if linked_only:

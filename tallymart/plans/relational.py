@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.operators import health, listings as L, ranking as R, trees, upserts
+from tallymart.operators import health, listings as L, ranking as R, text_search as T, trees, upserts
 from tallymart.plans.registry import query
 from tallymart.sources.adapters import AS_OF, Domain
 
@@ -194,15 +194,20 @@ def flt_visible_price(d: Domain) -> DataFrame:
     return d.products.join(k.select(F.col("product_id").alias("id")), "id", "left_semi").select("id")
 
 
+#: Columns that searches look into.
+CATALOG_TEXTS, LISTING_TEXTS = ("sku", "name", "ean", "brand"), ("title", "url", "sku")
+
+
 @query("flt_search_catalog", "SELECT id FROM products WHERE sku ILIKE '%brand#1%' OR name ILIKE '%brand#1%' OR ean ILIKE '%brand#1%' OR brand ILIKE '%brand#1%'")
 def flt_search_catalog(d: Domain) -> DataFrame:
-    return d.products.where(L.search(["sku", "name", "ean", "brand"], "brand#1")).select("id")
+    return T.search(d.index("products", CATALOG_TEXTS), "brand#1")
 
 
 @query("flt_search_workspace", "SELECT id FROM listings l WHERE title ILIKE '%of shop 1%' OR url ILIKE '%of shop 1%' OR sku ILIKE '%of shop 1%' OR product_id IN (SELECT id FROM products WHERE brand ILIKE '%of shop 1%' OR sku ILIKE '%sku-1%') OR id IN (SELECT listing_id FROM matches WHERE status <> 'rejected' AND product_id IN (SELECT id FROM products WHERE brand ILIKE '%of shop 1%' OR sku ILIKE '%sku-1%'))")
 def flt_search_workspace(d: Domain) -> DataFrame:
-    found = d.products.where(L.search(["brand"], "of shop 1") | L.search(["sku"], "sku-1")).select(F.col("id").alias("product_id"))
-    ids = d.listings.where(L.search(["title", "url", "sku"], "of shop 1")).select("id")
+    catalog = d.index("products", CATALOG_TEXTS)
+    found = T.search(catalog, "of shop 1", ("brand",)).unionByName(T.search(catalog, "sku-1", ("sku",))).select(F.col("id").alias("product_id"))
+    ids = T.search(d.index("listings", LISTING_TEXTS), "of shop 1")
     direct = d.listings.join(found, "product_id", "left_semi").select("id")
     matched = d.matches.where("status <> 'rejected'").join(found, "product_id", "left_semi").select(F.col("listing_id").alias("id"))
     return ids.unionByName(direct).unionByName(matched).distinct()
@@ -210,8 +215,10 @@ def flt_search_workspace(d: Domain) -> DataFrame:
 
 @query("flt_search_export", "SELECT l.id FROM listings l LEFT JOIN products p ON p.id = l.product_id WHERE l.title ILIKE '%shop 2%' OR l.url ILIKE '%shop 2%' OR p.sku ILIKE '%sku-2%' OR p.name ILIKE '%shop 2%'")
 def flt_search_export(d: Domain) -> DataFrame:
-    p = d.products.select(F.col("id").alias("product_id"), F.col("sku").alias("p_sku"), F.col("name").alias("p_name"))
-    return d.listings.join(p, "product_id", "left").where(L.search(["title", "url", "p_name"], "shop 2") | L.search(["p_sku"], "sku-2")).select("id")
+    catalog = d.index("products", CATALOG_TEXTS)
+    products = T.search(catalog, "shop 2", ("name",)).unionByName(T.search(catalog, "sku-2", ("sku",))).select(F.col("id").alias("product_id"))
+    own = T.search(d.index("listings", LISTING_TEXTS), "shop 2", ("title", "url"))
+    return own.unionByName(d.listings.join(products, "product_id", "left_semi").select("id")).distinct()
 
 
 @query("flt_status_confirmed", "SELECT id FROM listings WHERE product_id IS NOT NULL")

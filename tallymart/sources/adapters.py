@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymart.operators.text_search import TextIndex, text_index
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
 
 #: Derivations by table, in order of dependence.
@@ -200,6 +202,7 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str, write: bool = False) -> None:
         self.spark, self.sf_dir, self.write = spark, sf_dir, write
         self._made: dict[str, DataFrame] = {}
+        self._indexes: dict[tuple[str, tuple[str, ...]], TextIndex] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -218,6 +221,12 @@ class Domain:
                 raise AttributeError(name)
         return self._made[name]
 
+    def index(self, table: str, columns: tuple[str, ...]) -> TextIndex:
+        """The posting index of some text columns of a table, written on first use."""
+        if (table, columns) not in self._indexes:
+            self._indexes[table, columns] = text_index(getattr(self, table), "id", columns, f"{scratch(self.spark)}/index-{table}")
+        return self._indexes[table, columns]
+
     @cached_property
     def as_of(self) -> str:
         """The fixed instant that stands for now."""
