@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.urls import path_of
-from tallymart.sources.adapters import kept
+from tallymart.sources.scratch import kept
 
 
 def paths(categories: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ a query and its oracle start from the same rows. ``{name}`` stands for a table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.operators.text_search import TextIndex, text_index
+from tallymart.sources.scratch import kept, scratch
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
 
@@ -167,24 +166,6 @@ FROM {customer}""",
 WRITTEN = ("listings", "matches", "offers")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where a local session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallymart-domain-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/tallymart-domain/{uuid.uuid4().hex[:12]}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back."""
-    path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _domains: dict[tuple[str, str], Domain] = {}
 
 
