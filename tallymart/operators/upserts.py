@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymart.functions.codes import placeholder
 from tallymart.functions.money import parse_decimal
 from tallymart.operators.ranking import first_of
+from tallymart.sources.scratch import kept
 
 REQUIRED = ("ean", "manufacturer_code", "name", "own_price")
 
@@ -104,12 +105,27 @@ def requested(listings: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("request_id", F.when(result == "existing", F.col("listing_id")).alias("listing_id"), result.alias("result"))
 
 
+def below(categories: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id) of all that hangs below ``roots`` (id) at any depth, the roots only where a cycle leads back to them.
+
+    One join a level, each written; a cycle ends when nothing new is met.
+    """
+    tree = categories.select("id", F.col("parent_id").alias("up"))
+    level = kept(tree.join(roots.select(F.col("id").alias("up")), "up", "left_semi").select("id").distinct(), "tree-level")
+    found = level
+    while not level.isEmpty():
+        met = tree.join(level.select(F.col("id").alias("up")), "up", "left_semi").select("id").distinct()
+        level = kept(met.join(found, "id", "left_anti"), "tree-level")
+        found = found.unionByName(level)
+    return found
+
+
 def replaced_tree(categories: DataFrame, new: DataFrame, roots: DataFrame) -> DataFrame:
-    """Categories (id, parent_id, name, level) after the children of ``roots`` (id) and theirs were deleted and ``new`` ones put in."""
-    children = categories.join(roots.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
-    below = categories.join(children.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
-    kept = categories.join(children.unionByName(below), "id", "left_anti")
-    return kept.select("id", "parent_id", "name", "level").unionByName(new.select("id", "parent_id", "name", "level"))
+    """Categories (id, parent_id, name, level) after all that hangs below ``roots`` (id) was deleted and ``new`` ones put in."""
+    roots = roots.select("id").distinct()
+    above = below(categories, roots).unionByName(roots).distinct().select(F.col("id").alias("parent_id"), F.lit(True).alias("gone_"))
+    rest = categories.join(above, "parent_id", "left").join(roots.withColumn("root_", F.lit(True)), "id", "left").where("gone_ IS NULL OR root_")
+    return rest.select("id", "parent_id", "name", "level").unionByName(new.select("id", "parent_id", "name", "level"))
 
 
 def categories_for(requests: DataFrame, categories: DataFrame) -> DataFrame:

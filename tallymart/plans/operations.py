@@ -11,7 +11,10 @@ from tallymart.operators import health, listings as L, matching as M, ranking as
 from tallymart.plans.registry import query
 from tallymart.plans.relational import _BEST_ALL, _CHECKED, _LATEST, _LINKS, _SHOWN, _ROLES, _SORT, _roles, _shown, num
 from tallymart.sources import workbook
-from tallymart.sources.adapters import Domain, scratch
+from tallymart.sources.adapters import Domain
+from tallymart.sources.keyed_table import KeyedTable, newer_wins
+from tallymart.sources.scratch import scratch
+from tallymart.streaming import discovery
 
 # Filters and joins -----------------------------------------------------------
 
@@ -117,10 +120,13 @@ def snk_json(d: Domain) -> DataFrame:
 
 @query("snk_table", f"SELECT coalesce(o.sku, g.sku) AS sku, coalesce(g.name, o.name) AS name, coalesce(g.price::DOUBLE, o.own_price::DOUBLE) AS own_price FROM (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY sku ORDER BY id) AS rn FROM products p) WHERE rn = 1) o FULL JOIN (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY sku ORDER BY row_no DESC) AS rn FROM ({_CHECKED}) c WHERE error IS NULL) WHERE rn = 1) g ON g.sku = o.sku")
 def snk_table(d: Domain) -> DataFrame:
-    """The state of the catalog after an import, written as a table and read again."""
-    path = f"{scratch(d.spark)}/products"
-    upserts.imported(d.products, d.import_rows).select("sku", "name", num("own_price").alias("own_price")).write.parquet(path)
-    return d.spark.read.parquet(path)
+    """The catalog as a table by SKU after an import was merged into the buckets that it touches."""
+    table = KeyedTable(d.spark, f"{scratch(d.spark)}/catalog", "sku string, name string, own_price double", ("sku",))
+    merge = newer_wins(table.key, table.schema)
+    table.merge(R.first_of(d.products, ["sku"], [F.asc("id")]).select("sku", "name", num("own_price").alias("own_price")), merge)
+    good = R.first_of(upserts.checked_rows(d.import_rows).where("error IS NULL"), ["sku"], [F.desc("row_no")])
+    table.merge(good.select("sku", "name", num("price").alias("own_price")), merge)
+    return table.read()
 
 
 @query("src_logfields", "SELECT layer, 'layer=' || layer || ' n=' || count(*) || ' ok=' || count(*) FILTER (WHERE outcome = 'scraped') || ' listings=' || count(DISTINCT listing_id) AS line FROM outcomes GROUP BY layer")
@@ -193,9 +199,42 @@ def st_variant_expand(d: Domain) -> DataFrame:
     return upserts.with_variants(d.listings, v)
 
 
-_FRESH = "SELECT url FROM (SELECT DISTINCT url FROM pages) WHERE url NOT IN (SELECT url FROM listings)"
-query("st_incremental_discovery", f"SELECT url FROM listings UNION SELECT url FROM ({_FRESH})")(lambda d: d.listings.select("url").distinct().unionByName(upserts.undiscovered(d.pages.select("url"), d.listings.select("url"), lambda x: x).select("url")))
-query("up_discovered_products", f"SELECT url, 7 AS category_id FROM ({_FRESH})")(lambda d: upserts.undiscovered(d.pages.select("url"), d.listings.select("url"), lambda x: x).select("url", F.lit(7).alias("category_id")))
+
+
+def _known(d: Domain) -> KeyedTable:
+    """A store that knows the listings, by site and URL."""
+    table = discovery.store(d.spark, f"{scratch(d.spark)}/discovered")
+    discovery.discover(table, d.listings.select(F.col("competitor_id").cast("long").alias("site"), "url", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("category")), 0, "listings")
+    return table
+
+
+def _page_items(pages: DataFrame) -> DataFrame:
+    """Items of site 0 from the URLs of pages, in the category that the path begins with."""
+    first = F.nullif(F.regexp_extract("url", "^https?://[^/?#]+/([^/?#]+)", 1), F.lit(""))
+    return pages.select(F.lit(0).cast("long").alias("site"), "url", F.lit(None).cast("string").alias("code"), first.alias("category"))
+
+
+_DISCOVERED = "SELECT DISTINCT competitor_id::BIGINT AS site, url, {} AS category FROM listings UNION ALL SELECT DISTINCT 0, url, nullif(regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1), '') FROM pages WHERE url IS NOT NULL"
+
+
+@query("st_incremental_discovery", _DISCOVERED.format("NULL"))
+def st_incremental_discovery(d: Domain) -> DataFrame:
+    """The listings known after a stream of page URLs, a file to a micro-batch, has met the store."""
+    table, folder = _known(d), scratch(d.spark)
+    urls_ = d.pages.select("url")
+    urls_.repartition(3).write.parquet(f"{folder}/arrivals")
+    found = d.spark.readStream.schema(urls_.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
+    discovery.discovery_stream(_page_items(found), table, f"{folder}/offsets").awaitTermination()
+    return discovery.listings(table).select("site", "url", "category")
+
+
+@query("up_discovered_products", _DISCOVERED.format("CASE WHEN competitor_id = 3 THEN 'known' END"))
+def up_discovered_products(d: Domain) -> DataFrame:
+    """The listings after a batch of items: new ones with their category, known ones of a site with one that they lacked."""
+    table = _known(d)
+    again = d.listings.where("competitor_id = 3").select(F.col("competitor_id").cast("long").alias("site"), "url", F.lit(None).cast("string").alias("code"), F.lit("known").alias("category"))
+    discovery.discover(table, _page_items(d.pages).unionByName(again), 1)
+    return discovery.listings(table).select("site", "url", "category")
 
 
 @query("up_listing_url", "SELECT r.id AS request_id, CASE WHEN l.competitor_id = r.site THEN l.id END AS listing_id, CASE WHEN l.id IS NULL THEN 'created' WHEN l.competitor_id = r.site THEN 'existing' ELSE 'conflict' END AS result FROM (SELECT id, id % 10 + 1 AS site, 'https://shop' || (id % 7 + 1) || '.example.com/bg/item/' || id || '?utm_source=x' AS url FROM products) r LEFT JOIN (SELECT url, arg_min(competitor_id, id) AS competitor_id, min(id) AS id FROM listings GROUP BY url) l ON l.url = r.url")
@@ -207,7 +246,7 @@ def up_listing_url(d: Domain) -> DataFrame:
 # Categories --------------------------------------------------------------------
 
 
-@query("up_replace_tree", "SELECT id, parent_id, name, level FROM categories WHERE id NOT IN (SELECT id FROM categories WHERE parent_id = 2) AND coalesce(parent_id, -1) NOT IN (SELECT id FROM categories WHERE parent_id = 2) UNION ALL SELECT 900000 + s_suppkey, 2, s_name, 1 FROM supplier")
+@query("up_replace_tree", "WITH RECURSIVE gone AS (SELECT id FROM categories WHERE parent_id = 2 UNION SELECT c.id FROM categories c JOIN gone g ON c.parent_id = g.id) SELECT id, parent_id, name, level FROM categories WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 900000 + s_suppkey, 2, s_name, 1 FROM supplier")
 def up_replace_tree(d: Domain) -> DataFrame:
     new = d.supplier.select((F.col("s_suppkey") + 900000).alias("id"), F.lit(2).alias("parent_id"), F.col("s_name").alias("name"), F.lit(1).alias("level"))
     return upserts.replaced_tree(d.categories, new, d.categories.where("id = 2"))

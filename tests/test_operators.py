@@ -18,6 +18,15 @@ def test_paths_of_deep_trees_cycles_and_orphans(spark):
     assert trees.paths(spark.createDataFrame([], TREE)).count() == 0
 
 
+def test_a_replaced_tree_leaves_no_orphan(spark):
+    rows = [(k, k - 1 if k > 1 else None, f"n{k}", k) for k in range(1, 8)] + [(20, 1, "side", 1), (21, 20, "below it", 2), (30, 31, "a", 0), (31, 30, "b", 0), (None, 3, "null", 3)]
+    tree, new = spark.createDataFrame(rows, TREE), spark.createDataFrame([(90, 2, "new", 2)], TREE)
+    ids = lambda df: sorted(str(r["id"]) for r in df.collect())
+    assert ids(upserts.replaced_tree(tree, new, spark.createDataFrame([(2,)], "id long"))) == sorted("1 2 20 21 30 31 90".split())
+    assert ids(upserts.replaced_tree(tree, new, spark.createDataFrame([(30,), (77,)], "id long"))) == sorted([*map(str, range(1, 8)), "20", "21", "30", "90", "None"])
+    assert upserts.replaced_tree(tree.limit(0), new, spark.createDataFrame([(2,)], "id long")).count() == 1
+
+
 def test_workbook_there_and_back(spark, tmp_path):
     rows = spark.createDataFrame([("a<b", 1.5, None), (None, 2.0, "ж & ü"), ("", None, None)], "name string, price double, note string")
     workbook.write_workbook(rows, f"file://{tmp_path}/x.xlsx", order=[F.col("price").asc_nulls_last()])
