@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymart.functions.codes import gtin_valid, size_text, strip_html, variant_color
 from tallymart.functions.json_ld import product
 from tallymart.functions.money import currency_code, parse_decimal, price_candidates
+from tallymart.functions.urls import is_sitemap
 
 
 def sitemap_locations(body: Column) -> Column:
@@ -23,6 +24,27 @@ def sitemap_locations(body: Column) -> Column:
     )
 
 
+def sitemap_parts(body: Column) -> Column:
+    """(pages, nested): what a sitemap names, sitemaps apart from pages.
+
+    All of an index is nested, and so is what stands in a ``sitemap`` element or
+    looks like a sitemap; feeds name pages only. Anything that isn't XML is read
+    as a list with a URL on each line.
+    """
+    root = F.lower(F.regexp_extract(body, r"(?is)<(?:\w+:)?(urlset|sitemapindex|rss|feed)\b", 1))
+    clean = lambda u: F.replace(F.trim(F.regexp_replace(u, r"(?s)^\s*<!\[CDATA\[|\]\]>\s*$", "")), F.lit("&amp;"), F.lit("&"))
+    locs = lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>\s*(.*?)\s*</(?:\w+:)?loc>"), F.lit(1)), clean)
+    held = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<(?:\w+:)?sitemap\b[^>]*>(.*?)</(?:\w+:)?sitemap>"), F.lit(1)), locs))
+    none = F.array().cast("array<string>")
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda u: F.trim(u)), lambda u: u.rlike("^https?://"))
+    links = F.transform(F.concat(F.regexp_extract_all(body, F.lit(r"(?is)<item\b.*?<link\b[^>]*>\s*(https?://.*?)\s*</link>"), F.lit(1)), F.regexp_extract_all(body, F.lit(r"(?is)<entry\b.*?<link\b[^>]*href=[\"'](https?://[^\"']*)"), F.lit(1))), clean)
+    named = F.when(root.isin("rss", "feed"), none).when(root != "", locs(body)).otherwise(F.coalesce(lines, none))
+    whole = F.filter(F.coalesce(named, none), lambda u: u != "")
+    nests = lambda u: (root == "sitemapindex") | F.array_contains(held, u) | is_sitemap(u)
+    pages = F.when(root.isin("rss", "feed"), links).otherwise(F.filter(whole, lambda u: ~F.coalesce(nests(u), F.lit(False))))
+    return F.struct(F.coalesce(pages, none).alias("pages"), F.filter(whole, lambda u: F.coalesce(nests(u), F.lit(False))).alias("nested"))
+
+
 def is_sitemap_index(xml: Column) -> Column:
     return xml.contains("<sitemapindex")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions import dom, fields, json_ld, markup, urls
-from tallymart.operators import pages, upserts
+from tallymart.operators import frontier, pages, price_pages, upserts
 from tallymart.operators.listings import page_variants
 from tallymart.operators.ranking import first_of
 from tallymart.plans.registry import query
@@ -21,7 +21,17 @@ def over(table: str, name: str, column: str, f, sql: str) -> None:
 
 
 _N = "id::VARCHAR"
-over("sitemaps", "src_sitemap", "body", lambda x: F.array_join(markup.sitemap_locations(x), " "), f"CASE id % 5 WHEN 4 THEN '' ELSE array_to_string(list_transform(regexp_extract_all(regexp_replace(x, '# note', ''), '(https?://[^<\\s]+|/s\\d+\\.xml)', 1), lambda u: trim(u)), ' ') END".replace("regexp_replace(x, '# note', '')", "replace(x, 'http://www.sitemaps.org/schemas/sitemap/0.9', '')"))
+
+
+@query("src_sitemap", r"""WITH RECURSIVE named AS (SELECT url AS at, unnest(CASE WHEN body LIKE '%<rss%' THEN [] WHEN body LIKE '%<loc>%' THEN regexp_extract_all(body, '<loc>\s*(.*?)\s*</loc>', 1) ELSE list_filter(string_split(body, chr(10)), lambda u: u LIKE 'http%') END) AS loc FROM sitemap_files),
+seen AS (SELECT 'https://shop.example/sitemap-1.xml' AS url UNION SELECT n.loc FROM named n JOIN seen s ON n.at = s.url WHERE n.loc LIKE '%sitemap%')
+SELECT url, 'sitemap' AS kind FROM seen UNION SELECT replace(n.loc, '&amp;', '&'), 'page' FROM named n JOIN seen s ON n.at = s.url WHERE n.loc NOT LIKE '%sitemap%'
+UNION SELECT unnest(regexp_extract_all(f.body, '<item>.*?<link>(.*?)</link>', 1)), 'page' FROM sitemap_files f JOIN seen s USING (url) WHERE f.body LIKE '%<rss%'""")
+def src_sitemap(d: Domain) -> DataFrame:
+    """All pages and sitemaps that are reached from the first sitemap of a shop."""
+    return frontier.followed(d.sitemap_files, d.sitemap_files.where("url LIKE '%/sitemap-1.xml'").select("url"))
+
+
 over("shop_pages", "ex_gtag", "html", lambda x: markup.event_price(x).cast("double"), "nullif(regexp_extract(x, 'view_item.*\"price\": \"([\\d.]+)\"', 1), '')::DOUBLE")
 over("shop_pages", "ex_ean", "html", markup.labelled_ean, "regexp_extract(x, 'EAN: (\\d{13})', 1)")
 over("shop_pages", "ex_mpn", "html", markup.mpn_of, "nullif(regexp_extract(x, '\"mpn\":\"(.*?)\"', 1), '')")
@@ -46,10 +56,18 @@ def dd_feed_sku(d: Domain) -> DataFrame:
     return first_of(_entries(d), ["sku"], [F.asc("id"), F.asc("url")]).select("sku", "id")
 
 
-@query("src_graphql", "SELECT (CASE WHEN p < 10 THEN 0 WHEN p < 25 THEN 1 ELSE 2 END)::BIGINT AS bucket, count(*) AS n FROM (SELECT coalesce((item::JSON->>'$.price')::DOUBLE, 0) AS p FROM feed_items) GROUP BY 1")
+_PLACE = "right(repeat('0', 40) || bin(greatest(0, round(coalesce((item::JSON->>'$.price')::DOUBLE, 0) * 100)::BIGINT)), 40) || right(repeat('0', 64) || bin(('0x' || substr(md5(id::VARCHAR), 1, 16))::UBIGINT), 64)"
+
+
+@query("src_graphql", f"""WITH b AS (SELECT id, {_PLACE} AS bits FROM feed_items),
+p AS (SELECT id, d::INT AS depth, substr(bits, 1, d::INT) AS page FROM b, range(0, 105) AS g(d)),
+t AS (SELECT depth, page, count(*) AS page_items FROM p GROUP BY depth, page),
+o AS (SELECT id, min(p.depth) AS depth FROM p JOIN t USING (depth, page) WHERE page_items <= 100 GROUP BY id)
+SELECT o.id, p.page, t.page_items FROM o JOIN p ON p.id = o.id AND p.depth = o.depth JOIN t ON t.depth = p.depth AND t.page = p.page""")
 def src_graphql(d: Domain) -> DataFrame:
-    p = F.coalesce(F.get_json_object("item", "$.price").cast("double"), F.lit(0.0))
-    return d.feed_items.groupBy(F.when(p < 10, 0).when(p < 25, 1).otherwise(2).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    """The page of each feed item when ranges of prices are halved until they fit a page of 100."""
+    items = d.feed_items.select("id", F.get_json_object("item", "$.price").cast("double").alias("price"))
+    return price_pages.price_pages(items, "price", "id", 100).select("id", "page", "page_items")
 
 
 @query("ex_find_in_feed", f"SELECT p.id, min(e.id) AS item_id FROM products p JOIN ({_ENTRIES}) e ON e.url = 'u' || p.id OR e.sku = 'P' || p.id GROUP BY p.id")

@@ -272,6 +272,6 @@ def tr_display_path(d: Domain) -> DataFrame:
 def q_workspace_legacy(d: Domain) -> DataFrame:
     rows = d.listings.where("category_id = 4").select("id")
     ids = rows.select(F.col("id").alias("listing_id"))
-    s = R.latest_price(d.price_snapshots.join(ids, "listing_id", "left_semi")).select(F.col("listing_id").alias("id"), num("price").alias("price"))
+    s = d.latest_prices.join(ids, "listing_id", "left_semi").select(F.col("listing_id").alias("id"), num("price").alias("price"))
     b = R.best_match_legacy(d.matches.join(ids, "listing_id", "left_semi")).select(F.col("listing_id").alias("id"), "status")
     return rows.join(s, "id", "left").join(b, "id", "left")

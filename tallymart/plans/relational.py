@@ -25,7 +25,7 @@ _LINKS = "SELECT product_id, id AS listing_id FROM listings WHERE product_id IS
 
 @query("win_latest_price", f"SELECT listing_id, price::DOUBLE AS price, captured_at FROM ({_LATEST})")
 def win_latest_price(d: Domain) -> DataFrame:
-    return R.latest_price(d.price_snapshots).select("listing_id", num("price").alias("price"), "captured_at")
+    return d.latest_prices.select("listing_id", num("price").alias("price"), "captured_at")
 
 
 @query("win_best_match", f"SELECT listing_id, product_id, status, match_score::DOUBLE AS match_score FROM ({_BEST})")
@@ -80,7 +80,7 @@ def prj_last_checked(d: Domain) -> DataFrame:
 
 @query("prj_listing_price", f"SELECT l.id, coalesce(l.latest_promo_price, l.latest_price, s.promo_price, s.price)::DOUBLE AS price, CASE WHEN coalesce(l.latest_promo_price, l.latest_price) IS NULL THEN s.availability ELSE l.latest_availability END AS availability FROM listings l LEFT JOIN ({_LATEST}) s ON s.listing_id = l.id")
 def prj_listing_price(d: Domain) -> DataFrame:
-    s = R.latest_price(d.price_snapshots).select("listing_id", "promo_price", F.col("price").alias("snap_price"), "availability")
+    s = d.latest_prices.select("listing_id", "promo_price", F.col("price").alias("snap_price"), "availability")
     own = L.effective_price()
     rows = d.listings.join(s, d.listings["id"] == s["listing_id"], "left")
     return rows.select("id", num(F.coalesce(own, "promo_price", "snap_price")).alias("price"), F.when(own.isNull(), F.col("availability")).otherwise(F.col("latest_availability")).alias("availability"))
@@ -88,7 +88,7 @@ def prj_listing_price(d: Domain) -> DataFrame:
 
 @query("prj_snapshot_dto", f"SELECT l.id, CASE WHEN coalesce(l.latest_promo_price, l.latest_price) IS NOT NULL THEN 'listing' WHEN s.listing_id IS NOT NULL THEN 'snapshot' ELSE 'none' END AS source FROM listings l LEFT JOIN ({_LATEST}) s ON s.listing_id = l.id")
 def prj_snapshot_dto(d: Domain) -> DataFrame:
-    s = R.latest_price(d.price_snapshots).select("listing_id")
+    s = d.latest_prices.select("listing_id")
     rows = d.listings.join(s, d.listings["id"] == s["listing_id"], "left")
     return rows.select("id", F.when(L.effective_price().isNotNull(), "listing").when(F.col("listing_id").isNotNull(), "snapshot").otherwise("none").alias("source"))
 
@@ -536,7 +536,7 @@ _DASH = f"SELECT k.product_id, min(coalesce(s.promo_price, s.price))::DOUBLE AS
 
 
 def _dashboard(d: Domain) -> DataFrame:
-    s = R.latest_price(d.price_snapshots).select("listing_id", num(F.coalesce("promo_price", "price")).alias("price"))
+    s = d.latest_prices.select("listing_id", num(F.coalesce("promo_price", "price")).alias("price"))
     return L.links(d.listings, d.matches, rejected=True).join(s, "listing_id").groupBy("product_id").agg(F.min("price").alias("lowest"), F.count("*").alias("n"))
 
 

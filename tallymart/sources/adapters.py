@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymart.operators.latest import advance, latest_table
 from tallymart.operators.text_search import TextIndex, text_index
 from tallymart.sources.scratch import kept, scratch
 
@@ -150,6 +151,15 @@ FROM {part}""",
 SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> http://a/' || CAST(p_partkey AS STRING) || ' </loc></url><url><loc>http://a/2</loc></url></urlset>'
   WHEN 1 THEN '<sitemapindex><sitemap><loc>/s' || CAST(p_partkey AS STRING) || '.xml</loc></sitemap></sitemapindex>' WHEN 2 THEN 'http://a/p' || CAST(p_partkey AS STRING) || chr(10) || '# note' || chr(10) || 'http://a/q'
   WHEN 3 THEN '<rss><channel><item><link>http://a/r' || CAST(p_partkey AS STRING) || '</link></item></channel></rss>' ELSE NULL END AS body
+FROM {part}""",
+    "sitemap_files": """
+SELECT 'https://shop.example/sitemap-' || CAST(p_partkey AS STRING) || '.xml' AS url, CASE p_partkey % 6
+  WHEN 0 THEN NULL
+  WHEN 1 THEN '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc> https://shop.example/sitemap-' || CAST(p_partkey * 2 AS STRING) || '.xml</loc></sitemap><sitemap><loc>https://shop.example/sitemap-' || CAST(p_partkey * 2 + 1 AS STRING) || '.xml</loc></sitemap><sitemap><loc>https://shop.example/sitemap-1.xml</loc></sitemap></sitemapindex>'
+  WHEN 2 THEN '<urlset><url><loc>https://shop.example/p/' || CAST(p_partkey AS STRING) || '?a=1&amp;b=2</loc></url><url><loc>https://shop.example/sitemap-' || CAST(p_partkey * 2 AS STRING) || '.xml</loc></url><url><loc>https://shop.example/sitemap-' || CAST(p_partkey * 2 + 1 AS STRING) || '.xml</loc></url></urlset>'
+  WHEN 3 THEN 'https://shop.example/p/' || CAST(p_partkey AS STRING) || chr(10) || '# note' || chr(10) || 'https://shop.example/sitemap-' || CAST(p_partkey * 2 AS STRING) || '.xml' || chr(10) || 'https://shop.example/sitemap-' || CAST(p_partkey * 2 + 1 AS STRING) || '.xml'
+  WHEN 4 THEN '<rss><channel><link>https://shop.example/</link><item><title>x</title><link>https://shop.example/r/' || CAST(p_partkey AS STRING) || '</link></item></channel></rss>'
+  ELSE '<urlset><url><loc>https://shop.example/p/' || CAST(p_partkey AS STRING) || '</loc></url></urlset>' END AS body
 FROM {part}""",
     "import_rows": """
 SELECT CAST(c_custkey % 7 AS INT) AS batch_id, c_custkey AS row_no,
@@ -202,6 +212,13 @@ class Domain:
                 raise AttributeError(name)
         return self._made[name]
 
+    @cached_property
+    def latest_prices(self) -> DataFrame:
+        """The latest snapshot of each listing, from a kept table that is brought up to date on first use."""
+        table = latest_table(self.price_snapshots, f"{scratch(self.spark)}/latest")
+        advance(table, self.price_snapshots)
+        return table.read()
+
     def index(self, table: str, columns: tuple[str, ...]) -> TextIndex:
         """The posting index of some text columns of a table, written on first use."""
         if (table, columns) not in self._indexes:

@@ -71,11 +71,12 @@ class KeyedTable:
         # at most as many numbers as there are buckets
         return sorted(str(r[0]) for r in rows.select(self.bucket().alias(_BUCKET)).distinct().collect())
 
-    def merge(self, changes: DataFrame, combine: Combine, source: str = "", batch: int | None = None) -> bool:
+    def merge(self, changes: DataFrame, combine: Combine, source: str = "", batch: int | None = None, marks: dict[str, int] | None = None) -> bool:
         """Replace the touched buckets by ``combine(old rows of them, changes)``; False if ``batch`` of ``source`` was applied before.
 
         ``combine`` keeps keys in their bucket and returns the table's columns,
         each key once. Changes with a null in the key are rows like others.
+        ``marks`` are numbers that the manifest keeps, a watermark for example.
         """
         start = self.version()
         now = self.manifest(start)
@@ -97,7 +98,7 @@ class KeyedTable:
                     folders[b] = f"{run}/{_BUCKET}={b}"
         if batch is not None:
             done = {**done, source: batch}
-        self._commit(start + 1, {"count": self.buckets, "folders": folders, "done": done})
+        self._commit(start + 1, {"count": self.buckets, "folders": folders, "done": done, "marks": now.get("marks", {}) | (marks or {})})
         return True
 
     def _commit(self, version: int, said: dict) -> None:
