@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymart.operators import health, listings as L, ranking as R, text_search as T, trees, upserts
 from tallymart.plans.registry import query
-from tallymart.sources.adapters import AS_OF, Domain
+from tallymart.sources.adapters import AS_OF, INDEXED, Domain
 
 
 def num(c: str | Column) -> Column:
@@ -195,7 +195,7 @@ def flt_visible_price(d: Domain) -> DataFrame:
 
 
 #: Columns that searches look into.
-CATALOG_TEXTS, LISTING_TEXTS = ("sku", "name", "ean", "brand"), ("title", "url", "sku")
+CATALOG_TEXTS, LISTING_TEXTS = INDEXED["products"], INDEXED["listings"]
 
 
 @query("flt_search_catalog", "SELECT id FROM products WHERE sku ILIKE '%brand#1%' OR name ILIKE '%brand#1%' OR ean ILIKE '%brand#1%' OR brand ILIKE '%brand#1%'")

@@ -176,6 +176,9 @@ FROM {customer}""",
 WRITTEN = ("listings", "matches", "offers")
 
 
+#: Text columns that searches look into.
+INDEXED = {"products": ("sku", "name", "ean", "brand"), "listings": ("title", "url", "sku")}
+
 _domains: dict[tuple[str, str], Domain] = {}
 
 
@@ -219,6 +222,14 @@ class Domain:
         advance(table, self.price_snapshots)
         return table.read()
 
+    def prepare(self) -> None:
+        """Write what queries share: the tables of ``WRITTEN``, the latest prices and the posting indexes."""
+        for name in WRITTEN:
+            getattr(self, name)
+        _ = self.latest_prices
+        for table, columns in INDEXED.items():
+            self.index(table, columns)
+
     def index(self, table: str, columns: tuple[str, ...]) -> TextIndex:
         """The posting index of some text columns of a table, written on first use."""
         if (table, columns) not in self._indexes:
