@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.codes import placeholder
+from tallymart.functions.codes import cell_code, placeholder
 from tallymart.functions.money import parse_decimal
 from tallymart.operators.ranking import first_of
 from tallymart.sources.scratch import kept
@@ -31,6 +31,28 @@ def imported(products: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("sku", F.coalesce("name", "old_name").alias("name"), F.coalesce("ean", "old_ean").alias("ean"), F.coalesce("own_price", "old_price").alias("own_price"), action.alias("action"))
 
 
+#: Fields of a product that an import sets.
+FIELDS = ("name", "ean", "brand", "category", "manufacturer_code", "model", "own_price", "product_url", "image_url", "description", "variant", "color", "size", "storage", "memory", "supplier_sku")
+
+
+def product_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a sheet with ``sku``, the fields cleaned, the price as a number, and ``error``: what a row lacks or has wrong, null if it is good.
+
+    The SKU falls back on the supplier's and then on the EAN. An error of the
+    reader stays; a row with an error is given with what it has.
+    """
+    texts = [c for c in FIELDS if c != "own_price"]
+    codes = ("ean", "manufacturer_code", "supplier_sku", "model")
+    clean = rows.withColumns({c: cell_code(F.col(c)) if c in codes else placeholder(F.col(c)) for c in texts})
+    lacks = [F.when(F.col(c).isNull(), F.lit(f"{c} is required")) for c in ("ean", "manufacturer_code", "name")]
+    price = parse_decimal(placeholder(F.col("own_price")))
+    blank = F.trim(F.coalesce("own_price", F.lit(""))) == ""
+    wrong = F.when(price.isNull(), F.when(blank, "own_price is required").otherwise(F.concat(F.lit("Invalid own_price: "), F.col("own_price"))))
+    error = F.coalesce(F.col("error"), F.nullif(F.concat_ws("; ", *lacks), F.lit("")), wrong)
+    sku = F.coalesce(placeholder(F.col("sku")), F.col("supplier_sku"), F.col("ean"))
+    return clean.select("file", "row_no", error.alias("error"), sku.alias("sku"), *texts, price.alias("own_price"))
+
+
 def confirmed(matches: DataFrame, listings: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches and listings after the (listing_id, product_id) pairs were confirmed."""
     hit = pairs.select("listing_id", "product_id", F.lit(True).alias("hit"))

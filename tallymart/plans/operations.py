@@ -10,7 +10,7 @@ from tallymart.functions import codes, fields, markup, urls
 from tallymart.operators import health, listings as L, matching as M, ranking as R, trees, upserts
 from tallymart.plans.registry import query
 from tallymart.plans.relational import _BEST_ALL, _CHECKED, _LATEST, _LINKS, _SHOWN, _ROLES, _SORT, _roles, _shown, num
-from tallymart.sources import workbook
+from tallymart.sources import workbook, xlsx_source
 from tallymart.sources.adapters import Domain
 from tallymart.sources.keyed_table import KeyedTable, newer_wins
 from tallymart.sources.scratch import scratch
@@ -107,6 +107,21 @@ def snk_xlsx(d: Domain) -> DataFrame:
     return found.select("row_no", "competitor", "url", "matched_sku", F.lit(len(names)).alias("n_columns"))
 
 
+_CLEAN = "CASE WHEN lower(trim({0})) IN ('', '-', 'n/a') THEN NULL ELSE trim({0}) END"
+_SHEETS = f"""SELECT batch_id || '.xlsx' AS file, (row_number() OVER (PARTITION BY batch_id ORDER BY row_no) + 1)::BIGINT AS row_no, {', '.join(f"{_CLEAN.format(c)} AS {c}" for c in ('ean', 'manufacturer_code', 'name', 'brand', 'color', 'sku'))}, regexp_replace(model, '[.]0+$', '') AS model, own_price AS said, TRY_CAST(replace(own_price, ',', '.') AS DOUBLE) AS own_price FROM import_rows"""
+
+
+@query("src_xlsx", f"""SELECT file, row_no, coalesce(nullif(concat_ws('; ', CASE WHEN ean IS NULL THEN 'ean is required' END, CASE WHEN manufacturer_code IS NULL THEN 'manufacturer_code is required' END, CASE WHEN name IS NULL THEN 'name is required' END), ''), CASE WHEN own_price IS NULL THEN 'Invalid own_price: ' || said END) AS error,
+  coalesce(sku, ean) AS sku, name, ean, brand, manufacturer_code, model, color, own_price FROM ({_SHEETS})""")
+def src_xlsx(d: Domain) -> DataFrame:
+    """The rows of imported workbooks, one for each batch, written and read as files."""
+    folder = f"{scratch(d.spark)}/imports"
+    headers = {"brand": "Brand", "ean": " EAN", "manufacturer_code": "Manufacturer  Code", "name": "name", "sku": "SKU", "row_no": "Ignored", "own_price": "Own Price", "model": "MODEL", "color": "Color"}
+    xlsx_source.write_products(d.import_rows, "batch_id", "row_no", headers, folder).collect()  # a row for each file
+    rows = upserts.product_rows(xlsx_source.read_products(d.spark, folder))
+    return rows.select("file", F.col("row_no").cast("long").alias("row_no"), "error", "sku", "name", "ean", "brand", "manufacturer_code", "model", "color", num("own_price").alias("own_price"))
+
+
 @query("snk_json", "SELECT (SELECT count(*) FROM products) AS total, 75 AS \"limit\", 75 AS \"offset\", (SELECT count(*) FROM products) > 150 AS has_more, string_agg(id::VARCHAR, ',' ORDER BY name, id) AS ids FROM (SELECT id, name FROM products ORDER BY name, id LIMIT 75 OFFSET 75)")
 def snk_json(d: Domain) -> DataFrame:
     """A page as one JSON document, read again."""

@@ -610,11 +610,6 @@ _CLEAN = "CASE WHEN lower(trim({0})) IN ('', '-', '--', '—', '–', '.', 'n/a'
 _CHECKED = f"SELECT row_no, batch_id, ean, manufacturer_code, name, coalesce(sku, ean) AS sku, CASE WHEN op = '12,50' THEN 12.5 WHEN op = '99.9' THEN 99.9 END AS price, CASE WHEN ean IS NULL THEN 'missing ean' WHEN manufacturer_code IS NULL THEN 'missing manufacturer_code' WHEN name IS NULL THEN 'missing name' WHEN op IS NULL THEN 'missing own_price' WHEN op = 'abc' THEN 'bad own_price' END AS error FROM (SELECT row_no, batch_id, {_CLEAN.format('ean')} AS ean, {_CLEAN.format('manufacturer_code')} AS manufacturer_code, {_CLEAN.format('name')} AS name, {_CLEAN.format('own_price')} AS op, {_CLEAN.format('sku')} AS sku FROM import_rows)"
 
 
-@query("src_xlsx", f"SELECT row_no, sku, error, price::DOUBLE AS price FROM ({_CHECKED})")
-def src_xlsx(d: Domain) -> DataFrame:
-    return upserts.checked_rows(d.import_rows).select("row_no", "sku", "error", num("price").alias("price"))
-
-
 @query("up_import", f"SELECT coalesce(o.sku, g.sku) AS sku, coalesce(g.name, o.name) AS name, CASE WHEN g.sku IS NULL THEN 'kept' WHEN o.sku IS NULL THEN 'inserted' ELSE 'updated' END AS action, coalesce(g.price::DOUBLE, o.own_price::DOUBLE) AS own_price FROM (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY sku ORDER BY id) AS rn FROM products p) WHERE rn = 1) o FULL JOIN (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY sku ORDER BY row_no DESC) AS rn FROM ({_CHECKED}) c WHERE error IS NULL) WHERE rn = 1) g ON g.sku = o.sku")
 def up_import(d: Domain) -> DataFrame:
     return upserts.imported(d.products, d.import_rows).select("sku", "name", "action", num("own_price").alias("own_price"))

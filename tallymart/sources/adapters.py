@@ -167,7 +167,8 @@ SELECT CAST(c_custkey % 7 AS INT) AS batch_id, c_custkey AS row_no,
        CASE WHEN c_custkey % 11 = 0 THEN 'n/a' ELSE 'MC-' || CAST(c_custkey AS STRING) END AS manufacturer_code,
        CASE WHEN c_custkey % 13 = 0 THEN '  ' ELSE c_name END AS name,
        CASE WHEN c_custkey % 17 = 0 THEN 'abc' WHEN c_custkey % 5 = 0 THEN '12,50' ELSE '99.9' END AS own_price,
-       CASE WHEN c_custkey % 2 = 0 THEN 'SKU-' || CAST(c_custkey % 300 AS STRING) ELSE NULL END AS sku
+       CASE WHEN c_custkey % 2 = 0 THEN 'SKU-' || CAST(c_custkey % 300 AS STRING) ELSE NULL END AS sku,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE ' ' || c_mktsegment END AS brand, CASE WHEN c_custkey % 3 = 0 THEN 'Red' ELSE NULL END AS color, CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey AS STRING) || '.0' ELSE NULL END AS model
 FROM {customer}""",
 }
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import codes, fields, markup, money, urls
 from tallymart.operators import health, listings as L, trees, upserts
-from tallymart.sources import workbook
+from tallymart.sources import workbook, xlsx_source
 
 TREE = "id long, parent_id long, name string, level int"
 
@@ -35,6 +35,26 @@ def test_workbook_there_and_back(spark, tmp_path):
     assert got == [(2, "a<b", "1.5", None), (3, None, "2.0", "ж & ü")]
 
 
+def test_workbooks_as_a_source(spark, tmp_path):
+    sheets = {
+        "good": [["Name", None, "ean ", "OWN PRICE", "Manufacturer Code", "Supplier SKU", "Image URL", "name"], ["a", "x", "5901234123457", 12.5, "M1", 77.0, "http://i", "second"], [None, " "], ["b", None, None, "abc", "-"], ["c", "x", "1", None, "M2"], ["d", "x", "1", "abc", "M2"]],
+        "lacks": [["name", "ean"], ["a", "b"]],
+        "empty": [],
+    }
+    (tmp_path / "w").mkdir()
+    for name, rows in sheets.items():
+        (tmp_path / "w" / f"{name}.xlsx").write_bytes(workbook.workbook(iter(rows)))
+    (tmp_path / "w" / "note.txt").write_text("x")
+    found = xlsx_source.read_products(spark, f"file://{tmp_path}/w")
+    got = {(r["file"], r["row_no"]): r for r in upserts.product_rows(found).collect()}
+    good = got["good.xlsx", 2]
+    assert (good["name"], good["sku"], good["supplier_sku"], float(good["own_price"]), good["image_url"], good["error"]) == ("a", "77", "77", 12.5, "http://i", None)
+    assert {k: r["error"] for k, r in got.items() if r["error"]} == {
+        ("good.xlsx", 3): "Empty row skipped", ("good.xlsx", 4): "ean is required; manufacturer_code is required", ("good.xlsx", 5): "own_price is required", ("good.xlsx", 6): "Invalid own_price: abc",
+        ("lacks.xlsx", 1): "Missing required columns: manufacturer_code, own_price", ("empty.xlsx", 1): "Worksheet is empty",
+    }
+
+
 def test_breaker_needs_a_run(spark):
     rows = [(k, 1, f"2024-01-01 00:00:{k:02}", "x" if k not in (3, 7) else None) for k in range(12)]
     got = health.breaker(spark.createDataFrame(rows, "event_id long, listing_id long, captured_at string, error_code string"), ("x",), 3).collect()
