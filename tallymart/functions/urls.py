@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
 TRACKING_PREFIXES = ("utm_", "mc_")
 TRACKING = ("fbclid", "gclid", "ref", "source", "campaign", "affiliate")
+STATIC_ENDINGS = ("css", "gif", "ico", "jpeg", "jpg", "js", "json", "pdf", "png", "svg", "webp", "xml", "zip")
 LISTING_STATE = ("page", "p", "per_page", "limit", "offset", "start", "sort", "sort_by", "sortby", "orderby", "order", "dir", "view")
 
 
@@ -52,10 +53,10 @@ def path_of(x: Column) -> Column:
 
 def product_url(x: Column) -> Column:
     """A canonical product URL: http(s), lower-case host, no final slash, no tracking or listing state, no fragment; null for other schemes and static files."""
-    scheme, host = F.lower(F.regexp_extract(x, r"^(https?)://", 1)), F.lower(F.regexp_extract(x, r"^https?://([^/?#]*)", 1))
+    scheme, host = F.lower(F.regexp_extract(x, r"(?i)^(https?)://", 1)), F.lower(F.regexp_extract(x, r"(?i)^https?://([^/?#]*)", 1))
     path = F.regexp_replace(path_of(x), "/+$", "")
     query = strip_query(query_of(x))
-    static = path.rlike(r"(?i)\.(?:css|js|png|jpe?g|gif|svg|webp|ico|pdf|zip|mp4|woff2?)$")
+    static = path.rlike(r"(?i)\.(?:" + "|".join(STATIC_ENDINGS) + ")$")
     return F.when((host != "") & ~static, F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
@@ -98,8 +99,6 @@ def sku_of_slug(x: Column) -> Column:
 
 
 # Fixed values.
-NOT_PRODUCTS = r"/(?:cart|checkout|login|account|search|blog|sitemap[^/]*|[^/]*\.(?:css|js|png|jpg|xml))(?:/|$)"
-LISTING_HINTS = r"/(?:c|category|categories|catalog|collections|shop)(?:/|$)"
 NOT_CATEGORIES = r"/(?:p|cart|login|search|blog|help)(?:/|$)"
 
 
@@ -108,18 +107,6 @@ def segments(x: Column) -> Column:
     return F.filter(F.split(path_of(x), "/"), lambda s: s != "")
 
 
-def is_product_url(x: Column) -> Column:
-    """Whether a URL looks like that of a product: ``/p/`` and digits, or a slug that ends in digits, below no excluded segment."""
-    path = path_of(x)
-    return F.coalesce(x.rlike("^https?://") & ~F.lower(path).rlike(NOT_PRODUCTS) & (path.rlike(r"/p/\d+") | path.rlike(r"[^/]*[a-z][^/]*-\d+/?$")), F.lit(False))
-
-
-def is_listing_url(x: Column) -> Column:
-    """Whether a URL looks like that of a listing page: a category hint, or at most two segments."""
-    path = path_of(x)
-    return F.coalesce(x.rlike("^https?://") & ~path.rlike(r"/p/\d+") & (F.lower(path).rlike(LISTING_HINTS) | (F.size(segments(x)) <= 2)), F.lit(False))
-
-
 def is_category_candidate(x: Column) -> Column:
     """Whether a URL below ``/bg/`` may be a category: one to three segments more, none of them excluded."""
     path = path_of(x)
@@ -152,8 +139,3 @@ def slug_display(x: Column) -> Column:
 def feed_url(canonical: Column, key: Column, base: Column) -> Column:
     """The canonical URL of a feed item, else its key below the shop's base."""
     return F.coalesce(F.nullif(canonical, F.lit("")), F.concat(F.regexp_replace(base, "/+$", "/"), key))
-
-
-def found(rows: DataFrame) -> DataFrame:
-    """Distinct URLs that look like products of their site."""
-    return rows.where(is_product_url(F.col("url"))).select("url").distinct()

@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from tallymart.plans import extraction, matching, operations, relational, scalars  # noqa: F401  registers
+from tallymart.plans import extraction, links, matching, operations, relational, scalars  # noqa: F401  registers
 from tallymart.plans.registry import ORACLES, queries
 
 

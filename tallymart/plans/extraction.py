@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions import dom, fields, json_ld, markup, urls
+from tallymart.functions import dom, fields, json_ld, markup, product_urls, urls
 from tallymart.operators import frontier, pages, price_pages, upserts
 from tallymart.operators.listings import page_variants
 from tallymart.operators.ranking import first_of
@@ -36,7 +36,8 @@ over("shop_pages", "ex_gtag", "html", lambda x: markup.event_price(x).cast("doub
 over("shop_pages", "ex_ean", "html", markup.labelled_ean, "regexp_extract(x, 'EAN: (\\d{13})', 1)")
 over("shop_pages", "ex_mpn", "html", markup.mpn_of, "nullif(regexp_extract(x, '\"mpn\":\"(.*?)\"', 1), '')")
 over("shop_pages", "ex_seller", "html", markup.seller, "regexp_extract(x, 'Sold by: ([^<]*)<', 1)")
-over("shop_pages", "ex_links", "html", lambda x: F.concat_ws(" ", F.array_join(F.filter(F.transform(markup.links(x, F.col("url")), urls.product_url), urls.is_product_url), " "), markup.next_page(x)), f"'https://shop.example/bg/p/' || (id + 1)::VARCHAR || ' /c/1?page=2'")
+_FOUND = "list_filter(list_distinct(list_transform(regexp_extract_all(x, '<a [^>]*href=\"(/[^\"#?]*)', 1), lambda h: 'https://shop.example' || h)), lambda u: regexp_matches(u, '/p/[0-9]{3,}$'))"
+over("shop_pages", "ex_links", "html", lambda x: F.concat_ws(" ", F.array_join(F.filter(F.transform(markup.links(x, F.col("url")), urls.product_url), product_urls.is_dynamic_product), " "), markup.next_page(x)), f"array_to_string({_FOUND}, ' ') || ' ' || regexp_extract(x, '<a rel=\"next\" href=\"([^\"]*)', 1)")
 over("shop_pages", "ex_jsonld_merge", "html", lambda x: F.to_json(markup.filled(F.struct(F.lit("unknown").alias("availability"), F.lit(None).cast("string").alias("brand"), markup.title_of(x).alias("title")), markup.json_ld_product(x), ("availability", "brand", "title"))), "CASE WHEN contains(x, 'ld+json') THEN '{\"availability\":\"in_stock\",\"brand\":\"' || regexp_extract(x, '\"brand\":\\{\"name\":\"(.*?)\"', 1) || '\",' ELSE '{' END || '\"title\":\"' || regexp_extract(x, '<h1>(.*?)</h1>', 1) || '\"}'")
 
 _BARCODE = f"CASE WHEN id % 2 = 0 THEN {_N} ELSE {_N} END"

@@ -173,7 +173,6 @@ for _name in ("src_occ", "ex_js_payload"):
 
 query("ex_json_urls", "SELECT id, 'u' || id AS url FROM feed_items")(lambda d: d.feed_items.select("id", F.explode(markup.json_urls(F.col("item"))).alias("url")))
 query("ex_feed_url", "SELECT id, CASE WHEN id % 4 = 0 THEN 'https://c.example/' || id ELSE 'https://shop.example/u' || id END AS url FROM feed_items")(lambda d: d.feed_items.select("id", urls.feed_url(F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://c.example/"), F.col("id").cast("string"))), F.get_json_object("item", "$.url_key"), F.lit("https://shop.example/")).alias("url")))
-query("ex_found_filter", "SELECT DISTINCT url FROM cells WHERE (url LIKE '%/p/%' AND contains(url, 'www.Shop')) OR regexp_matches(url, '^https://shop\\.bg/.*[a-z][^/?]*-\\d+/?([?].*)?$')")(lambda d: urls.found(d.cells.select("url")))
 query("ex_diag_merge", "SELECT layer, max(event_id) AS pages, count(*) AS queries, array_to_string(list_sort(list_distinct(list(error_code) FILTER (WHERE error_code IS NOT NULL))), ';') AS errors FROM outcomes GROUP BY layer")(lambda d: d.outcomes.groupBy("layer").agg(F.max("event_id").alias("pages"), F.count("*").alias("queries"), F.array_join(F.array_sort(F.collect_set("error_code")), ";").alias("errors")))
 
 

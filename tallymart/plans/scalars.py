@@ -77,7 +77,7 @@ _KEPT = _kept(_QUERY, _STATE)
 _DEDUPE = f"{_SHORT} || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
 scalar("sc_domain", "url", urls.domain, _HOST)
 scalar("sc_norm_url", "url", urls.full_url, "CASE WHEN x IS NULL THEN '' WHEN x = '' OR contains(x, '://') THEN x ELSE 'https://' || x END")
-scalar("sc_generic_product_url", "url", urls.product_url, f"CASE WHEN regexp_matches(x, '^https?://[^/?#]') AND NOT regexp_matches({_SHORT}, '(?i)\\.css$') THEN lower(regexp_extract(x, '^(https?://[^/?#]*)', 1)) || {_DEDUPE} END")
+scalar("sc_generic_product_url", "url", urls.product_url, f"CASE WHEN regexp_matches(x, '^https?://[^/?#]') AND NOT regexp_matches({_SHORT}, '(?i)\\.(css|xml)$') THEN lower(regexp_extract(x, '^(https?://[^/?#]*)', 1)) || {_DEDUPE} END")
 scalar("sc_strip_query", "substring(url, instr(url, '?') + 1)", urls.strip_query, _kept("x", _STATE))
 scalar("sc_tech_query", "substring(url, instr(url, '?') + 1)", urls.strip_tracking, _kept("x", _TRACKING))
 scalar("sc_dedupe_key", "url", urls.dedupe_key, _DEDUPE)
@@ -86,8 +86,6 @@ scalar("sc_match_key_bulk", "url", urls.match_key, f"CASE WHEN x IS NOT NULL THE
 scalar("sc_tech_url", "url", urls.product_code, "nullif(regexp_extract(x, '/p/(\\d+)', 1), '')")
 scalar("sc_locale", "url", urls.locale_of, f"nullif(regexp_extract({_PATH}, '^/(bg|en)(?:/|$)', 1), '')")
 scalar("sc_sitemap_url", "url", urls.is_sitemap, f"regexp_matches(lower({_PATH}), '\\.xml(\\.gz)?$') OR contains(lower({_PATH}), 'sitemap')")
-scalar("sc_is_product_url", "url", urls.is_product_url, f"coalesce(regexp_matches(x, '^https?://') AND NOT regexp_matches(lower({_PATH}), '/(cart|checkout|login|account|search|blog|sitemap[^/]*|[^/]*\\.(css|js|png|jpg|xml))(/|$)') AND (regexp_matches({_PATH}, '/p/\\d+') OR regexp_matches({_PATH}, '[^/]*[a-z][^/]*-\\d+/?$')), false)")
-scalar("sc_is_listing_url", "url", urls.is_listing_url, f"coalesce(regexp_matches(x, '^https?://') AND NOT regexp_matches({_PATH}, '/p/\\d+') AND (regexp_matches(lower({_PATH}), '/(c|category|categories|catalog|collections|shop)(/|$)') OR len(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')) <= 2), false)")
 scalar("sc_category_candidate", "url", urls.is_category_candidate, f"coalesce(regexp_matches({_PATH}, '^/bg/') AND NOT regexp_matches(lower({_PATH}), '/(p|cart|login|search|blog|help)(/|$)') AND len(list_filter(string_split({_PATH}, '/'), lambda p: p <> '')) BETWEEN 2 AND 4, false)")
 scalar("sc_search_redirect", "'https://find.example/l/?a=1&uddg=https%3A%2F%2Fshop.bg%2Fp%2F' || CAST(n2 AS STRING) || '&rut=3'", urls.redirect_target, "'https://shop.bg/p/' || regexp_extract(x, 'Fp%2F(\\d+)', 1)")
 scalar("sc_term_match", "url", lambda x: urls.has_term(x, F.lit("red laptops of")), "coalesce(contains(lower(x), 'red') OR contains(lower(x), 'laptops'), false)")

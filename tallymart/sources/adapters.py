@@ -106,6 +106,19 @@ SELECT l_orderkey * 10 + l_linenumber AS k,
   CASE l_suppkey % 5 WHEN 0 THEN 'inStock' WHEN 1 THEN 'outOfStock' WHEN 2 THEN 'lowStock' WHEN 3 THEN 'Weird' ELSE NULL END AS stock_code,
   l_suppkey AS n1, l_partkey AS n2, l_linenumber AS n3, l_quantity AS q, l_extendedprice AS price, l_shipdate AS at
 FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'x-Y' ELSE 'Z_9' END AS l_shipmode_like FROM {lineitem}) s""",
+    "links": """
+SELECT p_partkey AS id, site, channel, CASE p_partkey % 29
+  WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'https://' || site || '/' WHEN 3 THEN 'https://www.' || site || '/bg/p/' || CAST(p_partkey AS STRING) || '?utm_source=a'
+  WHEN 4 THEN 'https://' || site || '/brand/' || word || '-product-1000' WHEN 5 THEN 'https://' || site || '/' || slug || '-' || CAST(p_size AS STRING) || 'ml'
+  WHEN 6 THEN 'https://' || site || '/' || slug || '.jpg' WHEN 7 THEN 'https://' || site || '/obschi-uslovija-' || slug || '-12-2025' WHEN 8 THEN 'https://' || site || '/c/' || word || '?sku=' || CAST(p_partkey AS STRING) || '&page=2'
+  WHEN 9 THEN 'https://' || site || '/bg/home/' || slug || '-for-the-whole-family' WHEN 10 THEN 'https://' || site || '/bg/home/' || slug || '-for-the-whole-family?a=1' WHEN 11 THEN 'https://' || site || '/oferti/' || slug || '-x1'
+  WHEN 12 THEN 'https://' || site || '/items/' || word || '-red-blue' WHEN 13 THEN 'https://' || site || '/items/' || word WHEN 14 THEN 'https://' || site || '/cats/pazeli-nad-3-godini' WHEN 15 THEN 'https://other.example/p/' || CAST(p_partkey + 1000 AS STRING)
+  WHEN 16 THEN 'https://' || site || '/en/deep/' || word || '-box-' || CAST(p_partkey + 100 AS STRING) WHEN 17 THEN 'https://' || site || '/brands/' || word WHEN 18 THEN 'https://' || site || '/search?q=' || word WHEN 19 THEN 'HTTPS://' || upper(site) || '/Products/' || CAST(p_partkey + 100 AS STRING) || '/#top'
+  WHEN 20 THEN 'https://' || site || '/sale/summer-black-friday' WHEN 21 THEN 'https://' || site || '/продукти/' || word || '-' || CAST(p_size AS STRING) || '-цвят-червен' WHEN 22 THEN site || '/p/' || CAST(p_partkey + 100 AS STRING) WHEN 23 THEN 'https://' || site || '/p/' || word || '-brand'
+  WHEN 24 THEN 'https://' || site || '/a/b/productsegment_' || word || '-x-1234' WHEN 25 THEN 'https://' || site || '/sbf-' || word || '-sets-20' WHEN 26 THEN 'https://' || site || '/offer/promo-' || CAST(p_partkey + 100 AS STRING) WHEN 27 THEN 'https://' || site || '/store/x;v=1?pid='
+  ELSE 'https://' || site || '/product/' || CAST(p_partkey % 500 + 500 AS STRING) END AS url
+FROM (SELECT p_partkey, p_size, CASE WHEN p_size % 3 = 0 THEN 'big.bg' ELSE 'shop' || CAST(p_size % 4 AS STRING) || '.bg' END AS site,
+             CASE p_size % 5 WHEN 0 THEN 'external' WHEN 1 THEN 'dynamic' WHEN 2 THEN NULL ELSE 'sitemap' END AS channel, lower(replace(p_name, ' ', '-')) AS slug, lower(split_part(p_name, ' ', 1)) AS word FROM {part}) s""",
     "shop_pages": """
 SELECT p_partkey AS id, 'https://shop.example/bg/p/' || CAST(p_partkey AS STRING) AS url,
   '<html><head><title>' || p_name || ' | Shop</title>' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<meta property="og:title" content="' || p_name || '">' END
