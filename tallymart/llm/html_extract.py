@@ -6,8 +6,8 @@ entropy of the child sequences that pages show there, its content importance
 the entropy of the texts below it, both to the base of its number of pages; a
 node that looks and reads the same everywhere has neither. Few pages say little,
 so the entropy is drawn towards 1 by ``DOUBT`` pages. What a tag, role or class
-says of a branch, and whether it lies in the page's article, is the prior by
-which its importance is multiplied. Branches of low importance leave every page.
+says of a branch is the prior by which its importance is multiplied. Branches of
+low importance leave every page, those in the page's article only at a lower one.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ CONTENT = 0.9
 LEAST, LEAST_INSIDE = 0.5, 0.25
 #: Pages without repeats that are added to those that show a node.
 DOUBT = 2
-#: Priors of a mark that tells noise and of one that may. What lies outside a page's article has the share of the text there.
+#: Priors of a mark that tells noise and of one that may.
 NOISE, PERHAPS = 0.2, 0.55
 
 # Quotes count after "=" only and where they are closed; nothing is tried twice, so the time follows the length.
@@ -254,7 +254,6 @@ def main_text(page: str, low: dict[int, float]) -> str:
     """The text of a page without branches of low importance; ``low``: nodes whose entropy isn't high, and their importance."""
     found = [b for b in blocks(page)[0] if not b.noise]
     total = sum(len(b.text) for b in found)
-    outside = sum(len(b.text) for b in found if not b.inside) / max(1, total)
     share: dict[int, int] = {}
     for b in found:
         for node in above(b.path):
@@ -263,7 +262,7 @@ def main_text(page: str, low: dict[int, float]) -> str:
     judged = {node: low[node] for node, n in share.items() if 2 * n < total and node in low}
 
     def importance(b: Block) -> float:
-        return b.prior * (1.0 if b.inside else outside) * min((judged.get(node, 1.0) for node in above(b.path)), default=1.0)
+        return b.prior * min((judged.get(node, 1.0) for node in above(b.path)), default=1.0)
 
     return " ".join(b.text for b in found if importance(b) >= (LEAST_INSIDE if b.inside else LEAST))
 
