@@ -11,9 +11,18 @@ STATUS_ORDER = ("confirmed", "auto_matched", "needs_review", "low_confidence", "
 LINKED = ("confirmed", "auto_matched")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each group; Spark prunes below the shuffle by a window group limit."""
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    """The first ``n`` rows of each group, with all their columns; Spark prunes below the shuffle by a window group limit."""
+    rank = free_name(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n).drop(rank)
 
 
 def latest_price(snapshots: DataFrame) -> DataFrame:

@@ -87,10 +87,17 @@ def to_match(listings: DataFrame, matches: DataFrame, only_unmatched: bool) -> D
     return rows.select("id", skip.alias("skip"))
 
 
-def applied_observations(listings: DataFrame, observed: DataFrame) -> DataFrame:
-    """Listings after observations: the newest sets status and error; the newest success sets the prices it has."""
-    last = observed.groupBy("listing_id").agg(F.max_by(F.struct("captured_at", "outcome", "error_code"), F.struct("captured_at", "event_id")).alias("o"), F.max_by("price", F.struct("captured_at", "event_id")).alias("_any"), F.expr("max_by(price, struct(captured_at, event_id)) FILTER (WHERE outcome = 'scraped' AND price IS NOT NULL)").alias("p"))
-    rows = listings.join(last, listings["id"] == last["listing_id"], "left")
+def applied_observations(listings: DataFrame, observed: DataFrame, on: str = "id") -> DataFrame:
+    """Listings after observations: the newest sets status and error; the newest success sets the prices it has.
+
+    ``on``: the column of listings that the observations' ``listing_id`` names;
+    where many listings share it, observations are reduced before they meet them.
+    """
+    at = F.struct("captured_at", "event_id")
+    priced = F.when((F.col("outcome") == "scraped") & F.col("price").isNotNull(), at)
+    last = observed.groupBy("listing_id").agg(F.max_by(F.struct("captured_at", "outcome", "error_code"), at).alias("o"), F.max_by("price", priced).alias("p"))
+    own = listings.select("id", F.col(on).alias("observed_as"), "latest_price", "latest_scraped_at", "latest_scrape_status", "latest_scrape_error_code")
+    rows = own.join(last, own["observed_as"] == last["listing_id"], "left")
     return rows.select(
         "id",
         F.coalesce("p", "latest_price").alias("latest_price"),

@@ -601,9 +601,7 @@ FROM listings l
 LEFT JOIN (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC, event_id DESC) AS rn FROM outcomes o) WHERE rn = 1) o ON o.listing_id = l.part_id
 LEFT JOIN (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY listing_id ORDER BY captured_at DESC, event_id DESC) AS rn FROM outcomes o WHERE outcome = 'scraped' AND price IS NOT NULL) WHERE rn = 1) p ON p.listing_id = l.part_id""")
 def st_apply_observation(d: Domain) -> DataFrame:
-    ids = d.listings.select(F.col("id").alias("listing_id"), "part_id")
-    seen = d.outcomes.withColumnRenamed("listing_id", "part_id").join(ids, "part_id").drop("part_id")
-    return upserts.applied_observations(d.listings, seen).select("id", num("latest_price").alias("latest_price"), "latest_scrape_status")
+    return upserts.applied_observations(d.listings, d.outcomes, on="part_id").select("id", num("latest_price").alias("latest_price"), "latest_scrape_status")
 
 
 _CLEAN = "CASE WHEN lower(trim({0})) IN ('', '-', '--', '—', '–', '.', 'n/a', 'na', 'none', 'null', 'x') THEN NULL ELSE trim({0}) END"

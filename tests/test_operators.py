@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallymart.functions import codes, fields, markup, money, urls
-from tallymart.operators import health, listings as L, trees, upserts
+from tallymart.operators import health, listings as L, ranking, trees, upserts
 from tallymart.sources import workbook, xlsx_source
 
 TREE = "id long, parent_id long, name string, level int"
@@ -132,3 +132,18 @@ def test_swatch_and_prefix_currency(spark):
     assert all(set(g) == {None} for g in got[1:])
     got = spark.createDataFrame([("€ 5,50 или 9.90 лв",)], "x string").select(F.transform(money.price_candidates(F.col("x")), lambda c: F.concat_ws(" ", c["amount"].cast("double"), c["currency"]))).first()[0]
     assert got == ["5.5 EUR", "9.9 BGN"]
+
+
+def test_first_of_keeps_a_column_named_like_its_rank(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 3, "b"), (2, 9, "c")], "k int, _rank int, __RANK string")
+    got = ranking.first_of(rows, ["k"], [F.desc("_rank")])
+    assert got.columns == ["k", "_rank", "__RANK"] and sorted(map(tuple, got.collect())) == [(1, 5, "a"), (2, 9, "c")]
+
+
+def test_observations_reduce_before_listings_that_share_them(spark):
+    listings = spark.createDataFrame([(1, 7, 1.0), (2, 7, 2.0), (3, 8, 3.0), (4, None, 4.0)], "id long, part long, latest_price double")
+    listings = listings.select("*", *(F.lit(None).cast("string").alias(c) for c in ("latest_scrape_status", "latest_scrape_error_code")), F.lit(None).cast("timestamp").alias("latest_scraped_at"))
+    seen = spark.createDataFrame([(1, 7, "scraped", None, 5.0), (2, 7, "scraped", None, None), (3, 7, "failed", "x", 9.0), (4, None, "scraped", None, 6.0)], "event_id long, listing_id long, outcome string, error_code string, price double")
+    seen = seen.withColumn("captured_at", F.timestamp_seconds("event_id"))
+    out = upserts.applied_observations(listings, seen, on="part")
+    assert sorted((r["id"], r["latest_price"], r["latest_scrape_status"], r["latest_scrape_error_code"]) for r in out.collect()) == [(1, 5.0, "failed", "x"), (2, 5.0, "failed", "x"), (3, 3.0, None, None), (4, 4.0, None, None)]
