@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymart.llm import tokens as T
-from tallymart.llm.common import documents, lean, stored
+from tallymart.llm.common import documents, dropped, lean, stored
 from tallymart.llm.components import components
 
 _U = np.uint64
@@ -352,14 +352,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, gro
     """
     docs = documents(docs)
     levels = frequency_sketch(docs, n)
-    found = stored(features(docs, n, num, den, levels), "shingle-sets")
+    sets = stored(features(docs, n, num, den, levels), "shingle-sets")
     key = ["n_shingles", "k1", "k2"]
-    full = found.where("n_shingles > 0")
-    classes = full.groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stored(classes, "shingle-classes")
-    reps = full.alias("f").join(classes.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in key] + [F.col("f.doc_id") == F.col("c.rep")])
-    reps = reps.select("c.rep", "f.n_shingles", "f.prefix", "f.bits").dropDuplicates(["rep", "n_shingles", "prefix"])
-    families = stored(components(candidate_edges(reps, num, den, group), "families"), "families")
+    # prefixes and bitmaps go on for one document of a class, and only until candidates are made
+    leads = sets.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("prefix", "bits"), "doc_id").alias("lead"))
+    leads = stored(leads.select(*key, "rep", "copies", "lead.prefix", "lead.bits"), "shingle-leads")
+    found = stored(sets.select("doc_id", *key), "shingle-keys")
+    dropped(sets)
+    families = stored(components(candidate_edges(leads.where("rep IS NOT NULL"), num, den, group), "families"), "families")
+    classes = stored(leads.select(*key, "rep", "copies"), "shingle-classes")
+    dropped(leads)
     members = families.join(classes, families["node"] == classes["rep"]).select("component", "rep", "copies", "n_shingles")
     wanted = docs.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = members.join(wanted, members["rep"] == wanted["doc_id"]).select("component", "rep", "copies", "n_shingles", "text")
@@ -381,13 +383,13 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     Rows with a null doc_id stay unless their component has one that isn't null.
     """
     joined = jaccard_join(docs, n, num, den).select(F.col("doc_id").alias("own_id"), "component_id").distinct()
-    keep = joined.where("own_id IS NULL AND component_id IS NULL OR own_id = component_id").select("own_id").distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["own_id"]), "left_semi")
-    again = rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again"))
-    once = rows.join(again, rows["doc_id"] == again["again"], "left_anti")
-    many = rows.join(again, rows["doc_id"] == again["again"], "left_semi")
-    rank = "_rank"
-    while rank in docs.columns:
-        rank += "_"
-    first = many.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(rank) == 1).drop(rank)
-    return once.unionByName(first)
+    keep = stored(joined.where("own_id IS NULL AND component_id IS NULL OR own_id = component_id").select("own_id").distinct(), "kept-ids")
+    own, rank = "_own", "_rank"
+    while {own, rank} & set(docs.columns):
+        own, rank = own + "_", rank + "_"
+    rows = docs.withColumn(own, F.col("doc_id").cast("long"))
+    # the texts are shuffled once: the window finds them parted and in order by the join
+    one = rows.join(keep.withColumnRenamed("own_id", own), own, "left_semi")
+    one = one.withColumn(rank, F.row_number().over(W.partitionBy(own).orderBy(F.xxhash64("text")))).where(F.col(rank) == 1)
+    without = rows.where(F.col(own).isNull()).join(keep.where("own_id IS NULL"), F.lit(True), "left_semi")
+    return one.select(*docs.columns).unionByName(without.select(*docs.columns))
