@@ -57,14 +57,15 @@ def without_recent_failures(listings: DataFrame, as_of: str, hours: int) -> Data
     return listings.where(~bad)
 
 
-def links(listings: DataFrame, matches: DataFrame, linked_only: bool = False, rejected: bool = False) -> DataFrame:
-    """Distinct (product_id, listing_id): direct links and matches."""
+def links(listings: DataFrame, matches: DataFrame, linked_only: bool = False, rejected: bool = False, dealt: str | None = None) -> DataFrame:
+    """Distinct (product_id, listing_id): direct links and matches; ``dealt``: the one of them that a join takes next, so that one shuffle serves both."""
     if linked_only:
         matches = matches.where(F.col("status").isin(*LINKED))
     elif not rejected:
         matches = matches.where("status <> 'rejected'")
     direct = listings.where("product_id IS NOT NULL").select("product_id", F.col("id").alias("listing_id"))
-    return direct.unionByName(matches.select("product_id", "listing_id")).distinct()
+    both = direct.unionByName(matches.select("product_id", "listing_id"))
+    return (both.repartition(dealt) if dealt else both).distinct()
 
 
 def matched_products(products: DataFrame, listings: DataFrame, matches: DataFrame) -> DataFrame:
