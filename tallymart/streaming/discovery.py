@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymart.operators.ranking import first_of
 from tallymart.sources.keyed_table import KeyedTable
+from tallymart.sources.scratch import dropped, kept
 
 SCHEMA = "site long, key string, url string, code string, category string, batch long"
 KEY = ("site", "key")
@@ -38,26 +39,39 @@ def discover(table: KeyedTable, items: DataFrame, batch: int, source: str = "dis
     """
     one = first_of(items.where("url IS NOT NULL"), ["site", "url"], [F.asc_nulls_last("code"), F.asc_nulls_last("category")])
     coded = first_of(one.where("code IS NOT NULL"), ["site", "code"], [F.asc("url")])
-    one = one.where("code IS NULL").unionByName(coded)
+    # each step is written once, as the store reads it for its buckets and again for its rows
+    one = kept(one.where("code IS NULL").unionByName(coded), "items")
+    if not table.manifest().get("folders"):
+        done = table.merge(keyed(one, batch), lambda old, new: new, source, batch)
+        dropped(one)
+        return done
     asked = keyed(one, batch)
     known = table.of(asked.select(*KEY)).select("site", "key", F.col("url").alias("own"), F.col("code").alias("own_code"))
     same = F.col("a.site").eqNullSafe(F.col("k.site")) & (F.col("a.key") == F.col("k.key"))
     met = asked.alias("a").join(known.alias("k"), same, "left").groupBy("a.site", "a.url", "a.code", "a.category").agg(F.max_by(F.struct("k.own", "k.own_code"), F.when(F.col("k.own").isNotNull(), F.col("a.key"))).alias("found"))
     new = keyed(met.where("found IS NULL OR found.own IS NULL").select("site", "url", "code", "category"), batch)
     filled = keyed(met.where("found.own IS NOT NULL AND category IS NOT NULL").select("site", F.col("found.own").alias("url"), F.col("found.own_code").alias("code"), "category"), batch)
-    changes = new.unionByName(first_of(filled, list(KEY), [F.asc("category")]))
+    changes = kept(new.unionByName(first_of(filled, list(KEY), [F.asc("category")])), "changes")
 
     def combine(old: DataFrame, changes: DataFrame) -> DataFrame:
         both = old.alias("o").join(changes.alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in KEY], "full_outer")
-        kept = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
-        return both.select(*map(kept, ("site", "key", "url", "code", "category", "batch")))
+        first = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
+        return both.select(*map(first, ("site", "key", "url", "code", "category", "batch")))
 
-    return table.merge(changes, combine, source, batch)
+    done = table.merge(changes, combine, source, batch)
+    dropped(one)
+    dropped(changes)
+    return done
 
 
 def discovery_stream(items: DataFrame, table: KeyedTable, checkpoint: str, source: str = "discovery"):
-    """A query that puts each micro-batch of a stream of items into the store, until the stream has no more."""
-    return items.writeStream.foreachBatch(lambda rows, k: discover(table, rows, k, source) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A query that puts each micro-batch of a stream of items into the store, until the stream has no more; of the store's versions only the latest stays."""
+
+    def put(rows: DataFrame, k: int) -> None:
+        if discover(table, rows, k, source):
+            table.forget()
+
+    return items.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def listings(table: KeyedTable) -> DataFrame:
