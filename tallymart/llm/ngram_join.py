@@ -40,8 +40,10 @@ SKETCH_BITS = 20
 HEAVY = 8
 #: Documents of a group that one task compares with each other.
 GROUP = 8192
-#: Documents and shingles of a block in verification.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 20
+#: Documents and shingles of a block in verification; a family's texts are copied once for each of its blocks, so blocks are as large as a task holds.
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1 << 21
+#: Documents of either side whose overlaps are counted at once within a pair of blocks.
+PIECE = 256
 #: Columns of an incidence matrix, that is distinct shingles of a fragment.
 FRAGMENT = 4096
 
@@ -307,6 +309,8 @@ def verified(members: DataFrame, n: int, num: int, den: int, block_docs: int = B
     rows = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "text", "copies")
+    # by pairs of blocks: the join before would leave all copies of a family to the task that holds it
+    rows = rows.repartition("component", "b1", "b2")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b1, b2 = key[1].as_py(), key[2].as_py()
@@ -319,17 +323,21 @@ def verified(members: DataFrame, n: int, num: int, den: int, block_docs: int = B
         ids, copies, block = np.concatenate(ids), np.concatenate(copies), np.concatenate(block)
         left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
         sizes = np.array([len(s) for s in sets])
-        common = overlaps([sets[i] for i in left], [sets[i] for i in right])
-        union = sizes[left][:, None] + sizes[right][None, :] - common
-        link = (den * common >= num * union) & (common > 0)
-        if b1 == b2:
-            np.fill_diagonal(link, False)
         forest, links = Forest(len(ids)), np.zeros(len(ids), dtype=np.int64)
-        for i, j in zip(*np.nonzero(link), strict=True):
-            forest.join(int(left[i]), int(right[j]))
-        links[left] += link @ copies[right]
-        if b1 != b2:
-            links[right] += link.T @ copies[left]
+        pieces = [left[k : k + PIECE] for k in range(0, len(left), PIECE)], [right[k : k + PIECE] for k in range(0, len(right), PIECE)]
+        for at, x in enumerate(pieces[0]):
+            # a block with itself: each pair of pieces once
+            for y in pieces[1][at if b1 == b2 else 0 :]:
+                common = overlaps([sets[i] for i in x], [sets[i] for i in y])
+                union = sizes[x][:, None] + sizes[y][None, :] - common
+                link = (den * common >= num * union) & (common > 0)
+                if x[0] == y[0]:
+                    np.fill_diagonal(link, False)
+                for i, j in zip(*np.nonzero(link), strict=True):
+                    forest.join(int(x[i]), int(y[j]))
+                links[x] += link @ copies[y]
+                if x[0] != y[0]:
+                    links[y] += link.T @ copies[x]
         roots = np.array([forest.root(i) for i in range(len(ids))])
         yield pa.record_batch({"doc": pa.array(ids, pa.int64()), "root": pa.array(ids[roots], pa.int64()), "links": pa.array(links, pa.int64())})
 
